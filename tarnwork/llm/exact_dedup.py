@@ -58,7 +58,7 @@ def _merge(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b])
+        t = pa.table({c: b.column(c) for c in b.schema.names})  # without the marks of columns that are never null
         if held is not None:
             t = pa.concat_tables([held, t])
         t = t.combine_chunks()

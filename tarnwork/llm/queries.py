@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -20,9 +21,87 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+#: Host, path, verdict.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import url_rules
+
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_rules(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+SQL_OP1 = r"""
+WITH r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, row_number() OVER () AS k,
+  lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)) AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+m AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (k)
+"""
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, scan
+
+    findings, _ = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    return findings.select(F.col("path").alias("doc_id"), *map(count, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
+
+
+def _sql_op7() -> str:
+    from .secrets import BASE, RULES
+
+    each, cols = [], []
+    for rank, (kind, _, pattern, group, least, needs) in enumerate(RULES):
+        p, needs = pattern.replace("'", "''"), needs.replace("'", "''")
+        whole, part = f"regexp_extract_all(text, '{p}')", f"regexp_extract_all(text, '{p}', {group})"
+        each.append(
+            f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest({whole}) AS m, unnest({part}) AS g, "
+            f"unnest(regexp_split_to_array(text, '{p}')[1:len({whole})]) AS gap, generate_subscripts({whole}, 1) AS i FROM documents WHERE regexp_matches(text, '{needs}')"
+        )
+    for kind in BASE:
+        cols.append(f"count(*) FILTER (kind = '{kind}') AS n_{kind}")
+    base = ", ".join(f"'{k}'" for k in BASE)
+    said = "string_agg(kind || ':' || (e - length(m)) || ':' || e, ',' ORDER BY e - length(m), rank)"
+    return f"""
+WITH x AS ({' UNION ALL '.join(each)}),
+s AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM x),
+f AS (SELECT doc_id, {', '.join(cols)}, {said} FILTER (kind IN ({base})) AS b, {said} AS spans FROM s WHERE length(g) >= least GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the weight that its quality label asks for."""
+    w = F.max(F.when(F.col("quality") == 1, 2.0).otherwise(0.5)).alias("w")
+    return table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("labelled")).agg(w)
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, sizes_of
+
+    sizes = sizes_of(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("w")
+    sizes = sizes.join(_quality(spark, sf_dir), F.col("doc_id") == F.col("labelled"), "left").withColumn("w", F.coalesce("w", F.lit(1.0))).drop("labelled")
+    return mix(sizes).drop("copies")
+
+
 def queries() -> dict:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": SQL_OP2}
+    return {"op1_url_rules": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op7_secret_scan": _sql_op7()}
