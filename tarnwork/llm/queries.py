@@ -49,6 +49,20 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 """
 
 
+def op4_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, scan
 
@@ -99,7 +113,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
+        "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op4_piece_round_trip": op4_piece_round_trip,
+        "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
     }
 
 
