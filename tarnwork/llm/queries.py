@@ -111,10 +111,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes).drop("copies")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import ngram_jaccard
+
+    return ngram_jaccard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op4_piece_round_trip": op4_piece_round_trip,
         "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
