@@ -57,6 +57,22 @@ def op4_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_warc, write_warc
+
+    manifest = write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), archive_folder(spark))
+    return read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_OP5 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+bits AS (SELECT *, list_transform(range(32), lambda i: ((('0x' || substr(hex, (i * 5 // 4) + 1, 2) || '0')::INT >> (7 - (i * 5) % 4)) & 31)) AS v FROM d)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM bits
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -111,6 +127,26 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes).drop("copies")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL_OP9 = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, pos, lines[pos:pos + 2] AS win FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS pos FROM l)
+  WHERE len(list_filter(lines[pos:pos + 2], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) > 0),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM w),
+c AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM r WHERE k > 1),
+g AS (SELECT doc_id, list(line) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(lines) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(list_transform(lines, lambda x, i: {'x': x, 'i': i}), lambda s: gone IS NULL OR NOT list_contains(gone, s.i)), lambda s: s.x), chr(10))) AS text_sha256
+FROM l LEFT JOIN g USING (doc_id)
+"""
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import ngram_jaccard
 
@@ -120,10 +156,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op4_piece_round_trip": op4_piece_round_trip,
-        "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
-        "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op5_warc_round_trip": op5_warc_round_trip, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
+        "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op7_secret_scan": _sql_op7()}
+    return {"op1_url_rules": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op5_warc_round_trip": SQL_OP5, "op7_secret_scan": _sql_op7(), "op9_line_dedup": SQL_OP9}
