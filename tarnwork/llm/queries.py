@@ -49,6 +49,15 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import read_tokens, token_folder, write_tokens
+
+    manifest = write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), token_folder(spark), public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(manifest, keep=False)
+
+
 def op4_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -155,7 +164,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op4_piece_round_trip": op4_piece_round_trip,
+        "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op3_token_files": op3_token_files, "op4_piece_round_trip": op4_piece_round_trip,
         "op5_warc_round_trip": op5_warc_round_trip, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard": op10_ngram_jaccard,
     }
