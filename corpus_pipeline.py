@@ -1,6 +1,63 @@
-STAGES = []
+"""A corpus pipeline: documents in, token ids of a clean, deduplicated, mixed corpus out.
+
+Each stage takes what its predecessor kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnwork.llm.common import table, written
+from tarnwork.llm.exact_dedup import kept_documents
+from tarnwork.llm.jaccard import representatives
+from tarnwork.llm.mixing import mixed_documents
+from tarnwork.llm.pieces import encode_decode
+from tarnwork.llm.quality import clean_documents
+
+#: Weights of documents by their quality label; without a label 1.
+GOOD, POOR = 2.0, 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return clean_documents(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with the same text."""
+    return kept_documents(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.75 or more of five-word shingles."""
+    return representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix of sources takes of a document."""
+    w = F.max(F.when(F.col("quality") == 1, GOOD).otherwise(POOR))
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(w.alias("w"))
+    return mixed_documents(docs, labels)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("source mixing", mix), ("SentencePiece round trip", tokens)]
+
+#: The stages of this pipeline that compress, hash keys and merge pieces have no SQL; tests/llm holds them to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{k}")
+    return docs

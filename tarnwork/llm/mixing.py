@@ -81,3 +81,21 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2
     chosen = F.col("ahead") + F.col("upto") - F.col("size") / 2 < F.col("budget")
     copies = F.col("full") + F.when(chosen & (F.col("size") > 0), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weight: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them: a row per copy, none for documents it leaves out; all columns as they came.
+
+    weight: id and w, the quality weights, at most one row per id. Rows that repeat an id and its text are one document and get its
+    copies each.
+    """
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_of(text_col)), F.xxhash64(text_of(text_col), F.lit(1)))
+    sizes = sizes_of(docs.withColumn("__name", name), id_col="__name", text_col=text_col, source_col=source_col).drop("w")
+    if weight is None:
+        sizes = sizes.withColumn("w", F.lit(1.0))
+    else:
+        weight = weight.toDF("of", "w").withColumn("of", F.col("of").cast("string"))
+        sizes = sizes.join(weight, F.substring_index("doc_id", ":", 1) == F.col("of"), "left").withColumn("w", F.coalesce("w", F.lit(1.0))).drop("of")
+    taken = mix(sizes, **options).groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    out = docs.join(taken, name == F.col("__of")).withColumn("__copy", F.explode(F.expr("array_repeat(0, __copies)")))
+    return out.select(*[docs[c] for c in docs.columns])

@@ -111,3 +111,26 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, out)
+
+
+def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns, whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def judge(batches):
+        import pyarrow as pa
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        for b in batches:
+            data, offs = flat.buffers(b.column(at))
+            kept = []
+            for a, e in flat.pieces(offs):
+                part, o = data[offs[a] : offs[e]], offs[a : e + 1] - offs[a]
+                n, _, _, _, rep = counts(part, o)
+                failed = (n < LEAST_WORDS) | (100 * rep > REPEAT_PERCENT * n)
+                view = memoryview(part)
+                kept += [not f and in_band(packer, view[s:t]) for f, s, t in zip(failed.tolist(), o[:-1].tolist(), o[1:].tolist())]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
