@@ -391,11 +391,12 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     drop_written(slots)
     forest = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     nearest = links.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("x")).select(F.col("b").alias("set_id"), F.col("x.a").alias("centre"), F.col("x.distance").alias("far"))
-    placed = sets.select("set_id", "n").join(nearest, "set_id", "left").join(forest.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = written(placed.select("set_id", "n", F.coalesce("centre", "set_id").alias("centre"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "set_id").alias("root")), "jaccard-placed")
+    common = (F.octet_length("blob") / 8).cast("int").alias("k")
+    placed = sets.select("set_id", "n", common).join(nearest, "set_id", "left").join(forest.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = written(placed.select("set_id", "n", "k", F.coalesce("centre", "set_id").alias("centre"), F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "set_id").alias("root")), "jaccard-placed")
 
     # clusters of different classes that share a token of their prefixes
-    lists = sets.join(placed.drop("n"), "set_id").select("set_id", "n", "blob", "centre", "root").mapInArrow(_prefixes(buckets, percent), FIELDS)
+    lists = sets.join(placed.drop("n", "k"), "set_id").select("set_id", "n", "blob", "centre", "root").mapInArrow(_prefixes(buckets, percent), FIELDS)
     near = _dealt(lists, buckets).mapInArrow(_cluster_pairs(percent), "a long, b long").distinct()
     near = written(_compared(near, sets, percent), "jaccard-near")
     edges = forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(near.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -411,9 +412,11 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     unsure = unsure.where((F.col("radius_a") + F.col("radius_b") > 0) & (F.col("distance") - F.col("radius_a") - F.col("radius_b") <= limit))
     unsure = unsure.join(of(now, "a"), F.col("a") == F.col("node_a"), "left").join(of(now, "b"), F.col("b") == F.col("node_b"), "left")
     unsure = unsure.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b", "distance")
-    inside = placed.select("centre", "set_id", "far", "n")
+    inside = placed.select("centre", "set_id", "far", "n", "k")
     pairs = unsure.join(of(inside, "a"), F.col("a") == F.col("centre_a")).join(of(inside, "b"), F.col("b") == F.col("centre_b"))
     fits = (F.col("distance") - F.col("far_a") - F.col("far_b") <= limit) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    # two sets have no more in common than the shared tokens of either
+    fits &= F.least("k_a", "k_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     pairs = pairs.where(fits & (F.col("far_a") + F.col("far_b") > 0)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
     late = written(_compared(pairs, sets, percent).where("link"), "jaccard-late")
     if not late.isEmpty():
