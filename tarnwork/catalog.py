@@ -1,11 +1,723 @@
-"""Every query of the library by name, with DuckDB SQL that gives the same rows."""
+"""Every query of the library by name, with DuckDB SQL that gives the same rows.
+
+The queries run over whole tables. Candidates are customers, openings are suppliers, words are brands and kinds of parts
+(those that a customer bought in large quantities, those that a supplier delivers); see views below.
+"""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import gates, job, resume, text
+from .functions import normalize as norm
+from .functions import values as V
+from .operators import coverage, matching, refine, stats, tables
+from .plans import parts
+from .streaming.drain import recent
+
+LARGE = 40
+SYN, HYP = (("Brand#3", "Brand#5"), ("ECONOMY", "PROMO")), {"Brand#7": ("Brand#8", "Brand#9")}
+GATES = ("", "学历：本科及以上；经验：不作要求", "学历：大专及以上；经验：3年及以上", "经验：5年以上；年龄：25-40岁")
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- small inputs, given once for both engines ---
+
+DDL = {str: "string", int: "int", float: "double"}
+
+
+def fixture(spark: SparkSession, cols: str, rows: list[tuple]) -> DataFrame:
+    names = cols.split()
+    kinds = [next((DDL[type(r[k])] for r in rows if r[k] is not None), "string") for k in range(len(names))]
+    return spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
+
+
+def cte(name: str, cols: str, rows: list[tuple]) -> str:
+    return f"{name}({cols.replace(' ', ', ')}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
+
+
+# --- views ---
+
+SQL_VIEWS = f"""
+cand AS (SELECT c_custkey AS rid, c_name AS name, r_name AS org, CASE c_mktsegment WHEN 'BUILDING' THEN '博士' WHEN 'MACHINERY' THEN '硕士' WHEN 'AUTOMOBILE' THEN '本科' WHEN 'HOUSEHOLD' THEN '大专' END AS education,
+  greatest(0, CAST(floor(c_acctbal / 1000) AS INT)) AS years FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cand_token AS (SELECT DISTINCT o_custkey AS rid, unnest([p_brand, p_type]) AS word FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= {LARGE}),
+job AS (SELECT s_suppkey, 'J' || upper(substr(md5(n_name || '|' || s_name), 1, 10)) AS job_id, s_name AS job_name, n_name AS department, r_name AS org,
+  CASE s_suppkey % 4 {' '.join(f"WHEN {k} THEN '{g}'" for k, g in enumerate(GATES))} END AS hard_gates,
+  CASE s_suppkey % 3 WHEN 0 THEN 0.7::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS must_weight, CASE s_suppkey % 3 WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS bonus_weight
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+supplied AS (SELECT DISTINCT l_suppkey, unnest([p_brand, p_type]) AS word FROM lineitem JOIN part ON p_partkey = l_partkey),
+ranked AS (SELECT job_id, word, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(l_suppkey || ':' || word)) AS k FROM supplied JOIN job ON l_suppkey = s_suppkey),
+need_token AS (SELECT job_id, CASE WHEN k <= 5 THEN 'must' ELSE 'bonus' END AS side, CASE WHEN k <= 5 THEN k ELSE k - 5 END AS pos, word FROM ranked WHERE k <= 9),
+{cte('syn', 'word grp', [(w, k) for k, g in enumerate(SYN) for w in g])}, {cte('hyp', 'need word', [(n, w) for n, ws in HYP.items() for w in ws])},
+token_hit AS (SELECT DISTINCT c.word, n.word AS need FROM (SELECT DISTINCT word FROM cand_token) c, (SELECT DISTINCT word FROM need_token) n
+  WHERE contains(c.word, n.word) OR contains(n.word, c.word) OR EXISTS (SELECT 1 FROM syn a JOIN syn b USING (grp) WHERE a.word = c.word AND b.word = n.word) OR EXISTS (SELECT 1 FROM hyp h WHERE h.need = n.word AND h.word = c.word)),
+have AS (SELECT DISTINCT rid, need FROM cand_token JOIN token_hit USING (word)),
+gate AS (SELECT job_id, org AS job_org, s_suppkey, must_weight, bonus_weight, CASE s_suppkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS need_level, CASE s_suppkey % 4 WHEN 2 THEN 3 WHEN 3 THEN 5 ELSE 0 END AS need_years FROM job),
+level AS (SELECT *, CASE education WHEN '博士' THEN 4 WHEN '硕士' THEN 3 WHEN '本科' THEN 2 WHEN '大专' THEN 1 ELSE 0 END AS have_level FROM cand),
+n_words AS (SELECT job_id, count(*) FILTER (side = 'must') AS n_must, count(*) FILTER (side = 'bonus') AS n_bonus FROM need_token GROUP BY job_id),
+pair AS (SELECT rid, job_id, count(*) FILTER (side = 'must') AS n_must_hit, count(*) FILTER (side = 'bonus') AS n_bonus_hit
+  FROM have JOIN level USING (rid) JOIN need_token ON need_token.word = have.need JOIN gate USING (job_id) WHERE org = job_org AND have_level >= need_level AND years >= need_years GROUP BY rid, job_id),
+points AS (SELECT pair.*, n_must, n_bonus, CASE WHEN n_must > 0 THEN CAST(round_even(100::DOUBLE * coalesce(must_weight, 0.7::DOUBLE) * (n_must_hit::DOUBLE / n_must), 0) AS INT) ELSE 0 END AS skill_score,
+  CASE WHEN n_bonus > 0 THEN CAST(round_even(100::DOUBLE * coalesce(bonus_weight, 0.3::DOUBLE) * (n_bonus_hit::DOUBLE / n_bonus), 0) AS INT) ELSE 0 END AS bonus_score FROM pair JOIN gate USING (job_id) JOIN n_words USING (job_id)),
+scored AS (SELECT *, skill_score + bonus_score AS total_score, CASE WHEN skill_score + bonus_score >= 80 THEN '推荐' WHEN skill_score + bonus_score >= 60 THEN '待定' ELSE '不推荐' END AS recommend FROM points WHERE skill_score + bonus_score >= 20),
+hit_list AS (SELECT rid, scored.job_id, list(word ORDER BY pos) FILTER (side = 'must' AND need IS NOT NULL) AS hm, list(word ORDER BY pos) FILTER (side = 'must' AND need IS NULL) AS mm, list(word ORDER BY pos) FILTER (side = 'bonus' AND need IS NOT NULL) AS hb
+  FROM scored JOIN need_token USING (job_id) LEFT JOIN have USING (rid) WHERE need_token.word = have.need GROUP BY rid, scored.job_id)
+""".strip()
+
+
+def views(rest: str) -> str:
+    """SQL over the views; those that it doesn't name cost nothing."""
+    return f"WITH {SQL_VIEWS.rsplit(',' + chr(10) + 'hit_list', 1)[0]}{rest}"
+
+
+def cands(spark, sf) -> DataFrame:
+    names = {"BUILDING": "博士", "MACHINERY": "硕士", "AUTOMOBILE": "本科", "HOUSEHOLD": "大专"}
+    level = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    c = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.select(
+        F.col("c_custkey").alias("rid"), F.col("c_name").alias("name"), F.col("r_name").alias("org"), F.try_element_at(level, "c_mktsegment").alias("education"),
+        F.greatest(F.lit(0), F.floor(F.col("c_acctbal") / 1000).cast("int")).alias("years"),
+    )
+
+
+def both_words(*cols: str):
+    return F.explode(F.array("p_brand", "p_type")).alias("word")
+
+
+def cand_tokens(spark, sf) -> DataFrame:
+    li = t(spark, sf, "lineitem").where(F.col("l_quantity") >= LARGE)
+    j = li.join(t(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).join(t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("o_custkey").alias("rid"), both_words()).distinct()
+
+
+def jobs(spark, sf) -> DataFrame:
+    j = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    weight = lambda a, b: F.when(k % 3 == 0, a).when(k % 3 == 1, b)
+    return j.select(
+        "s_suppkey", job.job_id(F.col("n_name"), F.col("s_name")).alias("job_id"), F.col("s_name").alias("job_name"), F.col("n_name").alias("department"), F.col("r_name").alias("org"),
+        F.element_at(F.array(*map(F.lit, GATES)), (k % 4 + 1).cast("int")).alias("hard_gates"), weight(0.7, 1.0).alias("must_weight"), weight(0.3, 0.0).alias("bonus_weight"),
+    )
+
+
+def need_tokens(spark, sf) -> DataFrame:
+    words = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_suppkey", both_words()).distinct()
+    words = words.withColumn("h", F.md5(F.concat_ws(":", "l_suppkey", "word")))
+    # a supplier has as many words as there are brands and kinds; the first nine of them are taken
+    best = words.groupBy("l_suppkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "word"))), 1, 9).alias("x"))
+    each = best.select("l_suppkey", F.posexplode("x").alias("k", "x")).join(jobs(spark, sf).select("s_suppkey", "job_id"), F.col("l_suppkey") == F.col("s_suppkey"))
+    must = F.col("k") < 5
+    return each.select("job_id", F.when(must, "must").otherwise("bonus").alias("side"), F.when(must, F.col("k") + 1).otherwise(F.col("k") - 4).cast("long").alias("pos"), F.col("x.word").alias("word"))
+
+
+def matched(spark, sf) -> DataFrame:
+    syn, hyp = matching.dictionary(spark, SYN, HYP)
+    return matching.match(cands(spark, sf), cand_tokens(spark, sf), jobs(spark, sf), need_tokens(spark, sf), syn, hyp)
+
+
+def had(spark, sf) -> DataFrame:
+    syn, hyp = matching.dictionary(spark, SYN, HYP)
+    return matching.need_hits(cand_tokens(spark, sf), need_tokens(spark, sf), syn, hyp)
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+# --- tables ---
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def scan_filter_project(spark, sf):
+    return tables.scan(t(spark, sf, "customer"), {"c_mktsegment": "BUILDING", "c_nationkey": 3}, ["c_custkey", "c_name", "c_acctbal"])
+
+
+@query("""
+SELECT o_orderpriority, count(*) FILTER (coalesce(nullif(s, ''), '招聘中') = '招聘中') AS n_open, count(*) FILTER (s = '招聘中') AS n_open_strict
+FROM (SELECT o_orderpriority, CASE o_orderstatus WHEN 'O' THEN '招聘中' WHEN 'F' THEN '已关闭' END AS s FROM orders) GROUP BY 1""")
+def status_open_null_safe(spark, sf):
+    s = F.when(F.col("o_orderstatus") == "O", V.OPEN_STATUS).when(F.col("o_orderstatus") == "F", "已关闭")
+    o = t(spark, sf, "orders").select("o_orderpriority", s.alias("s"))
+    return o.groupBy("o_orderpriority").agg(F.count_if(stats.is_open(F.col("s"))).alias("n_open"), F.count_if(F.col("s") == V.OPEN_STATUS).alias("n_open_strict"))
+
+
+@query("""
+SELECT event_id, n, CASE WHEN n IS NOT NULL THEN CASE WHEN n > 1e11 THEN n::BIGINT ELSE (n * 1000)::BIGINT END ELSE epoch_ms(try_strptime(left(cell, 10), '%Y-%m-%d')) END AS ms
+FROM (SELECT event_id, cell, try_cast(nullif(trim(cell), '') AS DOUBLE) AS n FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN (1700000000 + event_id)::VARCHAR WHEN 1 THEN '' WHEN 2 THEN 'x' || event_id WHEN 3 THEN '2024-03-05T10:00' ELSE (1700000000000 + event_id)::VARCHAR END AS cell FROM events))""")
+def cast_lenient(spark, sf):
+    k = F.col("event_id")
+    cell = F.when(k % 5 == 0, (k + 1700000000).cast("string")).when(k % 5 == 1, "").when(k % 5 == 2, F.concat(F.lit("x"), k.cast("string"))).when(k % 5 == 3, "2024-03-05T10:00").otherwise((k + 1700000000000).cast("string"))
+    return t(spark, sf, "events").select("event_id", text.number(cell).alias("n"), text.date_millis(text.blank_to_null(cell)).alias("ms"))
+
+
+@query("""
+SELECT c_custkey, coalesce(nullif(n, ''), c_name) AS c_name, coalesce(s, c_mktsegment) AS c_mktsegment, c_acctbal FROM customer
+LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new ' || c_custkey END AS n, CASE WHEN c_custkey % 9 = 0 THEN 'NONE' END AS s FROM customer WHERE c_custkey % 3 = 0) ON k = c_custkey
+UNION ALL SELECT -1, 'added', NULL, NULL""")
+def upsert_skip_empty(spark, sf):
+    old = t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    k = F.col("c_custkey")
+    new = old.where(k % 3 == 0).select("c_custkey", F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("new "), k.cast("string"))).alias("c_name"), F.when(k % 9 == 0, "NONE").alias("c_mktsegment"))
+    added = spark.createDataFrame([(-1, "added", None)], "c_custkey long, c_name string, c_mktsegment string")
+    return tables.upsert(old, new.unionByName(added), "c_custkey")
+
+
+@query("""
+WITH new AS (SELECT -c_custkey - 1 AS o_orderkey, c_custkey AS o_custkey, 'N' AS o_orderstatus FROM customer WHERE c_custkey % 7 = 0)
+SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'O' AND o_custkey % 7 = 0 AND o_custkey IN (SELECT o_custkey FROM new)) UNION ALL SELECT * FROM new) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)""")
+def append_delete_replace(spark, sf):
+    old = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = t(spark, sf, "customer").where("c_custkey % 7 = 0").select((-F.col("c_custkey") - 1).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.lit("N").alias("o_orderstatus"))
+    gone = t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tables.delete(tables.replace_groups(old, new, ["o_custkey"], F.col("o_orderstatus") == "O"), gone, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def inner_pairs_lookup(spark, sf):
+    o = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.join(t(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS rid, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS name FROM orders),
+n AS (SELECT c_name, arg_min(c_acctbal, c_custkey) AS b FROM customer GROUP BY c_name)
+SELECT o_orderkey, coalesce(c.c_acctbal, n.b) AS c_acctbal FROM o LEFT JOIN customer c ON c.c_custkey = rid LEFT JOIN n ON n.c_name = name""")
+def fallback_key_join(spark, sf):
+    k = F.col("o_custkey")
+    o = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, k).alias("rid"), F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0")).alias("name"))
+    keys = [(F.col("rid"), F.col("c_custkey")), (F.col("name"), F.col("c_name"))]
+    return tables.lookup(o, t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), keys, "c_acctbal", F.col("c_custkey")).select("o_orderkey", "c_acctbal")
+
+
+@query("""
+SELECT 'open' AS kind, c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+UNION ALL SELECT 'none', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def semi_anti_keys(spark, sf):
+    c, o = t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders")
+    have = c.join(o.where("o_orderstatus = 'O'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.lit("open").alias("kind"), "c_custkey")
+    none = tables.missing_keys(c, o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return have.unionByName(none.select(F.lit("none").alias("kind"), "c_custkey"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def left_zero_fill(spark, sf):
+    n = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return t(spark, sf, "customer").select("c_custkey").join(n, "c_custkey", "left").na.fill(0)
+
+
+@query("""
+WITH d AS (SELECT (o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) % 5 AS part, o_custkey AS rid, o_orderkey AS job_id FROM orders)
+SELECT part, count(*) FILTER (part = rid % 5) AS n_accepted, count(*) FILTER (part <> rid % 5) AS n_misattributed FROM d GROUP BY part""")
+def attribution_check(spark, sf):
+    o, key = t(spark, sf, "orders"), ["part", "rid", "job_id"]
+    pending = o.select((F.col("o_custkey") % 5).alias("part"), F.col("o_custkey").alias("rid"), F.col("o_orderkey").alias("job_id"))
+    shift = F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)
+    done = o.select(((F.col("o_custkey") + shift) % 5).alias("part"), F.col("o_custkey").alias("rid"), F.col("o_orderkey").alias("job_id"))
+    ok, bad = refine.attribution(pending, done, key)
+    both = ok.select("part", F.lit(1).alias("a"), F.lit(0).alias("m")).unionByName(bad.select("part", F.lit(0).alias("a"), F.lit(1).alias("m")))
+    return both.groupBy("part").agg(F.sum("a").alias("n_accepted"), F.sum("m").alias("n_misattributed"))
+
+
+@query("""
+WITH p AS (SELECT o_custkey % 6 AS part, o_orderkey AS id FROM orders), d0 AS (SELECT * FROM p WHERE NOT (part < 4 AND id % 13 = 0)),
+d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE part = 1 AND id % 17 = 0 UNION ALL SELECT part, -id - 1 FROM p WHERE part = 2 AND id % 19 = 0),
+j AS (SELECT coalesce(a.part, b.part) AS part, a.n AS p, b.n AS d FROM (SELECT part, id, count(*) AS n FROM p GROUP BY ALL) a FULL JOIN (SELECT part, id, count(*) AS n FROM d GROUP BY ALL) b ON a.part = b.part AND a.id = b.id)
+SELECT part, count(*) FILTER (d IS NULL) AS n_missing, count(*) FILTER (p IS NULL) AS n_foreign, coalesce(sum(d - 1), 0)::BIGINT AS n_repeated, count(*) FILTER (d IS NULL) = 0 AND count(*) FILTER (p IS NULL) = 0 AND coalesce(sum(d - 1), 0) = 0 AS complete FROM j GROUP BY part""")
+def part_integrity(spark, sf):
+    p = t(spark, sf, "orders").select((F.col("o_custkey") % 6).alias("part"), F.col("o_orderkey").alias("id"))
+    d = p.where("NOT (part < 4 AND id % 13 = 0)")
+    done = d.unionByName(d.where("part = 1 AND id % 17 = 0")).unionByName(p.where("part = 2 AND id % 19 = 0").withColumn("id", -F.col("id") - 1))
+    return refine.integrity(p, done)
+
+
+# --- matching ---
+
+
+@query(views("""
+SELECT job_id, count(rid) AS n_pass FROM gate LEFT JOIN level ON org = job_org AND have_level >= need_level AND years >= need_years GROUP BY job_id"""))
+def match_gate(spark, sf):
+    # candidates that a gate cannot tell apart are decided once
+    kinds = cands(spark, sf).groupBy("org", "education", "years").agg(F.count(F.lit(1)).alias("n"))
+    j = matching.gated(jobs(spark, sf)).select("job_id", F.col("org").alias("job_org"), "need_level", "need_years")
+    asked = j.select("job_org", "need_level", "need_years").distinct()
+    ok = asked.join(kinds, matching.gate(F.col("org"), F.col("education"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years")))
+    n = ok.groupBy("job_org", "need_level", "need_years").agg(F.sum("n").alias("n_pass"))
+    return j.join(n, ["job_org", "need_level", "need_years"], "left").select("job_id", F.coalesce("n_pass", F.lit(0)).alias("n_pass"))
+
+
+CERTS = [
+    ("证书：高压电工证", "", "拉晶"), ("证书：高压电工证", "高压电工证", ""), ("证书：高压电工证", "", "高压电工证、PLC"), ("证书：高压电工证、焊工证等相关", "焊工证", ""),
+    ("证书：高压电工证，PMP优先", "高压电工证", ""), ("证书：（PMP优先）低压电工证", "PMP", ""), ("证书：不作硬性要求", "", ""), ("学历：本科及以上", "", ""), ("", "", ""), (None, None, None),
+]
+
+
+@query(f"""WITH {cte('f', 'gate certs skills', CERTS)}, s AS (SELECT *, trim(regexp_extract(coalesce(gate, ''), '证书[：:]\\s*([^；;]+)', 1)) AS s FROM f),
+h AS (SELECT *, CASE WHEN s = '' OR contains(s, '不作硬性要求') THEN [] ELSE list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(s, '（[^）]*优先[^）]*）', '', 'g'), '[^、，,\\s]*优先', '', 'g'), '[、,，]'),
+  lambda x: trim(regexp_replace(x, '等.*$', ''))), lambda x: x <> '') END AS need FROM s)
+SELECT gate, certs, skills, array_to_string(list_filter(need, lambda c: NOT contains(coalesce(certs, '') || '|' || coalesce(replace(skills, '、', '|'), ''), c)), '、') AS missing FROM h""")
+def match_gate_cert(spark, sf):
+    f = fixture(spark, "gate certs skills", CERTS)
+    return f.withColumn("missing", F.array_join(gates.missing_certificates(F.col("gate"), F.col("certs"), text.tokens(F.col("skills"))), "、"))
+
+
+MAJORS = [("专业：冶金工程", None, ""), ("专业：暖通相关", "机械", "暖通"), ("专业：机械、电气", "机械", ""), ("专业：化学（材料）", "物理", "材料"), ("学历：本科", "机械", ""), ("", None, "PLC"), ("专业：光伏设备", "", "单晶炉")]
+
+
+@query(f"""WITH {cte('f', 'gate major skills', MAJORS)}, {cte('syn', 'word grp', [(w, k) for k, g in enumerate(V.SYNONYMS) for w in g])}, {cte('hyp', 'need word', [(n, w) for n, ws in V.HYPERNYMS.items() for w in ws])},
+s AS (SELECT *, regexp_extract(coalesce(gate, ''), '专业[：:]\\s*([^；;]+)', 1) AS s, list_filter(string_split(coalesce(skills, ''), '、'), lambda x: x <> '') AS have FROM f),
+n AS (SELECT *, list_concat(list_filter(string_split_regex(s, '[、,，；;（）()]'), lambda x: length(x) >= 2), regexp_extract_all(s, '[一-鿿]{{2,6}}')) AS need FROM s),
+p AS (SELECT gate, major, skills, s, h, w FROM (SELECT *, unnest(CASE WHEN len(have) = 0 THEN [NULL] ELSE have END) AS h FROM n) x, LATERAL (SELECT unnest(CASE WHEN len(x.need) = 0 THEN [NULL] ELSE x.need END) AS w) y)
+SELECT gate, major, skills, s <> '' AND NOT bool_or(coalesce(contains(h, w) OR contains(w, h) OR EXISTS (SELECT 1 FROM syn a JOIN syn b USING (grp) WHERE a.word = h AND b.word = w) OR EXISTS (SELECT 1 FROM hyp WHERE hyp.need = w AND hyp.word = h), false))
+  AND NOT coalesce(major <> '' AND contains(s, major), false) AS review FROM p GROUP BY gate, major, skills, s""")
+def match_gate_major(spark, sf):
+    f = fixture(spark, "gate major skills", MAJORS).withColumn("have", text.tokens(F.col("skills")))
+    words = f.select(F.explode("have").alias("word"))
+    needs = f.select(F.explode(gates.needed_majors(F.col("gate"))).alias("need"))
+    hits = matching.token_hits(words, needs, *matching.dictionary(spark))
+    each = f.select("gate", "major", "skills", F.explode_outer("have").alias("word"), gates.needed_majors(F.col("gate")).alias("needs")).select("gate", "major", "skills", "word", F.explode_outer("needs").alias("need"))
+    hit = each.join(hits.withColumn("hit", F.lit(True)), ["word", "need"], "left").groupBy("gate", "major", "skills").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+    return hit.select("gate", "major", "skills", matching.major_needs_review(F.col("gate"), F.col("major"), F.col("hit")).alias("review"))
+
+
+@query(views("SELECT word, need FROM token_hit"))
+def match_hits(spark, sf):
+    syn, hyp = matching.dictionary(spark, SYN, HYP)
+    return matching.token_hits(cand_tokens(spark, sf).select("word"), need_tokens(spark, sf).select(F.col("word").alias("need")), syn, hyp)
+
+
+@query(views("SELECT rid, job_id, n_must_hit, n_bonus_hit, skill_score, bonus_score, total_score, recommend FROM scored"))
+def match_score(spark, sf):
+    return matched(spark, sf).select("rid", "job_id", "n_must_hit", "n_bonus_hit", "skill_score", "bonus_score", "total_score", "recommend")
+
+
+SQL_LISTS = """,
+lists AS (SELECT s.rid, s.job_id, list(n.word ORDER BY n.pos) FILTER (n.side = 'must' AND h.need IS NOT NULL) AS hm, list(n.word ORDER BY n.pos) FILTER (n.side = 'must' AND h.need IS NULL) AS mm
+  FROM scored s JOIN need_token n USING (job_id) LEFT JOIN have h ON h.rid = s.rid AND h.need = n.word GROUP BY s.rid, s.job_id),
+said AS (SELECT scored.*, format('语义匹配：必备{}/{}（{}）；加分{}/{}', n_must_hit, n_must, coalesce(nullif(array_to_string(hm[1:8], '、'), ''), '无'), n_bonus_hit, n_bonus) || CASE WHEN len(mm) > 0 THEN '；未命中：' || array_to_string(mm[1:6], '、') ELSE '' END AS evidence
+  FROM scored JOIN lists USING (rid, job_id))"""
+
+
+def explained(spark, sf) -> DataFrame:
+    # pairs are counted once; their words are looked up from the same table of hits
+    m = matched(spark, sf)
+    lists = matching.hit_lists(m, had(spark, sf), need_tokens(spark, sf))
+    return m.join(lists, ["rid", "job_id"]).withColumn("evidence", matching.evidence(F.col("must_hits"), F.col("n_must_hit"), F.col("n_must"), F.col("n_bonus_hit"), F.col("n_bonus"), F.col("must_miss")))
+
+
+@query(views(SQL_LISTS + "\nSELECT rid, job_id, evidence FROM said"))
+def match_evidence(spark, sf):
+    return explained(spark, sf).select("rid", "job_id", "evidence")
+
+
+@query(views("""
+SELECT rid, job_id, skill_score, bonus_score, total_score, recommend, name, job_name, job.org, CASE WHEN years = 0 THEN '无' ELSE years::VARCHAR END AS years_experience, hard_gates, '系统匹配' AS source
+FROM scored JOIN cand USING (rid) JOIN job USING (job_id)"""))
+def match_rows(spark, sf):
+    none = F.lit(None).cast("string")
+    c = cands(spark, sf).drop("org", "education").withColumns({"phone": none, "cand_skills": none, "expected_position": none})
+    j = jobs(spark, sf).withColumns({"must_skills": none, "bonus_skills": none})
+    rows = matching.match_rows(matched(spark, sf).withColumn("evidence", none), c, j)
+    return rows.select("rid", "job_id", "skill_score", "bonus_score", "total_score", "recommend", "name", "job_name", "org", "years_experience", "hard_gates", "source")
+
+
+SQL_GRANTS = """,
+verdict AS (SELECT rid, job_id, (rid * 7 + s_suppkey) % 3 <> 0 AS keep, s_suppkey FROM scored JOIN gate USING (job_id)),
+asked AS (SELECT v.rid, v.job_id, n.side, n.pos, CASE WHEN (v.rid + n.pos) % 11 = 0 THEN 'unknown' ELSE n.word END AS item, CASE WHEN (v.rid + n.pos) % 7 = 0 THEN ' ' ELSE 'basis' END AS basis FROM verdict v JOIN need_token n USING (job_id) WHERE n.pos <= 2 AND v.rid % 2 = 0),
+valid AS (SELECT DISTINCT a.rid, a.job_id, a.side, a.item FROM asked a JOIN need_token n ON n.job_id = a.job_id AND n.side = a.side AND n.word = a.item LEFT JOIN have h ON h.rid = a.rid AND h.need = a.item WHERE trim(a.basis) <> '' AND h.need IS NULL),
+g AS (SELECT rid, job_id, count(*) FILTER (side = 'must') AS gm, count(*) FILTER (side = 'bonus') AS gb FROM valid GROUP BY ALL),
+r AS (SELECT v.rid, v.job_id, v.keep, n_must_hit + coalesce(gm, 0) AS hm, n_bonus_hit + coalesce(gb, 0) AS hb, n_must, n_bonus, must_weight, bonus_weight FROM verdict v JOIN scored USING (rid, job_id) JOIN gate USING (job_id) LEFT JOIN g USING (rid, job_id)),
+q AS (SELECT *, CASE WHEN n_must > 0 THEN CAST(round_even(100::DOUBLE * coalesce(must_weight, 0.7::DOUBLE) * (hm::DOUBLE / n_must), 0) AS INT) ELSE 0 END AS s, CASE WHEN n_bonus > 0 THEN CAST(round_even(100::DOUBLE * coalesce(bonus_weight, 0.3::DOUBLE) * (hb::DOUBLE / n_bonus), 0) AS INT) ELSE 0 END AS b FROM r)
+SELECT rid, job_id, keep, hm AS n_must_hit, hb AS n_bonus_hit, CASE WHEN keep THEN s + b END AS total_score, CASE WHEN keep THEN CASE WHEN s + b >= 80 THEN '推荐' WHEN s + b >= 60 THEN '待定' ELSE '不推荐' END END AS recommend FROM q"""
+
+
+@query(views(SQL_GRANTS))
+def grants_rescore(spark, sf):
+    need, j = need_tokens(spark, sf), jobs(spark, sf)
+    v = matched(spark, sf).select("rid", "job_id").join(j.select("job_id", "s_suppkey"), "job_id").select("rid", "job_id", ((F.col("rid") * 7 + F.col("s_suppkey")) % 3 != 0).alias("keep"))
+    g = v.where("rid % 2 = 0").join(need.where("pos <= 2"), "job_id")
+    k = F.col("rid") + F.col("pos")
+    g = g.select("rid", "job_id", F.col("pos").alias("ord"), "side", F.when(k % 11 == 0, "unknown").otherwise(F.col("word")).alias("item"), F.when(k % 7 == 0, " ").otherwise("basis").alias("basis"))
+    return matching.rescored(v, j, need, had(spark, sf), g).select("rid", "job_id", "keep", "n_must_hit", "n_bonus_hit", "total_score", "recommend")
+
+
+# --- statistics ---
+
+SQL_STATS = "SELECT job.job_id, count(s.rid) AS stat_total, count(*) FILTER (s.recommend = '推荐') AS stat_recommend, count(*) FILTER (s.recommend = '待定') AS stat_pending, count(*) FILTER (s.recommend = '不推荐') AS stat_reject FROM job LEFT JOIN scored s USING (job_id) GROUP BY job.job_id"
+
+
+@query(views("\n" + SQL_STATS))
+def job_stats(spark, sf):
+    return stats.job_stats(jobs(spark, sf), matched(spark, sf))
+
+
+@query(views("""
+SELECT coalesce(job_id, '?') AS job_id, max(job_name) AS job_name, sum(n)::BIGINT AS total, string_agg(label || '=' || n, ';' ORDER BY label) AS by_label FROM (
+  SELECT CASE WHEN rid % 50 = 0 THEN NULL ELSE job_id END AS job_id, CASE WHEN rid % 50 = 0 THEN NULL ELSE min(job_name) END AS job_name, CASE WHEN rid % 9 = 0 THEN '未判定' ELSE recommend END AS label, count(*) AS n FROM scored JOIN job USING (job_id)
+  GROUP BY CASE WHEN rid % 50 = 0 THEN NULL ELSE job_id END, rid % 50 = 0, label) GROUP BY 1"""))
+def recommend_stats_cli(spark, sf):
+    m = matched(spark, sf).join(jobs(spark, sf).select("job_id", "job_name"), "job_id")
+    odd = F.col("rid") % 50 == 0
+    m = m.select(F.when(~odd, F.col("job_id")).alias("job_id"), F.when(~odd, F.col("job_name")).alias("job_name"), F.when(F.col("rid") % 9 == 0, "").otherwise(F.col("recommend")).alias("recommend"), "rid")
+    return stats.label_stats(m, F.col("rid"))
+
+
+@query(views("""
+, st AS (""" + SQL_STATS + """), j AS (SELECT s_suppkey, st.* FROM st JOIN job USING (job_id)), m AS (SELECT * FROM j WHERE s_suppkey % 10 <> 0)
+SELECT sum(stat_total)::BIGINT AS stat_total, sum(stat_recommend)::BIGINT AS stat_recommend, sum(stat_pending)::BIGINT AS stat_pending, sum(stat_reject)::BIGINT AS stat_reject,
+  (SELECT count(*) FROM j WHERE s_suppkey % 10 = 0) AS unmatched, (SELECT count(*) FROM j) AS jobs, (SELECT max(1700000000000 + s_suppkey) FROM j WHERE s_suppkey % 4 <> 0) AS as_of FROM m"""))
+def dashboard_funnel(spark, sf):
+    j = jobs(spark, sf)
+    s = stats.job_stats(j, matched(spark, sf)).join(j.select("job_id", "s_suppkey"), "job_id")
+    names = ("stat_total", "stat_recommend", "stat_pending", "stat_reject")
+    s = s.withColumns({n: F.when(F.col("s_suppkey") % 10 != 0, F.col(n)) for n in names})
+    return stats.funnel(s.withColumn("submit_time", F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") + 1700000000000).otherwise(0)))
+
+
+@query(views("SELECT CASE WHEN s_suppkey % 8 = 0 THEN '未填部门' ELSE department END AS department, count(*) FILTER (s_suppkey % 3 = 0) AS n_open, count(*) AS n_all FROM job GROUP BY 1"))
+def dashboard_departments(spark, sf):
+    k = F.col("s_suppkey")
+    status = F.when(k % 3 == 0, V.OPEN_STATUS).when(k % 3 == 1, "已关闭")
+    return stats.departments(jobs(spark, sf).select(F.when(k % 8 == 0, "").otherwise(F.col("department")).alias("department"), status.alias("status")))
+
+
+@query(views("SELECT rid, job_id, total_score FROM scored WHERE recommend = '推荐' ORDER BY total_score DESC, rid, job_id LIMIT 20"))
+def dashboard_top_n(spark, sf):
+    return stats.top(matched(spark, sf), 20, [F.col("rid"), F.col("job_id")]).select("rid", "job_id", "total_score")
+
+
+# --- dedupe and batches ---
+
+
+@query("""
+WITH b AS (SELECT doc_id AS file, md5(text) AS md5, CASE WHEN doc_id % 4 <> 3 THEN substr(md5(text), 1, 4) END AS phone, doc_id % 10 <> 9 AS has_contact FROM documents),
+p AS (SELECT file, md5, substr(min(md5) OVER (PARTITION BY md5), 1, 4) AS phone, has_contact FROM b),
+k AS (SELECT DISTINCT md5 FROM p WHERE file % 97 = 0), kp AS (SELECT DISTINCT phone FROM p WHERE file % 89 = 0),
+u AS (SELECT *, md5 IN (SELECT md5 FROM k) AS km, phone IN (SELECT phone FROM kp) AS kph FROM p),
+w AS (SELECT *, row_number() OVER g AS n, first_value(md5) OVER g AS f FROM u WINDOW g AS (PARTITION BY phone, has_contact AND NOT km AND NOT kph ORDER BY file))
+SELECT file, CASE WHEN km THEN 'md5' WHEN NOT has_contact THEN 'needs_ocr' WHEN kph THEN 'phone' WHEN n = 1 THEN 'accepted' WHEN f = md5 THEN 'md5' ELSE 'phone' END AS reason FROM w""")
+def greedy_dedupe(spark, sf):
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.md5("text").alias("md5"))
+    b = d.withColumns({"phone": F.substring("md5", 1, 4), "has_contact": F.col("file") % 10 != 9})
+    known = b.select("file", F.when(F.col("file") % 97 == 0, F.col("md5")).alias("md5"), F.when(F.col("file") % 89 == 0, F.col("phone")).alias("phone")).where("md5 is not null or phone is not null")
+    return tables.greedy_dedupe(b, known).select("file", "reason")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
+def self_heal_duplicates(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"))
+    return tables.surplus(d, F.col("md5"), [F.col("doc_id")]).select("doc_id")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM orders), s AS (SELECT ceil(n / 20.0)::INT AS size FROM n), o AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k, o_orderkey FROM orders)
+SELECT (k // size + 1)::INT AS part, count(*) AS n_rows, min(o_orderkey) AS least, max(o_orderkey) AS most FROM o, s GROUP BY 1""")
+def part_plan(spark, sf):
+    p = parts.parts(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+
+
+@query("""
+SELECT l_suppkey, block, count(*) AS n_rows, max(l_orderkey) AS last FROM (SELECT l_suppkey, l_orderkey, ((row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) + 7) // 8)::INT AS block FROM lineitem) GROUP BY 1, 2""")
+def block_cap(spark, sf):
+    b = parts.blocks(t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")])
+    return b.groupBy("l_suppkey", "block").agg(F.count(F.lit(1)).alias("n_rows"), F.max("l_orderkey").alias("last"))
+
+
+# --- text ---
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split_regex(replace(p_name, ' ', '、 ') || ',，' || p_brand || ' ; ' || p_type, '[、,，;；/]\\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS words FROM part")
+def tokenize(spark, sf):
+    cell = F.concat(F.replace("p_name", F.lit(" "), F.lit("、 ")), F.lit(",，"), F.col("p_brand"), F.lit(" ; "), F.col("p_type"))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(text.tokens(cell), "|").alias("words"))
+
+
+@query("SELECT word, length(word) AS len, row_number() OVER (ORDER BY length(word) DESC, word) AS place FROM (SELECT DISTINCT unnest([p_brand, p_type]) AS word FROM part)")
+def vocab_distinct_sorted(spark, sf):
+    # a vocabulary of distinct words; numbered without one task for all
+    words = t(spark, sf, "part").select(both_words()).distinct().withColumn("len", F.length("word"))
+    return parts.numbered(words, [F.desc("len"), F.col("word")], "place").withColumn("place", F.col("place").cast("long"))
+
+
+SKILL_ROWS = [("PLC, CAD；电气", "CAD、PLC;暖通"), ("", "PLC"), ("设备维修、 点检管理", ""), (None, "A/B"), ("A、B", "C、C、A")]
+
+
+@query(f"""WITH {cte('f', 'must bonus', SKILL_ROWS)}, s AS (SELECT *, list_filter(list_transform(string_split_regex(coalesce(must, ''), '[、,，;；/]\\s*'), lambda x: trim(x)), lambda x: x <> '') AS m, list_filter(list_transform(string_split_regex(coalesce(bonus, ''), '[、,，;；/]\\s*'), lambda x: trim(x)), lambda x: x <> '') AS b FROM f)
+SELECT must, bonus, array_to_string(m, '、') AS must_skills, array_to_string(list_filter(b, lambda w: NOT list_contains(m, w)), '、') AS bonus_skills, len(list_filter(b, lambda w: list_contains(m, w))) > 0 AS dup_removed FROM s""")
+def canon_and_dedup_skills(spark, sf):
+    f = fixture(spark, "must bonus", SKILL_ROWS).withColumn("r", norm.job_row(F.lit(""), F.col("must"), F.col("bonus")))
+    return f.select("must", "bonus", "r.must_skills", "r.bonus_skills", F.array_contains("r.kinds", "dup_removed").alias("dup_removed"))
+
+
+NUMBER_ROWS = [("1年", 1.5), ("约4年", 2.5), ("多年", -0.4), ("-2", -2.0), ("3年以上", 0.5), ("", 7.0), (None, None), ("10-15", 3.5)]
+
+
+@query(f"""WITH {cte('f', 'cell num', NUMBER_ROWS)} SELECT cell, num, CASE WHEN n >= 0 THEN n END AS from_text, CASE WHEN r >= 0 THEN r END AS from_number
+FROM (SELECT *, try_cast(nullif(regexp_extract(cell, '(-?\\d+)', 1), '') AS BIGINT) AS n, round_even(num::DOUBLE, 0)::BIGINT AS r FROM f)""")
+def coerce_numbers(spark, sf):
+    return fixture(spark, "cell num", NUMBER_ROWS).select("cell", "num", text.first_int(F.col("cell")).alias("from_text"), text.rounded_int(F.col("num")).alias("from_number"))
+
+
+GATE_ROWS = [("学历:本科;经验：3年",), ("学历：本科；专业：机械；经验：不限；证书：无；年龄：不限",), ("要求吃苦耐劳",), ("",), (None,)]
+
+
+def _sql_gates() -> str:
+    fixed = "trim(coalesce(g, ''))"
+    for n in V.GATE_SEGMENTS:
+        fixed = f"replace({fixed}, '{n}:', '{n}：')"
+    names = ", ".join(f"'{n}：'" for n in V.GATE_SEGMENTS)
+    return f"""WITH {cte('f', 'g', GATE_ROWS)}, x AS (SELECT g, replace({fixed}, ';', '；') AS t FROM f), y AS (SELECT g, t, list_filter([{names}], lambda n: NOT contains(t, n)) AS absent FROM x)
+SELECT g, CASE WHEN t = '' THEN '' WHEN len(absent) > 0 THEN array_to_string(list_concat(list_filter(list_transform(string_split(t, '；'), lambda p: trim(p)), lambda p: p <> ''), list_transform(absent, lambda n: n || '不作硬性要求')), '；') ELSE t END AS full_text,
+  trim(regexp_extract(t, '经验[：:]\\s*([^；;]+)', 1)) AS experience FROM y"""
+
+
+@query(_sql_gates())
+def gate_segments(spark, sf):
+    f = fixture(spark, "g", GATE_ROWS)
+    full = gates.normalized(F.col("g"))
+    fixed = F.replace(F.replace(F.coalesce("g", F.lit("")), F.lit("经验:"), F.lit("经验：")), F.lit(";"), F.lit("；"))
+    return f.select("g", full["text"].alias("full_text"), gates.segment(fixed, "经验").alias("experience"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(text) > {V.ANALYSIS_RANGE[1]} THEN 'long' WHEN length(text) < {V.ANALYSIS_RANGE[0]} THEN 'thin' ELSE 'fine' END AS kind, length(text) AS n,
+  len(list_filter(string_split(text, ' '), lambda w: length(w) > {V.TAG_LONG})) AS n_long_words FROM documents""")
+def observations(spark, sf):
+    n = F.length("text")
+    kind = F.when(n > V.ANALYSIS_RANGE[1], "long").when(n < V.ANALYSIS_RANGE[0], "thin").otherwise("fine")
+    odd = F.size(text.odd_words(F.split("text", " "), V.TAG_LONG, V.TAG_HAN_RANGE)).cast("long")
+    return t(spark, sf, "documents").select("doc_id", kind.alias("kind"), n.cast("long").alias("n"), odd.alias("n_long_words"))
+
+
+@query("""
+SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,})', 1), '') AS email, nullif(regexp_extract(text, '(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)', 1), '') AS phone FROM documents""")
+def email_phone_extract(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", resume.email(F.col("text")).alias("email"), resume.phone(F.col("text")).alias("phone"))
+
+
+SCHOOL_ROWS = [("清华大学", "本科", "电气工程师"), ("西安电子科技大学", "硕士研究生", "产品经理"), ("某职业技术学院", "大专", "销售"), ("", "学士", "会计"), (None, None, None), ("北京邮电大学", "统招本科", "司机")]
+
+
+def _sql_ranks() -> str:
+    any_of = lambda col, words: " OR ".join(f"contains({col}, '{w}')" for w in words)
+    degree = "CASE " + " ".join(f"WHEN {any_of('word', a)} THEN '{lv}'" for lv, a in V.DEGREE_ALIASES) + " END"
+    cat = "CASE " + " ".join(f"WHEN {any_of('hay', w)} THEN '{c}'" for c, w in V.CATEGORIES) + f" ELSE '{V.OTHER_CATEGORY}' END"
+    return f"""WITH {cte('f', 'school word pos', SCHOOL_ROWS)}, x AS (SELECT *, {degree} AS education, coalesce(school, '') AS s, coalesce(pos, '') || ' ' AS hay FROM f)
+SELECT school, word, pos, education, CASE WHEN {any_of('s', V.SCHOOLS_211)} THEN '211' WHEN {any_of('s', V.SCHOOLS_985)} THEN '985' WHEN education = '大专' THEN '大专' WHEN education IS NOT NULL THEN '普通本科' ELSE '' END AS school_rank, {cat} AS category FROM x"""
+
+
+@query(_sql_ranks())
+def education_rank_category(spark, sf):
+    f = fixture(spark, "school word pos", SCHOOL_ROWS).withColumn("education", resume.degree(F.col("word")))
+    return f.withColumns({"school_rank": resume.school_rank(F.col("school"), F.col("education")), "category": resume.category(F.col("pos"), None or F.array().cast("array<string>"))})
+
+
+CERT_ROWS = [("持有高压电工证、PMP，熟悉PLC编程与CAD",), ("初级会计职称，注册会计师；excel SQL",), ("无",), ("",), ("CET-4 六级 四级 plc cad office 设备管理",)]
+
+
+@query(f"""WITH {cte('f', 'body', CERT_ROWS)} SELECT body, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '{resume.CERTIFICATE}'))), ',') AS certs,
+  array_to_string(list_filter([{', '.join(f"'{w}'" for w in sorted(set(V.SKILLS), key=lambda w: (-len(w), w)))}], lambda w: contains(lower(body), lower(w)))[1:15], ',') AS skills FROM f""")
+def certs_skills_extract(spark, sf):
+    f = fixture(spark, "body", CERT_ROWS)
+    return f.select("body", F.array_join(resume.certificates(F.col("body")), ",").alias("certs"), F.array_join(resume.skills(F.col("body")), ",").alias("skills"))
+
+
+RESUMES = [
+    ("姓名：张三\n电话：13812345678\n邮箱：a.b@example.com\n学历：本科\n毕业院校：华北电力大学\n专业：电气工程\n5年工作经验\n期望岗位：电气工程师 应聘企业：某厂\n期望城市：杭州\n熟悉PLC、CAD，持有高压电工证", "【设备_曲靖_8K】李四 3年.pdf"),
+    ("138-1234-5678 期望薪资：8K-10K", "王五－简历.docx"), ("赵六\n就读于贵州财经大学商务学院", ""), (None, "附件1：说明.txt"), ("大专\n某某职业技术学院|机电一体化|大专", "x.md"),
+]
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Arrays as texts."""
+    return df.select(*[F.array_join(c, ",").alias(c) if k.startswith("array") else c for c, k in df.dtypes])
+
+
+@query()
+def resume_parse_fields(spark, sf):
+    f = fixture(spark, "body file", RESUMES)
+    return shown(resume.parsed(f, "body", "file").drop("body", "file"))
+
+
+@query()
+def resume_parse_documents(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", "text", F.concat("source", F.lit(".txt")).alias("file"))
+    return shown(resume.parsed(d, "text", "file").drop("text", "file"))
+
+
+JOBS = [
+    ("岗位名称：电气工程师\n岗位职责：\n1、负责设备管理与PLC编程\n2、审核图纸\n任职要求：\n1、本科及以上学历，5年及以上经验；\n2、熟悉CAD、PLC；\n3、有EHS经验者优先，持有高压电工证优先\n工作地点：曲靖", "附件1：岗位说明书-制造中心-电池设备部-电气工程师2.docx"),
+    ("工作内容：现场管理\n资格条件：大专学历，注册电气工程师证书", "岗位说明书－厂务管理部-暖通组－暖通主管.pdf"), ("", "制造中心-未知部门-司机.doc"), (None, None), ("精通Excel与SQL", "数据信息部-系统组-数据分析师-上海.docx"),
+]
+
+
+@query()
+def job_parse_fields(spark, sf):
+    f = fixture(spark, "body file", JOBS)
+    return shown(job.parsed(f, "body", "file").drop("body", "file"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(html, '</(?:w:)?p>|<(?:w:)?br[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS body FROM pages""")
+def html_tag_strip(spark, sf):
+    return t(spark, sf, "pages").select("page_id", text.stripped_markup(F.col("html")).alias("body"))
+
+
+# --- refinement ---
+
+
+@query("""
+SELECT lang, count(*) AS n_rows, count(*) FILTER (l.doc_id IS NULL AND length(trim(text)) > 0) AS n_queued FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY lang""")
+def refine_queue(spark, sf):
+    marks = t(spark, sf, "labels").select(F.col("doc_id").alias("k")).distinct().withColumn("ai_refined_at", F.lit(1))
+    d = t(spark, sf, "documents").join(marks, F.col("doc_id") == F.col("k"), "left")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(refine.queued(F.col("ai_refined_at"), F.col("text"))).alias("n_queued"))
+
+
+QUEUE_ROWS = [(1, 5, "x", None, "no"), (2, 0, "x", None, "no"), (3, None, " ", "a.pdf", "no"), (4, None, "", "b.pdf", "yes"), (5, None, None, "", "no"), (6, 0, None, "c.pdf", "no")]
+
+
+@query(f"""WITH {cte('f', 'id at body file there', QUEUE_ROWS).replace(' at,', ' mark,').replace('(id, at', '(id, mark')}
+SELECT id, coalesce(mark, 0) = 0 AND (length(trim(coalesce(body, ''))) > 0 OR there = 'yes') AS queued, coalesce(mark, 0) = 0 AND coalesce(file, '') <> '' AND NOT (length(trim(coalesce(body, ''))) > 0 OR there = 'yes') AS unrefinable FROM f""")
+def unrefinable_report(spark, sf):
+    f = fixture(spark, "id mark body file there", QUEUE_ROWS)
+    there = F.col("there") == "yes"
+    return f.select("id", refine.queued(F.col("mark"), F.col("body"), there).alias("queued"), refine.unrefinable(F.col("mark"), F.col("body"), F.col("file"), there).alias("unrefinable"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 600 MINUTE")
+def recency_filter(spark, sf):
+    return recent(t(spark, sf, "events"), "ts", "2024-01-10 00:00:00", 600).select("event_id", "user_id")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'x' || o_orderkey ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'H' ELSE o_orderpriority END AS o_orderpriority,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 1700000000000 END AS ai_refined_at FROM orders""")
+def refine_apply(spark, sf):
+    k = F.col("o_orderkey")
+    old = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit(None).cast("long").alias("ai_refined_at"))
+    new = t(spark, sf, "orders").where(k % 3 == 0).select("o_orderkey", F.when(k % 2 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise("").alias("o_orderstatus"), F.when(k % 5 == 0, "H").alias("o_orderpriority"))
+    return refine.stamped(old, new, "o_orderkey", ["o_orderstatus"], ["o_orderpriority"], 1700000000000)
+
+
+@query("SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS first_part, count(*) - 1 AS n_dropped FROM lineitem GROUP BY l_orderkey")
+def merge_first_wins(spark, sf):
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    kept, lost = refine.merged(li, ["l_orderkey"], ["l_linenumber"])
+    n = lost.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_dropped"))
+    return kept.join(n, "l_orderkey", "left").select("l_orderkey", F.col("l_partkey").alias("first_part"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
+
+
+# --- coverage ---
+
+SQL_POOL = """
+pool AS (SELECT DISTINCT p_type AS label FROM part UNION SELECT DISTINCT p_brand FROM part WHERE p_size % 10 = 0 AND p_brand LIKE '%2%'),
+hit AS (SELECT DISTINCT n.word FROM (SELECT DISTINCT word FROM need_token) n, pool WHERE contains(label, n.word) OR contains(n.word, label))"""
+
+
+def pool(spark, sf) -> DataFrame:
+    p = t(spark, sf, "part")
+    return p.select(F.col("p_type").alias("label")).union(p.where("p_size % 10 = 0 AND p_brand LIKE '%2%'").select("p_brand")).distinct()
+
+
+def must_words(spark, sf) -> DataFrame:
+    return need_tokens(spark, sf).where("side = 'must'").select("job_id", "pos", F.col("word").alias("need"))
+
+
+@query(views("," + SQL_POOL + "\nSELECT job_id, count(*) AS n_words, count(hit.word) AS n_covered, count(hit.word) / count(*) AS ratio FROM need_token LEFT JOIN hit USING (word) WHERE side = 'must' GROUP BY job_id"))
+def coverage_ratio(spark, sf):
+    return coverage.ratios(pool(spark, sf), must_words(spark, sf))
+
+
+SQL_NEAR = """
+near AS (SELECT need, list(label ORDER BY n DESC, length(label), label)[1:5] AS near FROM (SELECT w AS need, label, len(list_intersect(string_split(w, ''), string_split(label, ''))) AS n FROM (SELECT DISTINCT word AS w FROM need_token WHERE side = 'must'), pool WHERE w <> label) WHERE n >= 2 GROUP BY need)"""
+
+
+@query(views("," + SQL_POOL + "," + SQL_NEAR + "\nSELECT need, array_to_string(near, '|') AS near FROM near"))
+def near_tags(spark, sf):
+    return coverage.near_labels(pool(spark, sf), must_words(spark, sf)).select("need", F.array_join("near", "|").alias("near"))
+
+
+@query()
+def emit_fixes(spark, sf):
+    return coverage.proposals(pool(spark, sf), must_words(spark, sf), 0.8)
+
+
+@query("SELECT count(DISTINCT p_brand) AS n, sha1(string_agg(DISTINCT p_brand, '、' ORDER BY p_brand)) AS sig FROM part")
+def pool_drift_hash(spark, sf):
+    return coverage.pool_signature(t(spark, sf, "part").select(F.col("p_brand").alias("label")))
+
+
+# --- JSON, schema, reports ---
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def json_props(spark, sf):
+    return t(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query()
+def json_props_salvage(spark, sf):
+    # every fifth user's batch has one object with a quote that is not escaped: only that object is lost
+    e = t(spark, sf, "events").select("user_id", "event_id", F.when((F.col("user_id") % 5 == 0) & (F.col("event_id") % 7 == 0), '{"id": "b"ad"}').otherwise(F.col("props")).alias("p"))
+    batch = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("p")), ","), F.lit("]")).alias("raw"))
+    r = norm.salvaged(F.col("raw"))
+    return batch.withColumn("r", r).select("user_id", F.size("r.rows").alias("n_rows"), F.size("r.errors").alias("n_errors"))
+
+
+SEGMENTS = ("学历背景", "工作经历", "核心技能")
+SEGMENT_ROWS = [("学历背景｜本科\n工作经历｜5年\n核心技能｜PLC",), ("学历|本科\n\n核心技能｜CAD\n备注｜可出差",), ("",), (None,), ("自由文本",)]
+
+
+@query()
+def segment_repair(spark, sf):
+    r = norm.segments(F.col("body"), SEGMENTS)
+    return fixture(spark, "body", SEGMENT_ROWS).withColumn("r", r).select("body", "r.text", F.array_join("r.kinds", ",").alias("kinds"))
+
+
+@query("SELECT * FROM (VALUES ('extra', 'c_mktsegment'), ('missing', 'c_phone')) x(kind, name)")
+def schema_drift(spark, sf):
+    d = tables.drift(t(spark, sf, "customer"), ["c_name", "c_phone", "c_nationkey", "c_acctbal"], primary="c_custkey")
+    return spark.createDataFrame([(k, n) for k, names in d.items() for n in names], "kind string, name string")
+
+
+@query("""
+SELECT o_custkey, CASE WHEN n_missing > 0 THEN 'BAD' WHEN n_failed > 0 OR n_ocr > 0 THEN 'WARN' ELSE 'OK' END AS level, n FROM (
+  SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderkey % 101 = 0) AS n_missing, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 5 = 0) AS n_failed, count(*) FILTER (o_orderkey % 29 = 0) AS n_ocr FROM orders GROUP BY o_custkey)""")
+def status_report(spark, sf):
+    k = F.col("o_orderkey")
+    r = t(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(k % 101 == 0).alias("n_missing"), F.count_if((F.col("o_orderstatus") == "P") & (k % 5 == 0)).alias("n_failed"), F.count_if(k % 29 == 0).alias("n_ocr")
+    )
+    return r.select("o_custkey", stats.outcome(F.lit(None).cast("string"), F.col("n_missing"), F.col("n_failed"), F.col("n_ocr")).alias("level"), "n")
+
 
+@functools.cache
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
+@functools.cache
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
