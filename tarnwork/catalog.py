@@ -15,7 +15,7 @@ from .functions import gates, job, resume, text
 from .functions import normalize as norm
 from .functions import values as V
 from .operators import coverage, matching, refine, stats, tables
-from .plans import parts
+from .plans import chain, intake, parts
 from .streaming.drain import recent
 
 LARGE = 40
@@ -363,6 +363,26 @@ def grants_rescore(spark, sf):
     return matching.rescored(v, j, need, had(spark, sf), g).select("rid", "job_id", "keep", "n_must_hit", "n_bonus_hit", "total_score", "recommend")
 
 
+@query(views("""
+, b AS (SELECT rid, job_id, total_score, ((row_number() OVER (PARTITION BY job_id ORDER BY rid) + 7) // 8)::INT AS block FROM scored),
+k AS (SELECT job_id, block, row_number() OVER (ORDER BY job_id, block) - 1 AS o FROM (SELECT DISTINCT job_id, block FROM b)), n AS (SELECT ceil(count(*) / 20.0)::INT AS size FROM k)
+SELECT (o // size + 1)::INT AS part, count(*) AS n_pairs, count(DISTINCT job_id || ':' || block) AS n_blocks, sum(total_score)::BIGINT AS points FROM b JOIN k USING (job_id, block), n GROUP BY 1"""))
+def match_prepare_parts(spark, sf):
+    p = chain.prepared(matched(spark, sf), had(spark, sf), need_tokens(spark, sf))
+    return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("job_id", "block").alias("n_blocks"), F.sum("total_score").alias("points"))
+
+
+@query(views("""
+, old AS (SELECT job_id, CASE WHEN s_suppkey % 2 = 0 THEN '系统匹配' ELSE '人工匹配' END AS source, -1 AS total_score FROM job),
+new AS (SELECT job_id, '系统匹配' AS source, total_score FROM scored JOIN job USING (job_id) WHERE s_suppkey % 3 <> 0)
+SELECT * FROM old WHERE NOT (source = '系统匹配' AND job_id IN (SELECT job_id FROM new)) UNION ALL SELECT * FROM new"""))
+def match_apply(spark, sf):
+    j, system = jobs(spark, sf), F.lit(V.SYSTEM_SOURCE)
+    old = j.select("job_id", F.when(F.col("s_suppkey") % 2 == 0, system).otherwise("人工匹配").alias("source"), F.lit(-1).alias("total_score"))
+    new = matched(spark, sf).join(j.where("s_suppkey % 3 <> 0").select("job_id"), "job_id").select("job_id", system.alias("source"), "total_score")
+    return chain.applied(old, new)
+
+
 # --- statistics ---
 
 SQL_STATS = "SELECT job.job_id, count(s.rid) AS stat_total, count(*) FILTER (s.recommend = '推荐') AS stat_recommend, count(*) FILTER (s.recommend = '待定') AS stat_pending, count(*) FILTER (s.recommend = '不推荐') AS stat_reject FROM job LEFT JOIN scored s USING (job_id) GROUP BY job.job_id"
@@ -567,6 +587,14 @@ def resume_parse_documents(spark, sf):
     return shown(resume.parsed(d, "text", "file").drop("text", "file"))
 
 
+@query()
+def resume_intake_report(spark, sf):
+    d = t(spark, sf, "documents")
+    k = F.col("doc_id")
+    d = d.select(F.concat(F.lpad(k.cast("string"), 12, "0"), F.lit(".txt")).alias("file"), "text", F.md5("text").alias("md5"), (k % 50 == 0).alias("needs_ocr"), F.when(k % 77 == 1, "unreadable").alias("error"))
+    return intake.report(intake.resumes(d, None, 1700000000000))
+
+
 JOBS = [
     ("岗位名称：电气工程师\n岗位职责：\n1、负责设备管理与PLC编程\n2、审核图纸\n任职要求：\n1、本科及以上学历，5年及以上经验；\n2、熟悉CAD、PLC；\n3、有EHS经验者优先，持有高压电工证优先\n工作地点：曲靖", "附件1：岗位说明书-制造中心-电池设备部-电气工程师2.docx"),
     ("工作内容：现场管理\n资格条件：大专学历，注册电气工程师证书", "岗位说明书－厂务管理部-暖通组－暖通主管.pdf"), ("", "制造中心-未知部门-司机.doc"), (None, None), ("精通Excel与SQL", "数据信息部-系统组-数据分析师-上海.docx"),
