@@ -263,7 +263,7 @@ def match_gate(spark, sf):
     kinds = cands(spark, sf).groupBy("org", "education", "years").agg(F.count(F.lit(1)).alias("n"))
     j = matching.gated(jobs(spark, sf)).select("job_id", F.col("org").alias("job_org"), "need_level", "need_years")
     asked = j.select("job_org", "need_level", "need_years").distinct()
-    ok = asked.join(kinds, matching.gate(F.col("org"), F.col("education"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years")))
+    ok = asked.join(kinds, (F.col("org") == F.col("job_org")) & matching.gate(F.col("org"), F.col("education"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years")))
     n = ok.groupBy("job_org", "need_level", "need_years").agg(F.sum("n").alias("n_pass"))
     return j.join(n, ["job_org", "need_level", "need_years"], "left").select("job_id", F.coalesce("n_pass", F.lit(0)).alias("n_pass"))
 

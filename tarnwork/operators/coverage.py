@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .matching import contained
 
 LEAST_SHARED, MOST_NEAR = 2, 5
 NO_SUCH, OTHER_WORD, COLLISION = "②", "①", "①撞车"
 
 
-def covers(label: Column, need: Column) -> Column:
-    """One holds the other, or they share a token."""
-    return (label != "") & (need != "") & (F.contains(label, need) | F.contains(need, label) | F.arrays_overlap(tokens(label), tokens(need)))
-
-
 def covered_words(pool: DataFrame, needs: DataFrame) -> DataFrame:
-    """need, covered: over distinct words; pool: label, needs: need."""
-    n = needs.select("need").distinct()
-    hit = n.join(pool.select("label").distinct(), covers(F.col("label"), F.col("need")), "left_semi").withColumn("covered", F.lit(True))
+    """need, covered: a label holds the word, lies within it, or shares a token with it. pool: label, needs: need."""
+    n, p = needs.select("need").distinct(), pool.select("label").distinct()
+    inside = contained(n, p).select(F.col("short").alias("need")).unionByName(contained(p, n).select(F.col("long").alias("need")))
+    own = n.select("need", F.explode(tokens(F.col("need"))).alias("t"))
+    shared = own.join(p.select(F.explode(tokens(F.col("label"))).alias("t")).distinct(), "t").select("need")
+    hit = inside.unionByName(shared).distinct().withColumn("covered", F.lit(True))
     return n.join(hit, "need", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 

@@ -23,14 +23,25 @@ def dictionary(spark, synonyms=SYNONYMS, hypernyms=HYPERNYMS) -> tuple[DataFrame
     return spark.createDataFrame(syn, "word string, grp int"), spark.createDataFrame(hyp, "need string, word string")
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Distinct pairs (short, long) of words where the first lies within the second, by equi-joins only.
+
+    A long word is cut into its substrings of those lengths that short words have. Empty words pair with nothing.
+    """
+    s, lo = short.toDF("short").where("short <> ''").distinct(), long.toDF("long").where("long <> ''").distinct()
+    lengths = s.select(F.length("short").alias("n")).distinct()
+    cut = lo.select("long", F.explode(F.sequence(F.lit(1), F.length("long"))).alias("n")).join(lengths, "n")
+    part = F.expr("transform(sequence(1, length(long) - n + 1), p -> substring(long, p, n))")
+    return cut.select("long", F.explode(F.array_distinct(part)).alias("short")).join(s, "short").select("short", "long").distinct()
+
+
 def token_hits(words: DataFrame, needs: DataFrame, synonyms: DataFrame, hypernyms: DataFrame) -> DataFrame:
     """Distinct word x need pairs that hit: equal, one in the other, one synonym group, or need above word.
 
-    words: word; needs: need. Containment has no equi-key; it is computed over distinct words only. Equal words, groups
-    and hypernyms are equi-joins.
+    words: word; needs: need. All four are equi-joins over distinct words.
     """
     w, n = words.select("word").distinct(), needs.select("need").distinct()
-    inside = w.join(n, F.contains("word", F.col("need")) | F.contains("need", F.col("word")))
+    inside = contained(n, w).toDF("need", "word").select("word", "need").unionByName(contained(w, n).toDF("word", "need"))
     groups = synonyms.groupBy("word").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
     left = w.join(groups, "word")
     right = n.join(groups.withColumnRenamed("word", "need").withColumnRenamed("groups", "of_need"), "need")
