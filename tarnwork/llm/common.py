@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import shared_dir
+
 #: White space and words, as patterns of Java and of Python.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs and tests) an own one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), f"tarnwork-{os.getuid()}")
-        os.makedirs(at, exist_ok=True)
-        at = f"file://{at}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-        else:
-            at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,3 +49,41 @@ def text_of(name: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Ask the driver for a garbage collection: Spark deletes the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not use."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+#: Words of 64 bits in the bitmap of may_be_in(): its table never has more rows than this, whatever the data.
+SLOTS = 1 << 20
+
+
+def may_be_in(docs: DataFrame, key: Column, some: DataFrame, some_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is surely not in some, the others), with the columns of docs.
+
+    The keys of some set bits in a bitmap of SLOTS words, which is broadcast: its size is bounded. Only the others need
+    to meet some in a join, so that rows with a clean key are not shuffled. With more keys than bits, all rows are doubtful
+    and the join decides: the result is the same.
+    """
+    bit = lambda h: F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64(some_key)
+    one = F.lit(1).cast("long")
+    bits = some.select(F.pmod(h, F.lit(SLOTS)).alias("slot"), F.call_function("shiftleft", one, bit(h)).alias("w"))
+    bits = bits.groupBy("slot").agg(F.bit_or("w").alias("word"))
+    h = F.xxhash64(key)
+    marked = docs.join(F.broadcast(bits), F.pmod(h, F.lit(SLOTS)) == bits["slot"], "left")
+    hit = F.coalesce(bits["word"], F.lit(0)).bitwiseAND(F.call_function("shiftleft", one, bit(h))) != 0
+    columns = [docs[c] for c in docs.columns]
+    return marked.where(~hit).select(*columns), marked.where(hit).select(*columns)

@@ -33,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         old, e = e, written(_small_star(_large_star(e)).distinct(), "star")
         drop_written(old)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._written_at = e._written_at
+    return out

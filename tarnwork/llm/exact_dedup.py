@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, partitions, text_of, written
+from .common import SPACE, free, may_be_in, partitions, text_of, written
 
 KEYS = ["digest", "n_bytes", "check"]
 #: A group is hot with more than 1/HOT of all rows; so there are fewer than HOT hot groups, whatever the data.
@@ -129,16 +129,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the later copies, all columns as they came. Rows that repeat an id and its text shrink to one."""
-    seen = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    seen = seen.agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
-    seen = written(seen.where("not __kept or __n > 1"), "dedup-seen")
-    gone, again = seen.where("not __kept or __n > 1"), seen.where("__kept and __n > 1")
-
-    sha = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256)
-    match = docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    out = docs.join(gone, match, "left_anti")
+    """docs without the later copies, all columns as they came. Rows that repeat an id and its text shrink to one.
+
+    Only rows whose id may be one of those that go (see may_be_in) are hashed again and shuffled.
+    """
+    of, sha, n = free(docs, "__id"), free(docs, "__sha"), free(docs, "__n")
+    seen = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha))
+    seen = seen.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n))
+    seen = written(seen.where(f"not kept or `{n}` > 1"), "dedup-seen")
+    sure, doubtful = may_be_in(docs, F.col(id_col), seen, F.col(of))
+
+    digest = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " "), 256)
+    match = doubtful[id_col].eqNullSafe(seen[of]) & (digest == seen[sha])
+    out = sure.unionByName(doubtful.join(seen, match, "left_anti"))
+    again = seen.where("kept")
     if again.isEmpty():
         return out
-    once = docs.join(again, match, "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    match = doubtful[id_col].eqNullSafe(again[of]) & (digest == again[sha])
+    once = doubtful.join(again, match, "left_semi").withColumn(sha, digest).dropDuplicates([id_col, sha]).drop(sha)
     return out.unionByName(once)

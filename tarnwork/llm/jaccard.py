@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import drop_written, partitions, written
+from .common import drop_written, free, may_be_in, partitions, release, written
 from .components import components
 
 #: Bits of a packed token that number the document within its chunk.
@@ -380,6 +380,8 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     index = rows.mapInArrow(_index(size, buckets), FIELDS)
     shared = _dealt(index, buckets).mapInArrow(_shared(buckets), FIELDS)
     base = written(_dealt(shared, buckets).mapInArrow(_alive(percent), FIELDS), "jaccard-sets")
+    del index, shared
+    release(spark)
     members = base.where(F.col("kind") == MEMBER).select("doc_id", "n", "set_id")
     sets = base.where(F.col("kind") == SET).select("set_id", "n", "blob")
 
@@ -401,7 +403,8 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     near = written(_compared(near, sets, percent), "jaccard-near")
     edges = forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(near.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not near.where("link").isEmpty():
-        forest = components(edges)
+        old, forest = forest, components(edges)
+        drop_written(old)
 
     # members that the centres' distances leave open
     limit = 1 - percent / 100 + 1e-9
@@ -420,12 +423,15 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     pairs = pairs.where(fits & (F.col("far_a") + F.col("far_b") > 0)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
     late = written(_compared(pairs, sets, percent).where("link"), "jaccard-late")
     if not late.isEmpty():
-        forest = components(forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        old, forest = forest, components(forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        drop_written(old)
 
     # the smallest id of each class of sets; sets of one document and no link need none
     own = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     own = own.join(forest.withColumnRenamed("node", "set_id"), "set_id", "left").where("copies > 1 or root is not null")
     own = written(own.select("set_id", "least", "copies", F.coalesce("root", "set_id").alias("root")), "jaccard-classes")
+    for spent in (links, placed, near, late, forest):
+        drop_written(spent)
     class_id = own.groupBy("root").agg(F.min("least").alias("component_id"))
     label = own.join(class_id, "root").select(F.col("set_id").alias("of_set"), "component_id")
     out = members.join(label, F.col("set_id") == F.col("of_set"), "left")
@@ -433,7 +439,13 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of linked ones, the one with the smallest id; all columns as they came."""
+    """docs with one document of each group of linked ones, the one with the smallest id; all columns as they came.
+
+    Rows that share the smallest id of their group all stay, and so do rows with a null id. Only rows whose id may be one of
+    those that go (see may_be_in) are shuffled.
+    """
+    gone = free(docs, "__gone")
     found = ngram_jaccard(docs, size, percent, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    lost = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "jaccard-gone")
+    sure, doubtful = may_be_in(docs, F.col(id_col).cast("long"), lost, F.col(gone))
+    return sure.unionByName(doubtful.join(lost, doubtful[id_col].cast("long") == lost[gone], "left_anti"))

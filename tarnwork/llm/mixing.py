@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, free, text_of, written
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = (5, 2, 1)
@@ -89,13 +89,14 @@ def mixed_documents(docs: DataFrame, weight: DataFrame | None = None, id_col: st
     weight: id and w, the quality weights, at most one row per id. Rows that repeat an id and its text are one document and get its
     copies each.
     """
+    label, of, copies, copy = (free(docs, c) for c in ("__name", "__of", "__copies", "__copy"))
     name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_of(text_col)), F.xxhash64(text_of(text_col), F.lit(1)))
-    sizes = sizes_of(docs.withColumn("__name", name), id_col="__name", text_col=text_col, source_col=source_col).drop("w")
+    sizes = sizes_of(docs.withColumn(label, name), id_col=label, text_col=text_col, source_col=source_col).drop("w")
     if weight is None:
         sizes = sizes.withColumn("w", F.lit(1.0))
     else:
         weight = weight.toDF("of", "w").withColumn("of", F.col("of").cast("string"))
         sizes = sizes.join(weight, F.substring_index("doc_id", ":", 1) == F.col("of"), "left").withColumn("w", F.coalesce("w", F.lit(1.0))).drop("of")
-    taken = mix(sizes, **options).groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    out = docs.join(taken, name == F.col("__of")).withColumn("__copy", F.explode(F.expr("array_repeat(0, __copies)")))
+    taken = mix(sizes, **options).groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    out = docs.join(taken, name == F.col(of)).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
     return out.select(*[docs[c] for c in docs.columns])
