@@ -657,6 +657,52 @@ def merge_first_wins(spark, sf):
     return kept.join(n, "l_orderkey", "left").select("l_orderkey", F.col("l_partkey").alias("first_part"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))
 
 
+@query("""
+WITH r AS (SELECT doc_id, source AS evidence, text AS ai_analysis, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS keep FROM documents WHERE doc_id % 9 <> 0)
+SELECT 'overlong_analysis' AS kind, doc_id FROM r WHERE trim(ai_analysis) <> '' AND length(ai_analysis) > 250 UNION ALL SELECT 'thin_analysis', doc_id FROM r WHERE trim(ai_analysis) <> '' AND length(ai_analysis) < 150
+UNION ALL SELECT 'missing_fields', doc_id FROM r WHERE trim(coalesce(ai_analysis, '')) = '' AND keep UNION ALL SELECT 'missing_keep', doc_id FROM r WHERE keep IS NULL UNION ALL SELECT 'missing_pairs', doc_id FROM documents WHERE doc_id % 9 = 0""")
+def match_observations(spark, sf):
+    d, k = t(spark, sf, "documents"), F.col("doc_id")
+    rows = d.where(k % 9 != 0).select("doc_id", F.col("source").alias("evidence"), F.col("text").alias("ai_analysis"), F.when(k % 5 != 0, k % 2 == 0).alias("keep"))
+    return refine.match_observations(rows, d.select("doc_id"), ["doc_id"])
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'gone' ELSE 'empty' END AS kind FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 11 = 0 OR c_custkey % 4 = 0)""")
+def readback_verify(spark, sf):
+    c, k = t(spark, sf, "customer").select("c_custkey", "c_name"), F.col("c_custkey")
+    read = c.where(k % 11 != 0).withColumn("c_name", F.when(k % 4 != 0, F.col("c_name")))
+    return refine.unread(c.where(k % 3 == 0), read, "c_custkey", "c_name")
+
+
+@query("SELECT DISTINCT p_brand AS label FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')")
+def option_top_up(spark, sf):
+    return refine.new_options(t(spark, sf, "part").select("p_brand"), spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "o string"))
+
+
+def _sql_kinds() -> str:
+    head = _sql_gates().split("\nSELECT")[0]
+    return f"""{head} SELECT kind, count(*)::INT AS n FROM (SELECT unnest([CASE WHEN g <> trim(g) THEN 'coerced_str' END, CASE WHEN trim(g) <> '' AND t <> trim(g) THEN 'punct_fixed' END,
+  CASE WHEN t <> '' AND len(absent) > 0 THEN 'gate_filled' END]) AS kind FROM y) WHERE kind IS NOT NULL GROUP BY kind"""
+
+
+@query(_sql_kinds())
+def repair_kinds(spark, sf):
+    f = fixture(spark, "g", GATE_ROWS).select(F.explode(gates.normalized(F.col("g"))["kinds"]).alias("kind"))
+    return f.groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown FROM events")
+def shown_dates(spark, sf):
+    return t(spark, sf, "events").select("event_id", text.shown_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("shown"))
+
+
+@query(views("SELECT count(DISTINCT rid) AS n_paired, (SELECT count(*) FROM cand WHERE rid NOT IN (SELECT rid FROM scored)) AS n_never FROM scored"))
+def never_paired(spark, sf):
+    paired = matched(spark, sf).select("rid").distinct().withColumn("p", F.lit(1))
+    return cands(spark, sf).select("rid").join(paired, "rid", "left").agg(F.count("p").alias("n_paired"), F.count_if(F.col("p").isNull()).alias("n_never"))
+
+
 # --- coverage ---
 
 SQL_POOL = """

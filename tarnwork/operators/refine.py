@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import utrim
+from ..functions.values import ANALYSIS_RANGE, EVIDENCE_LONG
 
 
 def refinable(text: Column, file_exists: Column | None = None) -> Column:
@@ -63,3 +64,35 @@ def counts(tables: dict[str, DataFrame], predicate: dict[str, Column]) -> DataFr
         one = df.agg(F.count_if(predicate[name]).alias("n_queued")).select(F.lit(name).alias("table"), "n_queued")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def match_observations(rows: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:
+    """kind and key of what a reader should look at; nothing is dropped for it. rows: keys, evidence, ai_analysis, keep."""
+    n, said = F.length("ai_analysis"), F.trim(F.coalesce("ai_analysis", F.lit(""))) != ""
+    kinds = F.array_compact(F.array(
+        F.when(F.length("evidence") > EVIDENCE_LONG, F.lit("overlong_evidence")),
+        F.when(said & (n > ANALYSIS_RANGE[1]), F.lit("overlong_analysis")).when(said & (n < ANALYSIS_RANGE[0]), F.lit("thin_analysis")),
+        F.when(~said & F.coalesce("keep", F.lit(False)), F.lit("missing_fields")),
+        F.when(F.col("keep").isNull(), F.lit("missing_keep")),
+    ))
+    seen = rows.select(*on, F.explode(kinds).alias("kind"))
+    lost = expected.select(*on).distinct().join(rows.select(*on), on, "left_anti").withColumn("kind", F.lit("missing_pairs"))
+    return seen.unionByName(lost)
+
+
+def unread(written: DataFrame, read: DataFrame, key: str, cell: str) -> DataFrame:
+    """Rows that were written but are not found again (gone), or whose cell was written but reads empty (empty)."""
+    back = read.select(F.col(key).alias("__key"), F.col(cell).alias("__cell"))
+    j = written.join(back, written[key] == F.col("__key"), "left")
+    kind = F.when(F.col("__key").isNull(), "gone").when((F.coalesce(written[cell], F.lit("")) != "") & (F.coalesce("__cell", F.lit("")) == ""), "empty")
+    return j.select(written[key], kind.alias("kind")).where("kind is not null")
+
+
+def new_options(labels: DataFrame, options: DataFrame) -> DataFrame:
+    """Labels in use that the list of options lacks."""
+    return labels.toDF("label").where("label <> ''").distinct().join(options.toDF("label"), "label", "left_anti")
+
+
+def parts_summary(df: DataFrame, part: str = "part") -> DataFrame:
+    """part, n: sizes of batches."""
+    return df.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
