@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else (local runs and tests) a folder of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = os.path.join(tempfile.gettempdir(), f"tarnwork-{os.getuid()}")
-        os.makedirs(at, exist_ok=True)
-        at = f"file://{at}"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-        else:
-            at = spark.sparkContext.getCheckpointDir()
+        own = os.path.join(tempfile.gettempdir(), f"tarnwork-{os.getpid()}")
+        os.makedirs(own, exist_ok=True)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
