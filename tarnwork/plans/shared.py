@@ -4,26 +4,56 @@ from __future__ import annotations
 
 import atexit
 import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems have it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _scratch:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended; what is left is the cluster's to clean
+            return
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else (local runs and tests) a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        own = os.path.join(tempfile.gettempdir(), f"tarnwork-{os.getpid()}")
-        os.makedirs(own, exist_ok=True)
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
+        at = f"file://{tempfile.gettempdir()}/tarnwork-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(at)
+        _scratch.append((spark, at))
     return at.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when this process ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, at))
+    return at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet into the shared folder and read again; lost executors cost a reread, not a recomputation."""
+    at = scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    if at := getattr(df, "_written_at", None):
+        delete(df.sparkSession, at)
