@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import shared_dir
+from ..plans.shared import drop_written, scratch, written  # noqa: F401  for the operators
 
 #: White space and words, as patterns of Java and of Python.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    at = new_dir(spark, name)
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._written_at = at
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete what written() wrote, once nothing reads it any more."""
-    spark, at = df.sparkSession, getattr(df, "_written_at", None)
-    if at:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_of(name: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

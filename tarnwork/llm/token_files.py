@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat, rangecoder
-from .common import new_dir, partitions, text_of, written
+from .common import partitions, scratch, text_of, written
 from .warc import open_at
 
 MAGIC = b"TOKIDS1\n"
@@ -229,4 +229,4 @@ def read_tokens(manifest: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def token_folder(spark) -> str:
-    return new_dir(spark, "tokens")
+    return scratch(spark, "tokens")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, partitions, text_of, written
+from .common import partitions, scratch, text_of, written
 
 #: The skippable frame that holds a dictionary, and the profile of a revisit.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -216,4 +216,4 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark) -> str:
-    return new_dir(spark, "warc")
+    return scratch(spark, "warc")
