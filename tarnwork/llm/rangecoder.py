@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block, blocks of a group, ids between two updates of order 0 and of the weights, bits of the context tables.
-BLOCK, LANES, EPOCH, REFRESH, TABLE = 16_384, 256, 2_048, 64, 13
+BLOCK, LANES, EPOCH, REFRESH, TABLE = 16_384, 512, 2_048, 64, 13
 K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 WEIGHT = 12
 LOW32 = np.uint64(0xFFFFFFFF)

@@ -25,6 +25,18 @@ MAGIC = b"TOKIDS1\n"
 REMEMBERED = 400_000
 
 
+class Numbers(dict):
+    """Numbers words as they come; new ones are also listed in `fresh`."""
+
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordCache:
     """Ids of texts by a tokenizer that never joins over ASCII white space; every distinct word is encoded once."""
 
@@ -42,29 +54,26 @@ class WordCache:
         self.forget()
 
     def forget(self):
-        self.known, self.ids, self.start, self.count = {}, np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.ids, self.start, self.count = Numbers(), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, data, offs, end_id: int):
         """(ids, number of ids of each text), each text with the end id."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        raw, known, fresh, index, sizes = data.tobytes(), self.known, [], [], []
+        raw, words, sizes = data.tobytes(), [], []
         for a, e in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            words = raw[a:e].split()  # bytes split at ASCII white space only
-            sizes.append(len(words))
-            for w in words:
-                k = known.get(w)
-                if k is None:
-                    k = known[w] = len(known)
-                    fresh.append(w.decode())
-                index.append(k)
-        if fresh:
-            got = [x.ids for x in self.lib.encode_batch_fast(fresh, add_special_tokens=False)]
+            own = raw[a:e].split()  # bytes split at ASCII white space only
+            sizes.append(len(own))
+            words += own
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.fresh:
+            fresh, self.known.fresh = self.known.fresh, []
+            got = [x.ids for x in self.lib.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
             lens = np.array([len(x) for x in got], np.int64)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lens) - lens])
             self.count = np.concatenate([self.count, lens])
             self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint16)])
-        index, sizes = np.array(index, np.int64), np.array(sizes, np.int64)
+        sizes = np.array(sizes, np.int64)
         lens = self.count[index]
         body = self.ids[flat.ragged(self.start[index], lens)]
         total = np.zeros(len(lens) + 1, np.int64)
