@@ -70,15 +70,13 @@ pair AS (SELECT rid, job_id, count(*) FILTER (side = 'must') AS n_must_hit, coun
   FROM have JOIN level USING (rid) JOIN need_token ON need_token.word = have.need JOIN gate USING (job_id) WHERE org = job_org AND have_level >= need_level AND years >= need_years GROUP BY rid, job_id),
 points AS (SELECT pair.*, n_must, n_bonus, CASE WHEN n_must > 0 THEN CAST(round_even(100::DOUBLE * coalesce(must_weight, 0.7::DOUBLE) * (n_must_hit::DOUBLE / n_must), 0) AS INT) ELSE 0 END AS skill_score,
   CASE WHEN n_bonus > 0 THEN CAST(round_even(100::DOUBLE * coalesce(bonus_weight, 0.3::DOUBLE) * (n_bonus_hit::DOUBLE / n_bonus), 0) AS INT) ELSE 0 END AS bonus_score FROM pair JOIN gate USING (job_id) JOIN n_words USING (job_id)),
-scored AS (SELECT *, skill_score + bonus_score AS total_score, CASE WHEN skill_score + bonus_score >= 80 THEN '推荐' WHEN skill_score + bonus_score >= 60 THEN '待定' ELSE '不推荐' END AS recommend FROM points WHERE skill_score + bonus_score >= 20),
-hit_list AS (SELECT rid, scored.job_id, list(word ORDER BY pos) FILTER (side = 'must' AND need IS NOT NULL) AS hm, list(word ORDER BY pos) FILTER (side = 'must' AND need IS NULL) AS mm, list(word ORDER BY pos) FILTER (side = 'bonus' AND need IS NOT NULL) AS hb
-  FROM scored JOIN need_token USING (job_id) LEFT JOIN have USING (rid) WHERE need_token.word = have.need GROUP BY rid, scored.job_id)
+scored AS (SELECT *, skill_score + bonus_score AS total_score, CASE WHEN skill_score + bonus_score >= 80 THEN '推荐' WHEN skill_score + bonus_score >= 60 THEN '待定' ELSE '不推荐' END AS recommend FROM points WHERE skill_score + bonus_score >= 20)
 """.strip()
 
 
 def views(rest: str) -> str:
     """SQL over the views; those that it doesn't name cost nothing."""
-    return f"WITH {SQL_VIEWS.rsplit(',' + chr(10) + 'hit_list', 1)[0]}{rest}"
+    return f"WITH {SQL_VIEWS}{rest}"
 
 
 def cands(spark, sf) -> DataFrame:
@@ -91,7 +89,7 @@ def cands(spark, sf) -> DataFrame:
     )
 
 
-def both_words(*cols: str):
+def both_words():
     return F.explode(F.array("p_brand", "p_type")).alias("word")
 
 
@@ -551,7 +549,7 @@ SELECT school, word, pos, education, CASE WHEN {any_of('s', V.SCHOOLS_211)} THEN
 @query(_sql_ranks())
 def education_rank_category(spark, sf):
     f = fixture(spark, "school word pos", SCHOOL_ROWS).withColumn("education", resume.degree(F.col("word")))
-    return f.withColumns({"school_rank": resume.school_rank(F.col("school"), F.col("education")), "category": resume.category(F.col("pos"), None or F.array().cast("array<string>"))})
+    return f.withColumns({"school_rank": resume.school_rank(F.col("school"), F.col("education")), "category": resume.category(F.col("pos"), F.array().cast("array<string>"))})
 
 
 CERT_ROWS = [("持有高压电工证、PMP，熟悉PLC编程与CAD",), ("初级会计职称，注册会计师；excel SQL",), ("无",), ("",), ("CET-4 六级 四级 plc cad office 设备管理",)]
