@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: Fixed values of the hashes.
@@ -12,6 +14,27 @@ with np.errstate(over="ignore"):
     INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
+def trimmed(run):
+    """A function over Arrow batches whose worker hands its free memory back to the system when it ends."""
+
+    @functools.wraps(run)
+    def wrap(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrap
+
+
 def buffers(arr):
     """(bytes, offsets) of an Arrow string or binary array; null counts as empty."""
     import pyarrow as pa
@@ -25,7 +48,7 @@ def buffers(arr):
     return data, offs - offs[0]
 
 
-def pieces(offs, most: int = 2_000_000):
+def pieces(offs, most: int = 1_000_000):
     """(first, end) of runs of texts with about `most` bytes; a longer text is a run of its own."""
     at, n = 0, len(offs) - 1
     while at < n:

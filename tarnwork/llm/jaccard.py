@@ -86,6 +86,7 @@ def _index(size: int, buckets: int):
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
     chunk = min(32_000_000, max(2_000_000, 2_000_000 * buckets // 128))
 
+    @flat.trimmed
     def run(batches):
         import pyarrow as pa
 
@@ -166,6 +167,7 @@ def _by_bucket(batches, wanted):
 def _shared(buckets: int):
     """Token buckets -> the shared tokens and their frequencies, packed by set bucket."""
 
+    @flat.trimmed
     def run(batches):
         for other, rows in _by_bucket(batches, [TOKENS]):
             if other is not None:
@@ -211,6 +213,7 @@ def _shared(buckets: int):
 def _alive(percent: int):
     """Set buckets -> the sets whose prefix holds a shared token, with all their shared tokens, the rarest first."""
 
+    @flat.trimmed
     def run(batches):
         for other, rows in _by_bucket(batches, [TOKENS, HEADER]):
             if other is not None:
@@ -294,6 +297,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _prefixes(buckets: int, percent: int):
     """Sets with cluster and class -> their prefixes, packed by token bucket."""
 
+    @flat.trimmed
     def run(batches):
         for b in batches:
             cols = []
@@ -319,6 +323,7 @@ def _prefixes(buckets: int, percent: int):
 def _cluster_pairs(percent: int):
     """Token buckets of the prefix index -> pairs of clusters of different classes that may hold a link."""
 
+    @flat.trimmed
     def run(batches):
         import pyarrow as pa
 

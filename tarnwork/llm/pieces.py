@@ -273,6 +273,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     see the file `model`.
     """
 
+    @flat.trimmed
     def run(batches):
         import hashlib
 

@@ -92,6 +92,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows each get their row; an empty table gives an empty result; other columns are ignored.
     """
 
+    @flat.trimmed
     def judge(batches):
         import pyarrow as pa
         import zstandard
@@ -117,6 +118,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns, whatever their names."""
     at = docs.columns.index(text_col)
 
+    @flat.trimmed
     def judge(batches):
         import pyarrow as pa
         import zstandard

@@ -170,6 +170,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     order = [F.col("doc_id").asc_nulls_last(), "tie"]
     rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
+    @flat.trimmed
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -201,6 +202,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 def read_tokens(manifest: DataFrame, keep: bool = True) -> DataFrame:
     """The documents of the files: doc_id, start, n_tokens, ids_crc32 and, with `keep`, ids."""
 
+    @flat.trimmed
     def run(batches):
         import pyarrow as pa
 
