@@ -25,6 +25,7 @@ ANY_DEGREE = r"(博士|硕士|研究生|本科|学士|大专|专科|高职|中
 SCHOOL = r"([一-鿿]{2,14}(?:职业技术学院|高等专科学校|技师学院|大学|学院))"
 SCHOOL_LABEL = r"(?U)(?:毕业院校|毕业学校|学校名称|就读学校|院校)\s*[:：|]?\s*([^\n；;，,。|：:]{2,30})"
 SCHOOL_NOISE = r"毕业于|就读于|毕业自|结业于|就读|入读|考取|参加|升学|本科|大专|硕士|博士|研究生|中专|高职|全日制|统招|成人"
+SCHOOL_ENDS = ("大学", "学院", "学校")
 NO_SCHOOL = ("主要参加学院", "主要学院", "宁夏", "学院", "大学", "学校")
 MAJOR = r"(?U)(?:专\s*业(?:名称)?|所学专业|主修专业|主修)(?:\s*[:：|/｜]\s*|\s*\n\s*|\s+)([一-鿿A-Za-z]{2,20})"
 MAJOR_ROW = r"(?U)(?:大学|学院|学校)\s*[|｜/]\s*([一-鿿A-Za-z（）()]{2,20})\s*[|｜/]\s*(?:本科|大专|硕士|博士|研究生|专科)"
@@ -50,6 +51,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(text, pattern, group))
 
 
+def where(text: Column, words, value: Column) -> Column:
+    """value where the text holds one of the words, without which its pattern cannot match; a plain search is far cheaper."""
+    return F.when(any_in(text, words), value)
+
+
 def first_group(text: Column, pattern: str, groups: int) -> Column:
     """Whichever group of the first match took part."""
     return F.coalesce(*[none_if_empty(F.regexp_extract(text, pattern, g)) for g in range(1, groups + 1)])
@@ -62,11 +68,11 @@ def bare_name(filename: Column) -> Column:
 
 def phone(text: Column) -> Column:
     parts = F.concat(*[F.regexp_extract(text, PHONE_PARTS, g) for g in (1, 2, 3)])
-    return F.coalesce(found(text, PHONE), none_if_empty(parts))
+    return F.coalesce(found(text, PHONE), F.when(text.rlike("1[3-9]"), none_if_empty(parts)))
 
 
 def email(text: Column) -> Column:
-    return found(text, EMAIL)
+    return where(text, "@", found(text, EMAIL))
 
 
 def _is_name(c: Column) -> Column:
@@ -88,7 +94,7 @@ def name_in_head(text: Column) -> Column:
 
 
 def years(text: Column, filename: Column) -> Column:
-    strict, loose = first_group(text, YEARS[0], 4), first_group(text, YEARS[1], 2)
+    strict, loose = where(text, "年", first_group(text, YEARS[0], 4)), where(text, "年", first_group(text, YEARS[1], 2))
     return F.coalesce(strict, loose, found(bare_name(filename), YEARS_IN_NAME)).try_cast("int")
 
 
@@ -145,10 +151,12 @@ def parsed(df: DataFrame, text_col: str, file_col: str) -> DataFrame:
     t, f = F.col("__t"), F.col(file_col)
     df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({
-        "phone": phone(t), "email": email(t), "__label": found(t, NAME), "years_experience": years(t, f), "expected_salary": F.coalesce(found(t, SALARY), found(t, SALARY, 2)),
-        "expected_location": F.coalesce(found(t, CITY), F.lit(ANYWHERE)), "__degree": found(t, DEGREE), "__any": found(t, ANY_DEGREE),
-        "__school": F.coalesce(found(t, SCHOOL_LABEL), found(t, SCHOOL)), "__major": F.coalesce(found(t, MAJOR), found(t, MAJOR_ROW)),
-        "certificates": certificates(t), "__position": F.get(F.split(found(t, POSITION), POSITION_END), F.lit(0)), "skills": skills(t),
+        "phone": phone(t), "email": email(t), "__label": where(t, ("姓", "Name"), found(t, NAME)), "years_experience": years(t, f),
+        "expected_salary": where(t, ("薪", "待遇", "K", "k"), F.coalesce(found(t, SALARY), found(t, SALARY, 2))),
+        "expected_location": F.coalesce(where(t, CITIES, found(t, CITY)), F.lit(ANYWHERE)), "__degree": where(t, ("学", "文化程度"), found(t, DEGREE)), "__any": found(t, ANY_DEGREE),
+        "__school": F.coalesce(where(t, ("院校", "学校"), found(t, SCHOOL_LABEL)), where(t, SCHOOL_ENDS, found(t, SCHOOL))),
+        "__major": F.coalesce(where(t, ("专", "主修"), found(t, MAJOR)), where(t, SCHOOL_ENDS, found(t, MAJOR_ROW))),
+        "certificates": certificates(t), "__position": where(t, ("期望", "意向", "应聘", "求职", "目标"), F.get(F.split(found(t, POSITION), POSITION_END), F.lit(0))), "skills": skills(t),
     })
     df = df.withColumns({
         "name": F.coalesce(F.when(~F.col("__label").isin(*NO_NAME), F.col("__label")), name_in_file(f), name_in_head(t)),
@@ -157,7 +165,7 @@ def parsed(df: DataFrame, text_col: str, file_col: str) -> DataFrame:
         "expected_position": none_if_empty(F.substring(F.regexp_replace("__position", "[：:，,。].*$", ""), 1, POSITION_LENGTH)),
     })
     # a candidate that is none is looked for once more in the text without verbs and degrees
-    df = df.withColumn("__second", F.when(F.col("__first").isNull(), found(F.regexp_replace(t, SCHOOL_NOISE, " "), SCHOOL)))
+    df = df.withColumn("__second", F.when(F.col("__first").isNull() & any_in(t, SCHOOL_ENDS), found(F.regexp_replace(t, SCHOOL_NOISE, " "), SCHOOL)))
     df = df.withColumn("school", F.coalesce("__first", picked_school(F.col("__second"))))
     by_school = F.when(F.col("school").rlike(LOWER_SCHOOL), "大专").when(F.col("school").rlike(HIGHER_SCHOOL), "本科")
     df = df.withColumn("education", F.coalesce(degree(F.col("__degree")), degree(F.col("__any")), by_school))

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gates
+from ..functions.text import none_if_empty
 from ..functions.values import BONUS_WEIGHT, HYPERNYMS, LEAST_TOTAL, MUST_WEIGHT, NOTHING, PENDING_FROM, RECOMMEND, RECOMMEND_FROM, SYNONYMS, SYSTEM_SOURCE
+from ..plans.shared import written
 
 MOST_HITS, MOST_MISSES = 8, 6
 
@@ -40,7 +42,8 @@ def token_hits(words: DataFrame, needs: DataFrame, synonyms: DataFrame, hypernym
 
     words: word; needs: need. All four are equi-joins over distinct words.
     """
-    w, n = words.select("word").distinct(), needs.select("need").distinct()
+    # vocabularies are read several times, so they are computed once
+    w, n = written(words.select("word").distinct(), "words"), written(needs.select("need").distinct(), "needs")
     inside = contained(n, w).toDF("need", "word").select("word", "need").unionByName(contained(w, n).toDF("word", "need"))
     groups = synonyms.groupBy("word").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
     left = w.join(groups, "word")
@@ -85,11 +88,10 @@ def gated(jobs: DataFrame, gate_col: str = "hard_gates") -> DataFrame:
     return jobs.withColumns({"need_level": gates.needed_level(g), "need_years": gates.needed_years(g)})
 
 
-def gate(cand_org: Column, education: Column, years: Column, job_org: Column, need_level: Column, need_years: Column) -> Column:
-    """Whether a candidate passes the mechanical gates on values."""
-    lacks_level = (need_level > 0) & (gates.level(education) < need_level)
+def gate(cand_org: Column, have_level: Column, years: Column, job_org: Column, need_level: Column, need_years: Column) -> Column:
+    """Whether a candidate passes the mechanical gates; levels are numbers, read from the texts once per row."""
     lacks_years = (need_years > 0) & (F.coalesce(years, F.lit(0)) < need_years)
-    return ~(gates.other_org(cand_org, job_org) | lacks_level | lacks_years)
+    return ~gates.other_org(cand_org, job_org) & (have_level >= need_level) & ~lacks_years
 
 
 def gate_reasons(cand_org: Column, education: Column, years: Column, certificates: Column, skills: Column, job_org: Column, gate_text: Column, age: Column | None = None) -> Column:
@@ -128,10 +130,17 @@ def match(cands: DataFrame, cand_tokens: DataFrame, jobs: DataFrame, need_tokens
     side = gated(jobs).join(size, "job_id").select("job_id", F.col("org").alias("job_org"), "need_level", "need_years", "must_weight", "bonus_weight", "n_must", "n_bonus")
     needs = need_tokens.select("job_id", "side", F.col("word").alias("need")).join(side.select("job_id", "job_org", "need_level", "need_years"), "job_id")
     have = need_hits(cand_tokens, need_tokens, synonyms, hypernyms)
-    who = cands.select("rid", F.col("org").alias("cand_org"), "education", "years")
-    # the candidates' side is dealt by rid once; the pairs of a candidate are counted where they arise
-    both = have.join(who, "rid").join(needs, "need")
-    both = both.where(gate(F.col("cand_org"), F.col("education"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years")))
+    who = cands.select("rid", none_if_empty(F.col("org")).alias("cand_org"), gates.level(F.col("education")).alias("have_level"), F.coalesce("years", F.lit(0)).alias("years"))
+    # the organisation is part of the join's key: an opening stands under its own (or none) and under any, a candidate asks
+    # for its own and none, or, without one, for any
+    named = lambda c: F.concat(F.lit("="), c)
+    org = none_if_empty(F.col("job_org"))
+    needs = needs.withColumn("key", F.explode(F.array(F.coalesce(named(org), F.lit("none")), F.lit("any"))))
+    needs = written(needs.select("job_id", "side", "need", "key", "need_level", "need_years"), "needs-by-org")
+    keys = F.when(F.col("cand_org").isNull(), F.array(F.lit("any"))).otherwise(F.array(named(F.col("cand_org")), F.lit("none")))
+    # dealt by candidate, so that its pairs are counted where they arise
+    have = have.join(who, "rid").withColumn("key", F.explode(keys)).repartition("rid")
+    both = have.join(needs, ["need", "key"]).where((F.col("have_level") >= F.col("need_level")) & (F.col("years") >= F.col("need_years")))
     pairs = both.groupBy("rid", "job_id").agg(F.count_if(F.col("side") == "must").alias("n_must_hit"), F.count_if(F.col("side") == "bonus").alias("n_bonus_hit"))
     out = scored(pairs.join(side.select("job_id", "must_weight", "bonus_weight", "n_must", "n_bonus"), "job_id"))
     return out.where(F.col("total_score") >= least)
