@@ -246,6 +246,18 @@ def test_repetitive_text_leaves_the_band():
     assert quality.in_band(packer, memoryview(b""))
 
 
+def test_word_stuffed_texts_leave_the_band(spark):
+    rnd = random.Random(3)
+    vocab = ["".join(rnd.choice("aeioulnrstdm") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(vocab[int(len(vocab) * rnd.random() ** 2)] for _ in range(n))
+    # one word over and over with another now and then, so that few runs of eight words occur twice
+    stuffed = lambda n: " ".join(x for _ in range(n // 5) for x in [*["Ment"] * rnd.randint(1, 6), rnd.choice(vocab)])
+    rows = [(k, prose(n)) for k, n in enumerate((25, 60, 120, 300, 900, 3000, 9000))] + [(100 + k, stuffed(n)) for k, n in enumerate((25, 50, 100, 200))]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {i for i, _ in rows if i < 100}
+
+
 # --- 7 ---
 
 KINDS = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
