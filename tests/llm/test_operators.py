@@ -382,6 +382,18 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_with_edges_finds_short_texts(spark):
+    rows = [
+        (1, "one line of its own"), (2, "one line of its own"), (3, "two lines\nof a text"), (4, "two lines\nof a text"), (5, "head a\nhead b\nu5\nv5\ntail a\ntail b"), (6, "head a\nhead b\nu6\nv6\ntail a\ntail b"),
+        (7, "u7\nhead a\nhead b\nv7"), (8, "one line of its own\nu8"), (9, ""), (10, ""), (11, " "), (12, " "), (13, None), (14, "a\nb\nc\nd"), (15, "x\nb\nc\nd"),
+    ]
+    got = {r.doc_id: (r.text, r.n_lines, r.removed) for r in line_dedup.line_dedup(clashing(frame(spark, rows)), edges=True).collect()}
+    gone = {2: ("", 1, [1]), 4: ("", 2, [1, 2]), 6: ("u6\nv6", 6, [1, 2, 5, 6]), 15: ("x", 4, [2, 3, 4])}
+    assert got == {i: gone.get(i, (t or "", len((t or "").split("\n")), [])) for i, t in rows}
+    plain = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert {i for i, n in plain.items() if n} == {15}
+
+
 # --- 10 ---
 
 
