@@ -258,12 +258,15 @@ def part_integrity(spark, sf):
 SELECT job_id, count(rid) AS n_pass FROM gate LEFT JOIN level ON org = job_org AND have_level >= need_level AND years >= need_years GROUP BY job_id"""))
 def match_gate(spark, sf):
     # candidates that a gate cannot tell apart are decided once
-    kinds = cands(spark, sf).groupBy("org", gates.level(F.col("education")).alias("have_level"), "years").agg(F.count(F.lit(1)).alias("n"))
-    j = matching.gated(jobs(spark, sf)).select("job_id", F.col("org").alias("job_org"), "need_level", "need_years")
-    asked = j.select("job_org", "need_level", "need_years").distinct()
-    ok = asked.join(kinds, (F.col("org") == F.col("job_org")) & matching.gate(F.col("org"), F.col("have_level"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years")))
-    n = ok.groupBy("job_org", "need_level", "need_years").agg(F.sum("n").alias("n_pass"))
-    return j.join(n, ["job_org", "need_level", "need_years"], "left").select("job_id", F.coalesce("n_pass", F.lit(0)).alias("n_pass"))
+    j = matching.gated(jobs(spark, sf)).select("job_id", F.col("org").alias("job_org"), "need_level", "need_years", "need_certificates")
+    c = matching.with_held(cands(spark, sf), cand_tokens(spark, sf), j.select(F.explode("need_certificates").alias("certificate")).distinct())
+    kinds = c.groupBy("org", gates.level(F.col("education")).alias("have_level"), "years", "held").agg(F.count(F.lit(1)).alias("n"))
+    key = ["job_org", "need_level", "need_years", "need_certificates"]
+    lost = F.array_except("need_certificates", "held")
+    asked = j.select(*key).distinct()
+    ok = asked.join(kinds, (F.col("org") == F.col("job_org")) & matching.gate(F.col("org"), F.col("have_level"), F.col("years"), F.col("job_org"), F.col("need_level"), F.col("need_years"), lost))
+    n = ok.groupBy(*key).agg(F.sum("n").alias("n_pass"))
+    return j.join(n, key, "left").select("job_id", F.coalesce("n_pass", F.lit(0)).alias("n_pass"))
 
 
 CERTS = [

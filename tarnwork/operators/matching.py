@@ -85,13 +85,17 @@ def scored(df: DataFrame) -> DataFrame:
 def gated(jobs: DataFrame, gate_col: str = "hard_gates") -> DataFrame:
     """Openings with their gate text read into columns, once per opening."""
     g = F.col(gate_col)
-    return jobs.withColumns({"need_level": gates.needed_level(g), "need_years": gates.needed_years(g)})
+    return jobs.withColumns({"need_level": gates.needed_level(g), "need_years": gates.needed_years(g), "need_certificates": F.array_distinct(gates.needed_certificates(g))})
 
 
-def gate(cand_org: Column, have_level: Column, years: Column, job_org: Column, need_level: Column, need_years: Column) -> Column:
-    """Whether a candidate passes the mechanical gates; levels are numbers, read from the texts once per row."""
+def gate(cand_org: Column, have_level: Column, years: Column, job_org: Column, need_level: Column, need_years: Column, lost: Column | None = None) -> Column:
+    """Whether a candidate passes the mechanical gates; levels are numbers, read from the texts once per row.
+
+    lost: the certificates asked for that the candidate lacks; without it, certificates are not compared.
+    """
     lacks_years = (need_years > 0) & (F.coalesce(years, F.lit(0)) < need_years)
-    return ~gates.other_org(cand_org, job_org) & (have_level >= need_level) & ~lacks_years
+    ok = ~gates.other_org(cand_org, job_org) & (have_level >= need_level) & ~lacks_years
+    return ok if lost is None else ok & (F.size(lost) == 0)
 
 
 def gate_reasons(cand_org: Column, education: Column, years: Column, certificates: Column, skills: Column, job_org: Column, gate_text: Column, age: Column | None = None) -> Column:
@@ -117,33 +121,57 @@ def major_needs_review(gate_text: Column, major: Column, skill_hits_need: Column
     return (s != "") & ~skill_hits_need & ~named
 
 
+def with_held(cands: DataFrame, cand_tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """cands with held: the certificates of asked (certificate) that lie within a candidate's certificates or one of the words."""
+    none = F.array().cast("array<string>")
+    if asked.isEmpty():
+        return cands.withColumn("held", none)
+    texts = cand_tokens.select("rid", "word")
+    if "certificates" in cands.columns:
+        texts = texts.unionByName(cands.select("rid", F.col("certificates").alias("word")).where("certificates <> ''"))
+    inside = contained(asked, texts.select("word")).toDF("certificate", "word")
+    held = texts.join(inside, "word").groupBy("rid").agg(F.array_sort(F.collect_set("certificate")).alias("held"))
+    return cands.join(held, "rid", "left").withColumn("held", F.coalesce("held", none))
+
+
 def match(cands: DataFrame, cand_tokens: DataFrame, jobs: DataFrame, need_tokens: DataFrame, synonyms: DataFrame, hypernyms: DataFrame, least: int = LEAST_TOTAL) -> DataFrame:
     """All pairs that pass the gates and reach the least total.
 
-    cands: rid, org, education, years. cand_tokens: rid, word. jobs: job_id, org, hard_gates, must_weight, bonus_weight.
-    need_tokens: job_id, side (must or bonus), pos, word; a word given twice counts twice. Returns rid, job_id, the counts,
-    scores, label. `least` must be positive: pairs without any hit are never formed.
+    cands: rid, org, education, years, and certificates and major where known. cand_tokens: rid, word. jobs: job_id, org,
+    hard_gates, must_weight, bonus_weight. need_tokens: job_id, side (must or bonus), pos, word; a word given twice counts
+    twice. Returns rid, job_id, the counts, scores, label, and major_review: a person must judge whether the major fits.
+    `least` must be positive: pairs without any hit are never formed.
     """
     if least <= 0:
         raise ValueError("a least total of 0 asks for every pair; this operator forms only pairs with a hit")
     size = need_tokens.groupBy("job_id").agg(F.count_if(F.col("side") == "must").alias("n_must"), F.count_if(F.col("side") == "bonus").alias("n_bonus"))
-    side = gated(jobs).join(size, "job_id").select("job_id", F.col("org").alias("job_org"), "need_level", "need_years", "must_weight", "bonus_weight", "n_must", "n_bonus")
-    needs = need_tokens.select("job_id", "side", F.col("word").alias("need")).join(side.select("job_id", "job_org", "need_level", "need_years"), "job_id")
-    have = need_hits(cand_tokens, need_tokens, synonyms, hypernyms)
-    who = cands.select("rid", none_if_empty(F.col("org")).alias("cand_org"), gates.level(F.col("education")).alias("have_level"), F.coalesce("years", F.lit(0)).alias("years"))
+    asked = ["job_id", "job_org", "need_level", "need_years", "need_certificates"]
+    read = gated(jobs).withColumn("job_org", F.col("org"))
+    side = read.join(size, "job_id").select(*asked, "hard_gates", "must_weight", "bonus_weight", "n_must", "n_bonus")
+    # the words of a major are met in the same join as those of the two sides, but score nothing
+    majors = read.select("job_id", F.lit("major").alias("side"), F.explode(gates.needed_majors(F.col("hard_gates"))).alias("word"))
+    words = need_tokens.where(F.col("side").isin("must", "bonus")).select("job_id", "side", "word").unionByName(majors)
+    needs = words.withColumnRenamed("word", "need").join(side.select(*asked), "job_id")
+    have = need_hits(cand_tokens, words, synonyms, hypernyms)
+    who = with_held(cands, cand_tokens, read.select(F.explode("need_certificates").alias("certificate")).distinct())
+    major = F.col("major") if "major" in cands.columns else F.lit(None).cast("string")
+    who = who.select("rid", none_if_empty(F.col("org")).alias("cand_org"), gates.level(F.col("education")).alias("have_level"), F.coalesce("years", F.lit(0)).alias("years"), major.alias("major"), "held")
     # the organisation is part of the join's key: an opening stands under its own (or none) and under any, a candidate asks
     # for its own and none, or, without one, for any
     named = lambda c: F.concat(F.lit("="), c)
     org = none_if_empty(F.col("job_org"))
     needs = needs.withColumn("key", F.explode(F.array(F.coalesce(named(org), F.lit("none")), F.lit("any"))))
-    needs = written(needs.select("job_id", "side", "need", "key", "need_level", "need_years"), "needs-by-org")
+    needs = written(needs.select("job_id", "side", "need", "key", "need_level", "need_years", "need_certificates"), "needs-by-org")
     keys = F.when(F.col("cand_org").isNull(), F.array(F.lit("any"))).otherwise(F.array(named(F.col("cand_org")), F.lit("none")))
     # dealt by candidate, so that its pairs are counted where they arise
     have = have.join(who, "rid").withColumn("key", F.explode(keys)).repartition("rid")
-    both = have.join(needs, ["need", "key"]).where((F.col("have_level") >= F.col("need_level")) & (F.col("years") >= F.col("need_years")))
-    pairs = both.groupBy("rid", "job_id").agg(F.count_if(F.col("side") == "must").alias("n_must_hit"), F.count_if(F.col("side") == "bonus").alias("n_bonus_hit"))
-    out = scored(pairs.join(side.select("job_id", "must_weight", "bonus_weight", "n_must", "n_bonus"), "job_id"))
-    return out.where(F.col("total_score") >= least)
+    both = have.join(needs, ["need", "key"])
+    both = both.where((F.col("have_level") >= F.col("need_level")) & (F.col("years") >= F.col("need_years")) & (F.size(F.array_except("need_certificates", "held")) == 0))
+    n = [F.count_if(F.col("side") == kind).alias(f"n_{kind}_hit") for kind in ("must", "bonus", "major")]
+    pairs = both.groupBy("rid", "job_id").agg(*n, F.max("major").alias("major"))
+    out = scored(pairs.join(side.select("job_id", "hard_gates", "must_weight", "bonus_weight", "n_must", "n_bonus"), "job_id"))
+    out = out.withColumn("major_review", major_needs_review(F.col("hard_gates"), F.col("major"), F.col("n_major_hit") > 0))
+    return out.where(F.col("total_score") >= least).drop("hard_gates", "major", "n_major_hit")
 
 
 def hit_lists(pairs: DataFrame, have: DataFrame, need_tokens: DataFrame) -> DataFrame:

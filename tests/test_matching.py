@@ -82,6 +82,46 @@ def test_match_equals_nested_loop(spark):
     assert {(r.rid, r.job_id, r.total_score) for r in got.collect()} == want
 
 
+def test_match_vetoes_missing_certificates_and_flags_majors(spark):
+    rnd = random.Random(2)
+    vocab = ["PLC", "PLC编程", "暖通", "空调系统", "会计", "单晶炉", "高压电工证", "持焊工证"]
+    # gate text, its certificates, its major and the words of it
+    gate_texts = [
+        ("", [], "", []), ("证书：高压电工证", ["高压电工证"], "", []), ("学历：本科；证书：高压电工证、焊工证等；专业：暖通（机械）", ["高压电工证", "焊工证"], "暖通（机械）", ["暖通", "机械"]),
+        ("证书：PMP优先", [], "", []), ("专业：光伏设备", [], "光伏设备", ["光伏设备"]), ("证书：不作硬性要求；专业：会计、财务", [], "会计、财务", ["会计", "财务"]), (None, [], "", []),
+    ]
+    cands = [(k, None, "本科", 3, rnd.choice([None, "", "高压电工证", "高压电工证、焊工证"]), rnd.choice([None, "", "机械", "财务", "物理"])) for k in range(60)]
+    have = {k: set(rnd.sample(vocab, rnd.randint(1, 5))) for k in range(60)}
+    jobs = [(f"j{k}", None, g[0], 1.0, 0.0) for k, g in enumerate(gate_texts)]
+    need = [(j[0], "must", p + 1, w) for j in jobs for p, w in enumerate(("PLC", "暖通", "会计"))]
+    tables = [
+        spark.createDataFrame(cands, "rid int, org string, education string, years int, certificates string, major string"), spark.createDataFrame([(k, w) for k, ws in have.items() for w in ws], "rid int, word string"),
+        spark.createDataFrame(jobs, "job_id string, org string, hard_gates string, must_weight double, bonus_weight double"), spark.createDataFrame(need, "job_id string, side string, pos int, word string"),
+    ]
+
+    def want(known):
+        out = set()
+        for rid, _, _, _, certs, major in cands:
+            certs, major = (certs, major) if known else (None, None)
+            pool = (certs or "") + "|" + "|".join(have[rid])
+            hits = sum(any(py_hit(c, n) for c in have[rid]) for n in ("PLC", "暖通", "会计"))
+            for (j, *_), (_, asked, s, words) in zip(jobs, gate_texts):
+                auto = any(py_hit(c, w) for c in have[rid] for w in words) or bool(major) and major in s
+                if hits and all(c in pool for c in asked):
+                    out.add((rid, j, round(100 * hits / 3), bool(s) and not auto))
+        return out
+
+    for known in (True, False):
+        c = tables[0] if known else tables[0].drop("certificates", "major")
+        got = matching.match(c, *tables[1:], *matching.dictionary(spark)).collect()
+        assert {(r.rid, r.job_id, r.total_score, r.major_review) for r in got} == want(known) and len(got) == len(want(known))
+        assert {x[3] for x in want(known)} == {True, False}
+    assert len({(r, j) for r, j, *_ in want(True)}) < len(cands) * len(jobs)
+    lost = spark.createDataFrame([([],), (["焊工证"],)], "lost array<string>")
+    one = F.lit(1)
+    assert [r[0] for r in lost.select(matching.gate(F.lit("a"), one, one, F.lit("a"), one, one, F.col("lost"))).collect()] == [True, False]
+
+
 def test_evidence_and_grants(spark):
     need = spark.createDataFrame([("j", "must", k + 1, w) for k, w in enumerate(["设备维修", "点检管理", "备件管理", "安全管理"])] + [("j", "bonus", 1, "光伏")], "job_id string, side string, pos int, word string")
     have = spark.createDataFrame([(1, "设备维修"), (1, "点检管理")], "rid int, need string")
