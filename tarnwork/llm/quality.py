@@ -3,7 +3,8 @@
 The compression band looks at bytes / zstandard bytes of the whole document and of fixed chunks of it. Text that
 repeats itself compresses far better, and noise far worse, than prose of the same length; so each class of lengths
 has its own limits. A document is rejected when its whole ratio leaves the band of its length, or when more than
-`CHUNK_SHARE` of its chunks leave the band of a chunk.
+`CHUNK_SHARE` of its chunks leave the band of a chunk, be it of the full ones or with the last `CHUNK` bytes of a text
+that ends inside one.
 """
 
 from __future__ import annotations
@@ -85,11 +86,13 @@ def in_band(packer, text: memoryview) -> bool:
         return True
     if not low <= n / len(packer.compress(text)) <= high:
         return False
-    full = n // CHUNK
-    if full < 2:
+    # a text of one chunk at most is judged as a whole; what is left after the full chunks counts as the last CHUNK bytes
+    if n <= CHUNK:
         return True
-    out = sum(not CHUNK_BAND[0] <= CHUNK / len(packer.compress(text[k * CHUNK : (k + 1) * CHUNK])) <= CHUNK_BAND[1] for k in range(full))
-    return out <= CHUNK_SHARE * full
+    leaves = [not CHUNK_BAND[0] <= CHUNK / len(packer.compress(text[k : k + CHUNK])) <= CHUNK_BAND[1] for k in [*range(0, n - CHUNK + 1, CHUNK), *([n - CHUNK] if n % CHUNK else [])]]
+    full = n // CHUNK
+    # a sound tail does not excuse the full chunks before it
+    return sum(leaves) <= CHUNK_SHARE * len(leaves) and (full < 2 or sum(leaves[:full]) <= CHUNK_SHARE * full)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

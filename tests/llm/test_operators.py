@@ -258,6 +258,24 @@ def test_word_stuffed_texts_leave_the_band(spark):
     assert {i for i, r in got.items() if r.kept} == {i for i, _ in rows if i < 100}
 
 
+def test_a_bad_tail_leaves_the_band():
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    keeps = lambda text: quality.in_band(packer, memoryview(text))
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("aeioulnrstdm") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    prose = " ".join(vocab[int(len(vocab) * rnd.random() ** 2)] for _ in range(5000)).encode()
+    noise = base64.b85encode(rnd.randbytes(4000))
+    for n in (4000, 4096, 4097, 5000, 8191, 8192, 12000, 20000):
+        assert keeps(prose[:n])
+    for n in (4096, 4500, 8192):
+        assert not keeps(prose[:n] + noise[:4000])
+    # one bad full chunk of three, then a sound tail
+    assert not keeps(prose[:8192] + noise[:4096] + prose[:2000])
+    assert keeps(prose[:20480] + noise[:2000])
+
+
 # --- 7 ---
 
 KINDS = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)]
