@@ -59,7 +59,7 @@ CATEGORIES = (
 OTHER_CATEGORY = "其他"
 
 # File kinds, sizes of batches.
-TEXT_KINDS, DOC_KINDS, IMAGE_KINDS = ("txt", "md"), ("doc", "docx", "pdf"), ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
+TEXT_KINDS, DOC_KINDS, IMAGE_KINDS = ("txt", "md"), ("doc", "docx", "pdf"), ("png", "jpg", "jpeg", "bmp", "gif", "webp", "tif", "tiff")
 MOST_PARTS, BLOCK_ROWS = 20, 8
 
 # Lengths from which an observation is made.
