@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -28,9 +29,11 @@ def _tidy() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else (local runs and tests) a folder of its own."""
+    """spark.checkpoint.dir; where it is unset, a folder of its own if driver and executors are one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.gettempdir()}/tarnwork-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(at)
         _scratch.append((spark, at))
@@ -44,11 +47,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return at
 
 
+#: Settings of a job whose result is written: its shuffle files go when it ends, since nothing reads them again, and what
+#: Python workers are sent at a time is small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict):
+    """The session with other settings, which are put back in the end."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet into the shared folder and read again; lost executors cost a reread, not a recomputation."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    spark = df.sparkSession
+    at = scratch(spark, name)
+    with settings(spark, WRITING):
+        df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
     out._written_at = at
     return out
 
