@@ -15,7 +15,7 @@ from .functions import gates, job, resume, text
 from .functions import normalize as norm
 from .functions import values as V
 from .operators import coverage, matching, refine, stats, tables
-from .plans import chain, intake, parts
+from .plans import chain, parts
 from .streaming.drain import recent
 
 LARGE = 40
@@ -565,49 +565,6 @@ def certs_skills_extract(spark, sf):
     return f.select("body", F.array_join(resume.certificates(F.col("body")), ",").alias("certs"), F.array_join(resume.skills(F.col("body")), ",").alias("skills"))
 
 
-RESUMES = [
-    ("姓名：张三\n电话：13812345678\n邮箱：a.b@example.com\n学历：本科\n毕业院校：华北电力大学\n专业：电气工程\n5年工作经验\n期望岗位：电气工程师 应聘企业：某厂\n期望城市：杭州\n熟悉PLC、CAD，持有高压电工证", "【设备_曲靖_8K】李四 3年.pdf"),
-    ("138-1234-5678 期望薪资：8K-10K", "王五－简历.docx"), ("赵六\n就读于贵州财经大学商务学院", ""), (None, "附件1：说明.txt"), ("大专\n某某职业技术学院|机电一体化|大专", "x.md"),
-]
-
-
-def shown(df: DataFrame) -> DataFrame:
-    """Arrays as texts."""
-    return df.select(*[F.array_join(c, ",").alias(c) if k.startswith("array") else c for c, k in df.dtypes])
-
-
-@query()
-def resume_parse_fields(spark, sf):
-    f = fixture(spark, "body file", RESUMES)
-    return shown(resume.parsed(f, "body", "file").drop("body", "file"))
-
-
-@query()
-def resume_parse_documents(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "text", F.concat("source", F.lit(".txt")).alias("file"))
-    return shown(resume.parsed(d, "text", "file").drop("text", "file"))
-
-
-@query()
-def resume_intake_report(spark, sf):
-    d = t(spark, sf, "documents")
-    k = F.col("doc_id")
-    d = d.select(F.concat(F.lpad(k.cast("string"), 12, "0"), F.lit(".txt")).alias("file"), "text", F.md5("text").alias("md5"), (k % 50 == 0).alias("needs_ocr"), F.when(k % 77 == 1, "unreadable").alias("error"))
-    return intake.report(intake.resumes(d, None, 1700000000000))
-
-
-JOBS = [
-    ("岗位名称：电气工程师\n岗位职责：\n1、负责设备管理与PLC编程\n2、审核图纸\n任职要求：\n1、本科及以上学历，5年及以上经验；\n2、熟悉CAD、PLC；\n3、有EHS经验者优先，持有高压电工证优先\n工作地点：曲靖", "附件1：岗位说明书-制造中心-电池设备部-电气工程师2.docx"),
-    ("工作内容：现场管理\n资格条件：大专学历，注册电气工程师证书", "岗位说明书－厂务管理部-暖通组－暖通主管.pdf"), ("", "制造中心-未知部门-司机.doc"), (None, None), ("精通Excel与SQL", "数据信息部-系统组-数据分析师-上海.docx"),
-]
-
-
-@query()
-def job_parse_fields(spark, sf):
-    f = fixture(spark, "body file", JOBS)
-    return shown(job.parsed(f, "body", "file").drop("body", "file"))
-
-
 @query("""SELECT page_id, regexp_replace(regexp_replace(html, '</(?:w:)?p>|<(?:w:)?br[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS body FROM pages""")
 def html_tag_strip(spark, sf):
     return t(spark, sf, "pages").select("page_id", text.stripped_markup(F.col("html")).alias("body"))
@@ -790,9 +747,12 @@ def status_report(spark, sf):
 
 @functools.cache
 def queries() -> dict:
+    from . import catalog_parsing  # noqa: F401  it registers queries of its own
+
     return dict(QUERIES)
 
 
 @functools.cache
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

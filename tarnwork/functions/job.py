@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .resume import bare_name, found
-from .text import none_if_empty, utrim, words_in
+from .text import any_in, none_if_empty, utrim, words_in
 from .values import BONUS_WEIGHT, CITIES, DEFAULT_ORGANISATION, DEPARTMENT_ALIASES, DEPARTMENTS, MUST_WEIGHT, OPEN_STATUS, ORGANISATIONS, SKILLS
 
 # Patterns of the fields.
@@ -18,6 +18,7 @@ SECTIONS = {
 }
 SECTION_END = r"(?U)(关键绩效指标|KPI|工作地点|职位名称|职等|直接上司|下属)|(?m:^\s*(?:起草|Draft|审核|批准)\s*[:：])"
 GATE = r"([^\n。；;]*(?:学历|大专|本科|硕士|博士|年及以上|年以上|证书|电工证|注册)[^\n。；;]*)"
+GATE_ENDS, GATE_WORDS = r"[\n。；;]", ("学历", "大专", "本科", "硕士", "博士", "年及以上", "年以上", "证书", "电工证", "注册")
 PREFERRED = "优先"
 LIMITS = {"job_name": 40, "section": 3000, "must": 12, "must_body": 10, "bonus": 8, "gates": 6}
 
@@ -75,7 +76,9 @@ def section(text: Column, name: str) -> Column:
 
 
 def gates(c: Column) -> Column:
-    parts = F.transform(F.regexp_extract_all(c, F.lit(GATE), F.lit(1)), lambda g: F.regexp_replace(g, "^[ 、，,：:]+|[ 、，,：:]+$", ""))
+    """What GATE finds: the fragments between its ends that hold one of its words. Taken apart first, long lines cost their length only."""
+    parts = F.filter(F.split(c, GATE_ENDS), lambda g: any_in(g, GATE_WORDS))
+    parts = F.transform(parts, lambda g: F.regexp_replace(g, "^[ 、，,：:]+|[ 、，,：:]+$", ""))
     return F.slice(F.array_distinct(F.filter(parts, lambda g: g != "")), 1, LIMITS["gates"])
 
 

@@ -76,10 +76,9 @@ def any_in(text: Column, words) -> Column:
 
 
 def words_in(text: Column, words) -> Column:
-    """The words that a text holds, letters in either case, longest first."""
-    low = F.lower(text)
-    order = sorted(set(words), key=lambda w: (-len(w), w))
-    return F.filter(F.array(*map(F.lit, order)), lambda w: F.contains(low, F.lower(w)))
+    """The words that a text holds, letters in either case, longest first. The text is lowered once, not once per word."""
+    order = F.array(*[F.lit(w) for w in sorted(set(words), key=lambda w: (-len(w), w))])
+    return F.flatten(F.transform(F.array(F.lower(text)), lambda low: F.filter(order, lambda w: F.contains(low, F.lower(w)))))
 
 
 def han_count(c: Column) -> Column:
