@@ -26,14 +26,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver for a garbage collection: Spark deletes the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def free(df: DataFrame, name: str) -> str:
     """A column name that df does not use."""
     while name in df.columns:
@@ -62,3 +54,23 @@ def may_be_in(docs: DataFrame, key: Column, some: DataFrame, some_key: Column) -
     hit = F.coalesce(bits["word"], F.lit(0)).bitwiseAND(F.call_function("shiftleft", one, bit(h))) != 0
     columns = [docs[c] for c in docs.columns]
     return marked.where(~hit).select(*columns), marked.where(hit).select(*columns)
+
+
+#: A key is hot with more than 1/HOT of all rows; so there are fewer than HOT hot keys, whatever the data.
+HOT = 1000
+
+
+def salted(many: DataFrame, one: DataFrame, keys, spread: str, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(many, one) with a column salt, to be joined on keys and salt so that no task gets more than about 1/HOT of many.
+
+    The rows of a hot key of many are dealt over salts by a hash of the column `spread`, and its rows of one are repeated for each
+    salt. The table of hot keys has fewer than HOT rows and is broadcast. many should be cheap to read more than once; total
+    stands for its number of rows where that is known to be about so many. Null keys are not hot: they meet nothing.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    bar = max((many.count() if total is None else total) / HOT, 1.0)
+    hot = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bar).dropna(subset=keys)
+    hot = hot.select(*keys, F.ceil(F.col("n") / bar).cast("int").alias("salts"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), "salts").cast("int"), F.lit(0))).drop("salts")
+    each = one.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt, each

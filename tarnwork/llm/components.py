@@ -1,23 +1,29 @@
-"""Connected components by alternating large-star and small-star steps; no step gathers a component in one place."""
+"""Connected components by alternating large-star and small-star steps.
+
+No step gathers a component in one place: the edges of a node with many are dealt over tasks by salts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, salted, written
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the node's smallest neighbour or itself."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    larger, least = salted(both.where("v > u"), least, "u", "v", total)
+    return larger.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     """Edges point from the larger to the smaller end."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    met = e.join(least.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    smaller, each = salted(e, least, "u", "v", total)
+    met = smaller.join(each, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return met.where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -31,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        old, e = e, written(_small_star(_large_star(e)).distinct(), "star")
+        old, e = e, written(_small_star(_large_star(e, now[0]), now[0]).distinct(), "star")
         drop_written(old)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     out._written_at = e._written_at

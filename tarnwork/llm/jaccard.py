@@ -2,10 +2,12 @@
 
 A document is the set of fingerprints of its shingles; documents with one set are one set from the first step on.
 
-1. Index. Every chunk of documents sends its sorted fingerprints, packed, to the token bucket they lie in. A bucket
-   learns which sets hold each token. Tokens of one set only are dropped: they can join nothing.
+1. Index. Every chunk of documents sends its sorted fingerprints, packed, to the token bucket they lie in, together with
+   the 128-bit names of its sets. A bucket is read in PARTS ranges of tokens, one at a time, and learns which sets hold each
+   token. Tokens of one set only are dropped: they can join nothing.
 2. Sets. The rest returns to the sets. In order of frequency the tokens of one set come first, so they fill a set's
-   prefix; a set whose prefix holds no shared token has no partner and is gone. That is most of a clean corpus.
+   prefix; a set whose prefix holds no shared token has no partner and is gone. That is most of a clean corpus. What is left
+   gets a number of its own.
 3. Similar sets. Sets that agree in a minimum hash are compared with one centre (the set with the largest share of shared
    tokens). A verified link puts a set into the centre's cluster, at a known distance.
 4. Block-skipping. The prefix index is read list by list, sorted by size; within a list, whole clusters are skipped that
@@ -13,9 +15,11 @@ A document is the set of fingerprints of its shingles; documents with one set ar
 5. Derived answers. Jaccard distance is a metric: from the distance of two centres and the members' distances
    to them, almost all pairs of members are decided without looking at them; the rest are compared.
 
-Fingerprints have 52 bits: two different shingles of a corpus of 10**8 agree with a chance of 2e-8 each.
-Results are the classes of the links (components). No step holds more than one bucket, and a group of copies or of
-near copies, however large, is a star and never all its pairs.
+Sets have 128-bit names, fingerprints 52 bits: a shingle of one document agrees
+with another shingle of a document it is compared with, of a thousand shingles each, with a chance of 2e-10.
+Results are the classes of the links (components). A task holds one range of a bucket's tokens and what it shares; the number of
+buckets is spark.sql.shuffle.partitions, so that setting sizes them. A group of copies or of near copies, however large, is a
+star and never all its pairs, and the rows of a centre are dealt over as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -25,23 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import drop_written, free, may_be_in, partitions, release, written
+from .common import drop_written, free, may_be_in, partitions, salted, written
 from .components import components
 
-#: Bits of a packed token that number the document within its chunk.
-OWNER = 12
+#: Bits of a packed token that number the document within its chunk; ranges of tokens in which a bucket is read.
+OWNER, PARTS = 12, 8
+#: Least and largest bytes of a chunk.
+CHUNK = (2_000_000, 8_000_000)
 HASHES = 3
-TOKENS, MEMBER, HEADER, SET = 0, 1, 2, 3
-FIELDS = "kind int, bucket int, blob binary, doc_id long, n int, set_id long"
+#: Kinds of rows, in the order in which a bucket reads them. `number` is a chunk's, a document's id or a set's.
+NAMES, TOKENS, MEMBER, HEADER, SET = 0, 1, 2, 3, 4
+FIELDS = "kind int, bucket int, part int, blob binary, number long, n int, hi long, lo long"
 
 
 def shingle_keys(data, offs, size: int):
     """(hash, text number) of all shingles: `size` words each; a text with fewer has its whole sequence as one."""
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    starts, ends, owner = flat.words(data, offs)
-    h = flat.Spans(data).hashes(starts, ends)
+    h, _, n_words = flat.named_words(data, offs)
+    owner = np.repeat(np.arange(len(n_words)), n_words)
     shingle, whole = flat.windows(h, owner, size)
-    n_words = np.bincount(owner, minlength=len(offs) - 1)
     first = np.cumsum(n_words) - n_words
     short = np.flatnonzero((n_words > 0) & (n_words < size))
     with np.errstate(over="ignore"):
@@ -49,7 +55,7 @@ def shingle_keys(data, offs, size: int):
         for k in range(size - 1):
             more = n_words[short] > k
             at = np.minimum(first[short] + k, max(len(h) - 1, 0))
-            acc = np.where(more, acc * flat.STEP + h[at] if len(h) else acc, acc)
+            acc = np.where(more, (acc ^ (acc >> np.uint64(29))) * flat.STEP + h[at] if len(h) else acc, acc)
     return np.concatenate([shingle[whole], flat.mixed(acc)]), np.concatenate([owner[: len(whole)][whole], short])
 
 
@@ -71,35 +77,48 @@ def unpack(blob):
     return np.cumsum(steps, dtype=np.uint64), blob[24 + n * width :]
 
 
-def _rows(kind, bucket, blob=None, doc_id=None, n=None, set_id=None):
+def _rows(kind, bucket, part=None, blob=None, number=None, n=None, hi=None, lo=None):
     import pyarrow as pa
 
     size = len(bucket)
-    cols = [np.full(size, kind, np.int32), np.asarray(bucket, np.int32), blob, doc_id, n, set_id]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+    cols = [np.full(size, kind, np.int32), np.asarray(bucket, np.int32), np.zeros(size, np.int32) if part is None else part, blob, number, n, hi, lo]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     cols = [pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)]
     return pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in FIELDS.split(", ")])
 
 
+def _unique(hi, lo):
+    """(distinct names hi, lo in order, the place of each name among them)."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    place = np.empty(len(hi), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return hi[new], lo[new], place
+
+
 def _index(size: int, buckets: int):
-    """Documents -> packed tokens by token bucket, a member row per document, a header row per set of a chunk."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    chunk = min(32_000_000, max(2_000_000, 2_000_000 * buckets // 128))
+    """Documents -> packed tokens by token bucket and range, names of sets, a member row per document, a header row per set of a chunk."""
+    ranges = buckets * PARTS
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    chunk = min(CHUNK[1], max(CHUNK[0], CHUNK[0] * buckets // 64))
 
     @flat.trimmed
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        number = TaskContext.get().partitionId() << 36
         for b in batches:
             ids, data, offs = b.column(0), *flat.buffers(b.column(1))
             for a, e in flat.pieces(offs, chunk):
                 for a in range(a, e, 1 << OWNER):
                     end = min(e, a + (1 << OWNER))
-                    yield from one(pa, ids.slice(a, end - a), data[offs[a] : offs[end]], offs[a : end + 1] - offs[a])
-                    if end == e:
-                        break
+                    yield from one(pa, number, ids.slice(a, end - a), data[offs[a] : offs[end]], offs[a : end + 1] - offs[a])
+                    number += 1
 
-    def one(pa, ids, data, offs):
+    def one(pa, number, ids, data, offs):
         docs = len(offs) - 1
         h, owner = shingle_keys(data, offs, size)
         low = np.uint64((1 << OWNER) - 1)
@@ -108,60 +127,102 @@ def _index(size: int, buckets: int):
         owner = (keys & low).astype(np.uint16)
         n = np.bincount(owner, minlength=docs)
         filled = np.flatnonzero(n)
-        by_doc = np.argsort(owner, kind="stable")
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(flat.mixed((keys >> np.uint64(OWNER)) * flat.STEP)[by_doc], (np.cumsum(n) - n)[filled]) if len(filled) else np.zeros(0, np.uint64)
-            set_of = np.zeros(docs, np.int64)
-            set_of[filled] = flat.mixed(sums + n[filled].astype(np.uint64) * flat.BASE).view(np.int64)
+        hi, lo = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+        if len(filled):
+            by_doc = np.argsort(owner, kind="stable")
+            token, first = (keys >> np.uint64(OWNER))[by_doc], (np.cumsum(n) - n)[filled]
+            count = n[filled].astype(np.uint64)
+            with np.errstate(over="ignore"):  # two independent sums name a set, with its size
+                hi[filled] = flat.mixed(np.add.reduceat(flat.mixed(token * flat.STEP), first) + count * flat.BASE).view(np.int64)
+                lo[filled] = flat.mixed(np.add.reduceat(flat.mixed(token * flat.BASE + flat.STEP), first) + count * flat.STEP).view(np.int64)
         no_set = n == 0
-        yield _rows(MEMBER, np.arange(docs) % buckets, doc_id=ids, n=n.astype(np.int32), set_id=pa.array(set_of, mask=no_set))
-        uniq, stands = np.unique(set_of[filled], return_index=True)
-        stands = np.sort(filled[stands])
-        if not len(stands):
+        yield _rows(MEMBER, np.arange(docs) % buckets, number=ids, n=n.astype(np.int32), hi=pa.array(hi, mask=no_set), lo=pa.array(lo, mask=no_set))
+        if not len(filled):
             return
-        yield _rows(HEADER, set_of[stands] % buckets, n=n[stands].astype(np.int32), set_id=set_of[stands])
         # one document stands for the copies of the chunk; the chunk's sets are numbered anew
-        number = np.full(docs, -1, np.int64)
-        number[stands] = np.arange(len(stands))
-        mine = number[owner] >= 0
-        keys = (keys[mine] & ~low) | number[owner[mine]].astype(np.uint64)
+        _, _, place = _unique(hi[filled], lo[filled])
+        stands = np.sort(filled[np.unique(place, return_index=True)[1]])
+        yield _rows(HEADER, hi[stands].view(np.uint64) % np.uint64(buckets), n=n[stands].astype(np.int32), hi=hi[stands], lo=lo[stands])
+        local = np.full(docs, -1, np.int64)
+        local[stands] = np.arange(len(stands))
+        keys = keys[local[owner] >= 0]
         cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-        held = np.flatnonzero(np.diff(cuts))
-        sets = set_of[stands]
-        blobs = []
-        for k in held:
-            part = keys[cuts[k] : cuts[k + 1]]
-            used = np.unique(part & low).astype(np.int64)
+        hi, lo = hi[stands], lo[stands]
+        for bucket in range(buckets):
+            at = cuts[bucket * PARTS : (bucket + 1) * PARTS + 1]
+            if at[0] == at[-1]:
+                continue
+            part = keys[at[0] : at[-1]]
+            own = local[(part & low).astype(np.int64)]
+            used = np.unique(own)
             again = np.zeros(len(stands), np.uint64)
-            again[used] = np.arange(len(used))
-            blobs.append(pack((part & ~low) | again[(part & low).astype(np.int64)]) + sets[used].tobytes())
-        yield _rows(TOKENS, held, blob=blobs)
+            again[used] = np.arange(len(used), dtype=np.uint64)
+            part = (part & ~low) | again[own]
+            held = np.flatnonzero(np.diff(at))
+            blobs = [pack(part[at[k] - at[0] : at[k + 1] - at[0]]) for k in held]
+            yield _rows(NAMES, [bucket], blob=[hi[used].tobytes() + lo[used].tobytes()], number=[number])
+            yield _rows(TOKENS, np.full(len(held), bucket), part=held.astype(np.int32), blob=blobs, number=np.full(len(held), number))
 
     return run
 
 
-def _by_bucket(batches, wanted):
-    """Sorted batches -> (rows to pass on, None) and (None, {kind: rows}) once per bucket."""
+def _runs(batches, held_kinds):
+    """Sorted batches -> (None, rows) to pass on at once, and (bucket, kind, part), rows once per run of rows of `held_kinds`."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    at, held = None, []
+    now, held = None, []
     for b in batches:
         t = pa.table({c: b.column(c) for c in b.schema.names})
-        other = t.filter(pc.invert(pc.is_in(t["kind"], pa.array(wanted, pa.int32()))))
+        mine = pc.is_in(t["kind"], pa.array(held_kinds, pa.int32()))
+        other = t.filter(pc.invert(mine))
         if other.num_rows:
-            yield other, None
-        t = t.filter(pc.is_in(t["kind"], pa.array(wanted, pa.int32())))
-        marks = t["bucket"].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(marks)) + 1, [len(marks)]]) if len(marks) else []
+            yield None, other
+        t = t.filter(mine)
+        if not t.num_rows:
+            continue
+        keys = np.stack([t[c].to_numpy() for c in ("bucket", "kind", "part")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for s, e in zip(cuts[:-1], cuts[1:]):
-            if at is not None and marks[s] != at:
-                yield None, pa.concat_tables(held)
+            key = tuple(keys[s].tolist())
+            if now is not None and key != now:
+                yield now, pa.concat_tables(held)
                 held = []
-            at = marks[s]
+            now = key
             held.append(t.slice(s, e - s))
     if held:
-        yield None, pa.concat_tables(held)
+        yield now, pa.concat_tables(held)
+
+
+def _blobs(rows):
+    for blob in rows["blob"]:
+        yield blob.as_buffer().to_pybytes()
+
+
+def _shared_tokens(rows, first_of: dict, place):
+    """One range of a bucket's tokens -> (token, set, frequency) of those that two sets hold, or None."""
+    token, sets = [], []
+    for number, blob in zip(rows["number"].to_pylist(), _blobs(rows)):
+        k, _ = unpack(blob)
+        token.append(k >> np.uint64(OWNER))
+        sets.append(place[first_of[number] + (k & np.uint64((1 << OWNER) - 1)).astype(np.int64)])
+    token, sets = np.concatenate(token), np.concatenate(sets)
+    order = np.argsort(token)
+    token, sets = token[order], sets[order]
+    same = token[1:] == token[:-1]
+    more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    token, sets = token[more], sets[more]
+    if not len(token):
+        return None
+    order = np.lexsort((sets, token))
+    token, sets = token[order], sets[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])])
+    token, sets = token[new], sets[new]
+    run_at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    df = np.diff(np.append(run_at, len(token)))
+    df = np.repeat(df, df)
+    more = df > 1
+    return (token[more], sets[more], df[more].astype(np.int32)) if more.any() else None
 
 
 def _shared(buckets: int):
@@ -169,34 +230,12 @@ def _shared(buckets: int):
 
     @flat.trimmed
     def run(batches):
-        for other, rows in _by_bucket(batches, [TOKENS]):
-            if other is not None:
-                yield from other.to_batches()
-                continue
-            keys, sets = [], []
-            for blob in rows["blob"]:
-                k, rest = unpack(blob.as_buffer().to_pybytes())
-                keys.append(k >> np.uint64(OWNER))
-                sets.append(np.frombuffer(rest, np.int64)[(k & np.uint64((1 << OWNER) - 1)).astype(np.int64)])
-            token, sets = np.concatenate(keys), np.concatenate(sets)
-            order = np.argsort(token)
-            token, sets = token[order], sets[order]
-            same = token[1:] == token[:-1]
-            more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            token, sets = token[more], sets[more]
-            order = np.lexsort((sets, token))
-            token, sets = token[order], sets[order]
-            if not len(token):
-                continue
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])])
-            token, sets = token[new], sets[new]
-            run_at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            df = np.diff(np.append(run_at, len(token)))
-            df = np.repeat(df, df)
-            token, sets, df = token[df > 1], sets[df > 1], df[df > 1]
-            if not len(token):
-                continue
-            to = sets % buckets
+        at, found = None, []
+        hi = lo = place = first_of = None
+
+        def told():
+            token, sets, df = (np.concatenate(x) for x in zip(*found))
+            to = (hi.view(np.uint64) % np.uint64(buckets)).astype(np.int32)[sets]
             order = np.lexsort((sets, to))
             token, sets, df, to = token[order], sets[order], df[order], to[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
@@ -204,44 +243,75 @@ def _shared(buckets: int):
             for s, e in zip(cuts[:-1], cuts[1:]):
                 own, counts = np.unique(sets[s:e], return_counts=True)
                 head = np.array([len(own), e - s], np.int64).tobytes()
-                blobs.append(head + own.tobytes() + counts.astype(np.int32).tobytes() + token[s:e].tobytes() + df[s:e].astype(np.int32).tobytes())
+                blobs.append(head + hi[own].tobytes() + lo[own].tobytes() + token[s:e].tobytes() + counts.astype(np.int32).tobytes() + df[s:e].tobytes())
             yield _rows(TOKENS, to[cuts[:-1]], blob=blobs)
 
+        for key, rows in _runs(batches, [NAMES, TOKENS]):
+            if key is None:
+                yield from rows.to_batches()
+                continue
+            if key[0] != at and found:
+                yield from told()
+                found = []
+            at = key[0]
+            if key[1] == NAMES:  # comes before the tokens of its bucket
+                names = [np.frombuffer(x, np.int64).reshape(2, -1) for x in _blobs(rows)]
+                sizes = np.array([x.shape[1] for x in names])
+                first_of = dict(zip(rows["number"].to_pylist(), (np.cumsum(sizes) - sizes).tolist()))
+                hi, lo, place = _unique(*np.concatenate(names, 1))
+            elif (got := _shared_tokens(rows, first_of, place)) is not None:
+                found.append(got)
+        if found:
+            yield from told()
+
     return run
 
 
 def _alive(percent: int):
-    """Set buckets -> the sets whose prefix holds a shared token, with all their shared tokens, the rarest first."""
+    """Set buckets -> the sets whose prefix holds a shared token, numbered, with all their shared tokens, the rarest first."""
+
+    def sets_of(rows, header):
+        his, los, counts, tokens, dfs = [header["hi"].to_numpy()], [header["lo"].to_numpy()], [], [], []
+        for raw in _blobs(rows):
+            n_sets, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+            his.append(np.frombuffer(raw, np.int64, n_sets, 16))
+            los.append(np.frombuffer(raw, np.int64, n_sets, 16 + 8 * n_sets))
+            tokens.append(np.frombuffer(raw, np.uint64, n, 16 + 16 * n_sets))
+            counts.append(np.frombuffer(raw, np.int32, n_sets, 16 + 16 * n_sets + 8 * n))
+            dfs.append(np.frombuffer(raw, np.int32, n, 16 + 20 * n_sets + 8 * n))
+        hi, lo, place = _unique(np.concatenate(his), np.concatenate(los))
+        n_of = np.zeros(len(hi), np.int64)
+        n_of[place[: header.num_rows]] = header["n"].to_numpy()
+        sets, tokens, dfs = np.repeat(place[header.num_rows :], np.concatenate(counts)), np.concatenate(tokens), np.concatenate(dfs)
+        order = np.lexsort((tokens, dfs, sets))
+        sets, tokens = sets[order], tokens[order]
+        at = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
+        own, k = sets[at], np.diff(np.append(at, len(sets)))
+        live = np.flatnonzero(k >= least_overlap(n_of[own], percent))
+        return tokens, at[live], k[live], n_of[own[live]], hi[own[live]], lo[own[live]]
 
     @flat.trimmed
     def run(batches):
-        for other, rows in _by_bucket(batches, [TOKENS, HEADER]):
-            if other is not None:
-                yield from other.to_batches()
-                continue
-            kind = rows["kind"].to_numpy()
-            head = rows.filter(kind == HEADER)
-            sets, tokens, dfs = [], [], []
-            for blob in rows.filter(kind == TOKENS)["blob"]:
-                raw = blob.as_buffer()
-                n_sets, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-                own, counts = np.frombuffer(raw, np.int64, n_sets, 16), np.frombuffer(raw, np.int32, n_sets, 16 + 8 * n_sets)
-                sets.append(np.repeat(own, counts))
-                tokens.append(np.frombuffer(raw, np.uint64, n, 16 + 12 * n_sets))
-                dfs.append(np.frombuffer(raw, np.int32, n, 16 + 12 * n_sets + 8 * n))
-            if not sets:
-                continue
-            sets, tokens, dfs = map(np.concatenate, (sets, tokens, dfs))
-            order = np.lexsort((tokens, dfs, sets))
-            sets, tokens = sets[order], tokens[order]
-            at = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1]]))
-            own, k = sets[at], np.diff(np.append(at, len(sets)))
-            ids, first = np.unique(head["set_id"].to_numpy(), return_index=True)
-            n = head["n"].to_numpy()[first][np.searchsorted(ids, own)].astype(np.int64)
-            live = np.flatnonzero(k >= least_overlap(n, percent))
-            for part in np.array_split(live, len(live) // 2000 + 1):
+        from pyspark import TaskContext
+
+        number, waiting = TaskContext.get().partitionId() << 36, {}
+
+        def told(number):
+            tokens, at, k, n, hi, lo = sets_of(waiting[TOKENS], waiting[HEADER])
+            for part in np.array_split(np.arange(len(at)), len(at) // 2000 + 1):
                 if len(part):
-                    yield _rows(SET, np.zeros(len(part)), blob=[tokens[at[x] : at[x] + k[x]].tobytes() for x in part], n=n[part].astype(np.int32), set_id=own[part])
+                    yield _rows(SET, np.zeros(len(part)), blob=[tokens[at[x] : at[x] + k[x]].tobytes() for x in part], n=n[part].astype(np.int32), number=number + part, hi=hi[part], lo=lo[part])
+
+        for key, rows in _runs(batches, [TOKENS, HEADER]):
+            if key is None:
+                yield from rows.to_batches()
+            elif key[1] == TOKENS:
+                waiting = {"bucket": key[0], TOKENS: rows}
+            elif waiting.get("bucket") == key[0]:  # a bucket without shared tokens has headers only
+                waiting[HEADER] = rows
+                yield from told(number)
+                number += rows.num_rows
+                waiting = {}
 
     return run
 
@@ -285,10 +355,11 @@ def _overlaps(batches):
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs a, b -> a, b, distance, link."""
+    """written pairs a, b -> a, b, distance, link. The pairs of one a are dealt over as many tasks as their number asks for."""
     left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("blob").alias("t_a"))
     right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("blob").alias("t_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b")
+    dealt, left = salted(pairs, left, "a", "b")
+    both = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "n_a", "n_b", "t_a", "t_b")
     got = both.mapInArrow(_overlaps, "a long, b long, n_a int, n_b int, inter int")
     union = F.col("n_a") + F.col("n_b") - F.col("inter")
     return got.select("a", "b", (1 - F.col("inter") / union).alias("distance"), (F.col("inter").cast("long") * 100 >= union.cast("long") * percent).alias("link"))
@@ -327,9 +398,7 @@ def _cluster_pairs(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        for _, rows in _by_bucket(batches, [TOKENS]):
-            if rows is None:
-                continue
+        for _, rows in _runs(batches, [TOKENS]):
             e = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 5) for x in rows["blob"]])
             token, centre, root, n, rest = e.T
             order = np.lexsort((n, centre, token))
@@ -366,7 +435,7 @@ def _cluster_pairs(percent: int):
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part")
 
 
 def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,25 +446,24 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     `percent` / 100; component_id is the smallest doc_id reachable by links, itself included. A null, empty or blank text has
     no shingles and is linked with nothing (component_id is its own doc_id). Null ids are never the smallest; a component of
     null ids only has a null one. Repeated rows link with each other. An empty table gives an empty result; other columns
-    are ignored. doc_id is returned as long.
+    are ignored. doc_id is returned as long. A text of any length is one set of all its shingles; it takes about ten times its
+    size of a worker's memory.
     """
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+    buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = rows.mapInArrow(_index(size, buckets), FIELDS)
     shared = _dealt(index, buckets).mapInArrow(_shared(buckets), FIELDS)
     base = written(_dealt(shared, buckets).mapInArrow(_alive(percent), FIELDS), "jaccard-sets")
-    del index, shared
-    release(spark)
-    members = base.where(F.col("kind") == MEMBER).select("doc_id", "n", "set_id")
-    sets = base.where(F.col("kind") == SET).select("set_id", "n", "blob")
+    members = base.where(F.col("kind") == MEMBER).select(F.col("number").alias("doc_id"), "n", "hi", "lo")
+    sets = base.where(F.col("kind") == SET).select(F.col("number").alias("set_id"), "n", "blob")
+    names = base.where(F.col("kind") == SET).select(F.col("number").alias("set_id"), "hi", "lo")
 
     # similar sets meet at a centre
     slots = written(sets.mapInArrow(_slots, "slot long, set_id long, share double"), "jaccard-slots")
     centre = slots.groupBy("slot").agg(F.max(F.struct("share", "set_id"))["set_id"].alias("a"))
-    stars = slots.join(centre, "slot").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct()
+    stars = written(slots.join(centre, "slot").where("set_id <> a").select("a", F.col("set_id").alias("b")).distinct(), "jaccard-pairs")
     links = written(_compared(stars, sets, percent).where("link"), "jaccard-stars")
-    drop_written(slots)
+    drop_written(slots), drop_written(stars)
     forest = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     nearest = links.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("x")).select(F.col("b").alias("set_id"), F.col("x.a").alias("centre"), F.col("x.distance").alias("far"))
     common = (F.octet_length("blob") / 8).cast("int").alias("k")
@@ -404,8 +472,9 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
 
     # clusters of different classes that share a token of their prefixes
     lists = sets.join(placed.drop("n", "k"), "set_id").select("set_id", "n", "blob", "centre", "root").mapInArrow(_prefixes(buckets, percent), FIELDS)
-    near = _dealt(lists, buckets).mapInArrow(_cluster_pairs(percent), "a long, b long").distinct()
-    near = written(_compared(near, sets, percent), "jaccard-near")
+    clusters = written(_dealt(lists, buckets).mapInArrow(_cluster_pairs(percent), "a long, b long").distinct(), "jaccard-pairs")
+    near = written(_compared(clusters, sets, percent), "jaccard-near")
+    drop_written(clusters)
     edges = forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(near.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")))
     if not near.where("link").isEmpty():
         old, forest = forest, components(edges)
@@ -426,28 +495,32 @@ def ngram_jaccard(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str
     # two sets have no more in common than the shared tokens of either
     fits &= F.least("k_a", "k_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     pairs = pairs.where(fits & (F.col("far_a") + F.col("far_b") > 0)).select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
-    late = written(_compared(pairs, sets, percent).where("link"), "jaccard-late")
+    pairs = written(pairs, "jaccard-pairs")
+    late = pairs if pairs.isEmpty() else written(_compared(pairs, sets, percent).where("link"), "jaccard-late")
     if not late.isEmpty():
         old, forest = forest, components(forest.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         drop_written(old)
 
     # the smallest id of each class of sets; sets of one document and no link need none
-    own = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    own = own.join(forest.withColumnRenamed("node", "set_id"), "set_id", "left").where("copies > 1 or root is not null")
-    own = written(own.select("set_id", "least", "copies", F.coalesce("root", "set_id").alias("root")), "jaccard-classes")
-    for spent in (links, placed, near, late, forest):
+    own = members.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    linked = names.join(forest.withColumnRenamed("node", "set_id"), "set_id").select("hi", "lo", "root")
+    own = own.join(linked, ["hi", "lo"], "left").where("copies > 1 or root is not null")
+    own = written(own, "jaccard-classes")
+    for spent in (links, placed, near, pairs, late, forest):
         drop_written(spent)
-    class_id = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = own.join(class_id, "root").select(F.col("set_id").alias("of_set"), "component_id")
-    out = members.join(label, F.col("set_id") == F.col("of_set"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("of_set").isNull(), F.col("doc_id"))).alias("component_id"))
+    class_id = own.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    # a set without a link is a class of its own copies
+    label = own.join(class_id, "root", "left").select("hi", "lo", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("known"))
+    members, label = salted(members, label, ("hi", "lo"), "doc_id")
+    out = members.join(label, ["hi", "lo", "salt"], "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("known").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
 def representatives(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of linked ones, the one with the smallest id; all columns as they came.
 
-    Rows that share the smallest id of their group all stay, and so do rows with a null id. Only rows whose id may be one of
-    those that go (see may_be_in) are shuffled.
+    Rows that share the smallest id of their group all stay, and so do rows with a null id and null, empty or blank texts. An
+    empty table gives an empty one. Only rows whose id may be one of those that go (see may_be_in) are shuffled.
     """
     gone = free(docs, "__gone")
     found = ngram_jaccard(docs, size, percent, id_col, text_col)

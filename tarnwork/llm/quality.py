@@ -32,50 +32,49 @@ WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 
 
 def counts(data, offs):
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+    """Of each text: words, code points in words, symbols, repeated lines, words in repeated windows.
+
+    Lines are compared as they are, windows by two hashes of their words' 128-bit names.
+    """
     n = len(offs) - 1
+    filled = np.flatnonzero(offs[1:] > offs[:-1])
 
     def per_text(flags):
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total
+        out = np.zeros(n, np.int64)
+        if len(filled):
+            out[filled] = np.add.reduceat(flags, offs[filled], dtype=np.int64)
+        return out
 
-    starts, ends, owner = flat.words(data, offs)
-    n_words = np.bincount(owner, minlength=n)
-    first = per_text((data & 0xC0 != 0x80) & ~flat.SPACES[data])
+    chars = per_text((data & 0xC0 != 0x80) & ~flat.SPACES[data])
     marks = per_text(SYMBOLS[data])
-    spans = flat.Spans(data)
-
-    # lines with a word; a line that starts with its own end has none
-    nl = np.flatnonzero(data == 10)
-    line = np.unique(np.concatenate([offs[:-1][offs[1:] > offs[:-1]], nl + 1]))
-    line = line[line < len(data)]
-    line = line[data[line] != 10]
-    stops = np.unique(np.concatenate([nl, offs[1:]]))
-    line_end = stops[np.searchsorted(stops, line, "right")] if len(line) else line
-    has = np.searchsorted(starts, line_end, "left") > np.searchsorted(starts, line, "left")
-    line, line_end = line[has], line_end[has]
-    of = np.searchsorted(offs, line, "right") - 1
-    with np.errstate(over="ignore"):
-        key = flat.mixed(spans.hashes(line, line_end) + of.astype(np.uint64) * flat.BASE)
-    _, at = np.unique(key, return_index=True)
-    dup_lines = np.bincount(of, minlength=n) - np.bincount(of[at], minlength=n)
-
-    h, whole = flat.windows(spans.hashes(starts, ends), owner, WINDOW)
+    dup_lines = np.zeros(n, np.int64)
+    for k in filled.tolist():
+        lines = [x for x in data[offs[k] : offs[k + 1]].tobytes().split(b"\n") if x and not x.isspace()]
+        dup_lines[k] = len(lines) - len(set(lines))
+
+    h, h2, n_words = flat.named_words(data, offs)
+    owner = np.repeat(np.arange(n), n_words)
+    h, whole = flat.windows(h, owner, WINDOW)
     at = np.flatnonzero(whole)
     with np.errstate(over="ignore"):
         h = flat.mixed(h[at] + owner[at].astype(np.uint64) * flat.BASE)
-    order = np.sort(h)
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
     repeat = np.zeros(n, np.int64)
-    if len(twice):
-        got = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-        hit = at[twice[got] == h]
-        cover = np.zeros(len(starts) + 1, np.int64)
+    if same.any():
+        # only the windows whose first hash occurs again: they need both hashes and the text to agree
+        again = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        h, at = h[order[again]], at[order[again]]
+        h2 = flat.windows(h2, owner, WINDOW)[0][at]
+        order = np.lexsort((h2, owner[at], h))
+        h, h2, at = h[order], h2[order], at[order]
+        same = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1]) & (owner[at[1:]] == owner[at[:-1]])
+        hit = at[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        cover = np.zeros(len(owner) + 1, np.int64)
         cover[hit] += 1
         np.subtract.at(cover, hit + WINDOW, 1)
         repeat = np.bincount(owner[np.cumsum(cover[:-1]) > 0], minlength=n)
-    return n_words, first[offs[1:]] - first[offs[:-1]], marks[offs[1:]] - marks[offs[:-1]], dup_lines, repeat
+    return n_words, chars, marks, dup_lines, repeat
 
 
 def in_band(packer, text: memoryview) -> bool:
@@ -100,7 +99,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that occur twice or more. kept: not
     base_failed and within the compression bands. A null or empty text has no words and fails; null ids and repeated
-    rows each get their row; an empty table gives an empty result; other columns are ignored.
+    rows each get their row; an empty table gives an empty result; other columns are ignored. A text of any length is judged
+    whole; it takes about ten times its size of a worker's memory.
     """
 
     @flat.trimmed
@@ -126,7 +126,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns, whatever their names."""
+    """The rows of docs that quality() keeps, with all their columns, whatever their names.
+
+    A null or empty text has no words and goes; rows with null ids and repeated rows are judged one by one and never merged; an
+    empty table gives an empty one. Texts of any length are judged whole.
+    """
     at = docs.columns.index(text_col)
 
     @flat.trimmed

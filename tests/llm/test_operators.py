@@ -220,6 +220,33 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cover), len(w) < 20 or 100 * len(cover) > 30 * len(w)
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_structured_lines_and_words_are_told_apart(spark):
+    """Strings on which a hash that is linear modulo 2**64 collides: Thue-Morse strings and their complements."""
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        rows += [(10 * k, f"{x}\n{y}\n{x}"), (10 * k + 1, f"{x}\n{y}"), (10 * k + 2, " ".join(thue_morse(n, "ab", "cd")[2 * j : 2 * j + 2] for j in range(n))), (10 * k + 3, x), (10 * k + 4, y)]
+        rows += [(10 * k + 5, f"one two {x} four five"), (10 * k + 6, f"one two {y} four five")]
+    got = {tuple(r)[:-1] for r in quality.quality(frame(spark, rows)).collect()}
+    assert got == {(i, *brute_quality(t)) for i, t in rows}
+    assert Counter(map(tuple, jaccard.ngram_jaccard(frame(spark, rows)).collect())) == brute_near(rows)
+
+
+def test_very_long_texts(spark):
+    """Beyond a stretch of one megabyte, with one word of two megabytes and with blanks only."""
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(600_000)]
+    other = [*words[:590_000], *(f"v{k}" for k in range(10_000))]
+    rows = [(1, " ".join(words)), (2, "\t".join(other)), (3, "x" * 2_000_000), (4, "x" * 2_000_000 + "y"), (5, " \n" * 1_000_000), (6, "é" * 700_000 + " a b c"), (7, "short")]
+    got = {tuple(r)[:-1] for r in quality.quality(frame(spark, rows)).collect()}
+    assert got == {(i, *brute_quality(t)) for i, t in rows}
+    assert Counter(map(tuple, jaccard.ngram_jaccard(frame(spark, rows)).collect())) == brute_near(rows)
+
+
 def test_quality(spark):
     rnd = random.Random(7)
     rows = TEXTS + [(100 + k, "".join(rnd.choice("ab \n#é\r") for _ in range(rnd.randint(1, 200)))) for k in range(500)]
