@@ -83,3 +83,16 @@ def drop_written(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     if at := getattr(df, "_written_at", None):
         delete(df.sparkSession, at)
+
+
+def open_at(path: str, mode: str):
+    """A file of a shared folder: of a local or mounted path, or of a file system that pyarrow knows. For use on executors."""
+    from urllib.parse import unquote, urlparse
+
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return open(unquote(url.path), mode)
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(at) if "w" in mode else system.open_input_file(at)
