@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import drop_written, scratch, written  # noqa: F401  for the operators
+from ..plans.shared import drop_written, open_at, scratch, written  # noqa: F401  for the operators
 
 #: White space and words, as patterns of Java and of Python.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat, rangecoder
-from .common import partitions, scratch, text_of, written
-from .warc import open_at
+from .common import open_at, partitions, scratch, text_of, written
 
 MAGIC = b"TOKIDS1\n"
 #: Words that a task remembers; they are cut at white space, over which neither merges nor normal forms reach.

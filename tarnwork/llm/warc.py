@@ -1,8 +1,9 @@
-"""WARC archives, compressed record by record with a Zstandard dictionary.
+"""WARC/1.1 archives, compressed record by record with a Zstandard dictionary.
 
 Each archive is one file: a skippable frame with a dictionary trained on records of this archive, then one frame per
-record. Every frame can be read alone, given the dictionary. Records whose payload another record has already are
-revisits that refer to it and carry no payload of their own.
+record, a warcinfo record first. Every frame can be read alone, given the dictionary. A response holds an HTTP block with the
+payload; records whose payload another record has already are revisits that refer to that record's id and hold the head of the
+block only. Record ids are derived from a page's id and its payload's digest, so that a task that runs again writes the same.
 """
 
 from __future__ import annotations
@@ -12,27 +13,17 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, text_of, written
+from .common import may_be_in, open_at, partitions, scratch, text_of, written
 
 #: The skippable frame that holds a dictionary, and the profile of a revisit.
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: The dictionary is trained on the first records of its archive, so many of so many bytes at most.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 200, 8_192, 32_768, 3
+#: The dictionary is trained on records spread evenly over the first HELD ones of its archive (or the first HELD_BYTES), so many
+#: of so many bytes at most.
+HELD, HELD_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 4_000, 16_000_000, 400, 8_192, 32_768, 3
 HOT = 1000
-
-
-def open_at(path: str, mode: str):
-    """A file of a shared folder: of a local or mounted path, or of a file system that pyarrow knows."""
-    from urllib.parse import unquote, urlparse
-
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return open(unquote(url.path), mode)
-    from pyarrow import fs
-
-    system, at = fs.FileSystem.from_uri(path)
-    return system.open_output_stream(at) if "w" in mode else system.open_input_file(at)
+#: The name space of record ids.
+IDS = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 
 
 def record(head: dict, payload: bytes) -> bytes:
@@ -63,17 +54,33 @@ def trained(samples: list[bytes]):
         return None
 
 
+def record_id(page, digest_: str) -> str:
+    """The id of a page's record; rows that repeat a page and its payload share it."""
+    return f"<urn:uuid:{uuid.uuid5(IDS, f'{page}:{digest_}')}>"
+
+
+def http_head(n: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+
+
+def info(name: str, date: str) -> bytes:
+    """The warcinfo record of an archive."""
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(IDS, name)}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}
+    return record(head, b"software: tarnwork\r\nformat: WARC File Format 1.1\r\n")
+
+
 class Writer:
     """Writes records to a file; the first ones are held back to train the dictionary."""
 
     def __init__(self, out):
-        self.out, self.waiting, self.packer, self.n = out, [], None, 0
+        self.out, self.waiting, self.held, self.packer, self.n = out, [], 0, None, 0
 
     def add(self, raw: bytes):
         self.n += 1
         if self.packer is None:
             self.waiting.append(raw)
-            if len(self.waiting) >= SAMPLE_RECORDS:
+            self.held += len(raw)
+            if len(self.waiting) >= HELD or self.held >= HELD_BYTES:
                 self.start()
         else:
             self.out.write(self.packer.compress(raw))
@@ -81,7 +88,8 @@ class Writer:
     def start(self):
         import zstandard
 
-        book = trained([r[:SAMPLE_BYTES] for r in self.waiting])
+        step = -(-len(self.waiting) // SAMPLE_RECORDS) or 1
+        book = trained([r[:SAMPLE_BYTES] for r in self.waiting[::step]])
         if book:
             data = book.as_bytes()
             self.out.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(data).to_bytes(4, "little") + data)
@@ -145,30 +153,36 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, id_col: str = "pag
     The payload is the body in UTF-8 (null: empty). Of the records with equal payloads of at least `least` bytes the one with
     the smallest id is the response and the others are revisits; shorter ones are all responses. A null id is larger than all
     others; where it is the only one, and for rows that repeat the smallest id, all are responses. A null url leaves
-    out the target URI. An empty table gives no archive. Other columns are ignored. A task that runs twice leaves a second
-    file; only those of the manifest count.
+    out the target URI. An empty table gives no archive; a payload of any length is one record, held whole. Other columns are
+    ignored. A task that runs twice leaves a second file; only those of the manifest count.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(body_col).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
+    revisits = written(_revisits(rows, least), "warc-revisits")
+    # only pages that may be revisits meet their flag; the payloads of the others are not shuffled
+    sure, doubtful = may_be_in(rows, F.col("page_id"), revisits, F.col("of_page"))
     mine = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha") == F.col("of_sha"))
-    told = rows.join(_revisits(rows, least).hint("shuffle_hash"), mine, "left").select("page_id", "url", "payload", F.col("of_sha").isNotNull().alias("revisit"), "refers_to")
+    told = doubtful.join(revisits, mine, "left").select("page_id", "url", "payload", F.col("of_sha").isNotNull().alias("revisit"), "refers_to")
+    told = sure.select("page_id", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast(pages.schema[id_col].dataType).alias("refers_to")).unionByName(told)
 
     def run(batches):
         import pyarrow as pa
 
-        path, writer = f"{folder}/{uuid.uuid4().hex}.warc.zst", None
+        name, writer = f"{uuid.uuid4().hex}.warc.zst", None
+        path = f"{folder}/{name}"
         for b in batches:
             for page, url, payload, revisit, to in zip(*(c.to_pylist() for c in b.columns)):
                 if writer is None:
                     writer = Writer(open_at(path, "wb"))
-                clean = None if url is None else url.translate({10: "%0A", 13: "%0D"})
-                head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date}
+                    writer.add(info(name, date))
+                clean, said = None if url is None else url.translate({10: "%0A", 13: "%0D"}), digest(payload)
+                head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": record_id(page, said), "WARC-Date": date}
                 head |= {"WARC-Target-URI": clean} if clean is not None else {}
-                head |= {"Content-Type": "text/html", "WARC-Payload-Digest": f"sha1:{digest(payload)}", "X-Page-Id": "" if page is None else page, "X-Payload-Length": len(payload)}
+                head |= {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{said}", "X-Page-Id": "" if page is None else page}
                 if revisit:
-                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": "" if to is None else to}
-                writer.add(record(head, b"" if revisit else payload))
+                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(to, said), "X-Refers-To-Page-Id": "" if to is None else to}
+                writer.add(record(head, http_head(len(payload)) + (b"" if revisit else payload)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [writer.n]})
@@ -177,6 +191,13 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, id_col: str = "pag
     return written(told.mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
+def body_of(block: bytes) -> tuple[int, bytes]:
+    """(the length that the HTTP head says, what follows the head)."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+    return int(fields[b"Content-Length"]), body
+
+
 def read_warc(manifest: DataFrame) -> DataFrame:
     """The records of the archives of a manifest: page_id, record_type, url, payload_bytes, payload_digest, refers_to, payload.
 
@@ -194,12 +215,17 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                 with open_at(path, "rb") as src:
                     rows, size, seen = [], 0, 0
                     for raw in read_records(src):
-                        head, payload = parsed(raw)
+                        head, block = parsed(raw)
                         seen += 1
-                        want, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
-                        if not revisit and (digest(payload) != want or len(payload) != int(head["X-Payload-Length"])):
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
+                        length, payload = body_of(block)
+                        want, revisit, page, to = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit", number(head["X-Page-Id"]), number(head.get("X-Refers-To-Page-Id"))
+                        if not revisit and (digest(payload) != want or len(payload) != length):
                             raise ValueError(f"{path}: a payload differs from its digest")
-                        rows.append((number(head["X-Page-Id"]), head["WARC-Type"], head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), want, number(head.get("WARC-Refers-To")), None if revisit else payload))
+                        if head["WARC-Record-ID"] != record_id(page, want) or revisit and head["WARC-Refers-To"] != record_id(to, want):
+                            raise ValueError(f"{path}: a record has another's id")
+                        rows.append((page, head["WARC-Type"], head.get("WARC-Target-URI"), length, want, to, None if revisit else payload))
                         size += len(payload)
                         if size > 16_000_000 or len(rows) >= 5_000:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
