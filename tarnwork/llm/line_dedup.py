@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, may_be_in, text_of, written
 
 HOT = 1000
 
@@ -51,7 +51,8 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     `size` lines is kept whole, unless `edges` puts a line of its own before the first and after the last of each text: then
     whole texts from `size` - 2 lines on and passages of `size` - 1 lines at either end are found, too. A null text counts as
     empty (one empty line). A null id comes after all others. Rows that repeat an id and its text are one document, and each
-    gets its result. An empty table gives an empty result; other columns are ignored.
+    gets its result. An empty table gives an empty result; other columns are ignored. A text of any length is cut into all its
+    lines, which one row's worth of memory must hold.
     """
     rows = keyed(docs, id_col, text_col)
     win = written(windows(rows, size, edges), "lines-windows")
@@ -65,9 +66,12 @@ def line_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col:
     # a document's positions are bounded by its own lines
     gone = hits[0].unionByName(hits[1]).groupBy("k", "k2").agg(F.collect_set("pos").alias("at"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (size - 1))))))
-    gone = gone.select(F.col("k").alias("g"), F.col("k2").alias("g2"), covered.alias("removed"))
+    gone = written(gone.select(F.col("k").alias("g"), F.col("k2").alias("g2"), covered.alias("removed")), "lines-gone")
 
-    out = rows.join(gone.hint("shuffle_hash"), (F.col("k") == F.col("g")) & (F.col("k2") == F.col("g2")), "left")
+    # only documents that may lose lines meet their line numbers; the others are not shuffled
+    sure, doubtful = may_be_in(rows, F.col("k"), gone, F.col("g"))
+    met = doubtful.join(gone, (F.col("k") == F.col("g")) & (F.col("k2") == F.col("g2")), "left").select("doc_id", "body", "removed")
+    out = sure.select("doc_id", "body", F.lit(None).cast("array<int>").alias("removed")).unionByName(met)
     lines = F.split("body", "\n", -1)
     if edges:
         out = out.withColumn("removed", F.filter("removed", lambda p: p.between(1, F.size(lines))))
