@@ -1,14 +1,15 @@
 """SentencePiece BPE by vectorised merge rounds.
 
 Words (a run of spaces and what follows it) never share a piece, so a batch is cut into words and each distinct word is
-encoded once. The symbols of all new words lie in one flat array. A round looks up the rank of every adjacent pair, takes the
-minimum per word (segmented; the leftmost of equals), merges these pairs of all words at once and compacts the array,
-until no word has a pair left. Words that are too long for rounds go through a heap; both give the pieces of the library.
+encoded once; a word is cut further between characters that no piece holds side by side. The symbols of all new words lie in one
+flat array. A round takes the minimum rank per word (segmented) and merges all pairs of that rank at once, of all words, from
+the left and without overlap; then the array is compacted, until no word has a pair left. The library merges one pair at
+a time, so a word's merges of a round end behind the first one whose new neighbours form a pair of the same or a lower
+rank: that pair comes first there. Ids equal the library's for words of any length.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -19,8 +20,10 @@ from . import flat
 
 MARK = "▁"
 TOKEN = re.compile(r" *[^ \n]+|\n| +")
-#: Words of more symbols go through the heap. Distinct words that a task remembers.
-LONG, REMEMBERED = 200, 400_000
+#: Distinct words that a task remembers.
+REMEMBERED = 400_000
+#: Characters that normal forms change: a model that changes any is refused.
+CHANGED = "ﬁ①Ａ　ｶﾞΩé e\u0301\xa0\u200b\t\r½"
 NONE = np.int64(2**62)
 
 
@@ -40,6 +43,8 @@ class Pieces:
             raise ValueError(f"{model}: words of this model are not independent")
         if not sp.encode(" ") or sp.encode("a b", out_type=str)[0][0] != MARK or sp.encode("a  ") == sp.encode("a"):
             raise ValueError(f"{model}: expected a dummy prefix and kept white space")
+        if sp.decode(sp.encode(CHANGED)) != CHANGED:
+            raise ValueError(f"{model}: expected a model that leaves characters as they are")
         self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.chars = np.full(0x110000, -1, np.int64)
@@ -49,13 +54,15 @@ class Pieces:
         lost = np.flatnonzero(self.chars < 0)
         self.chars[lost] = n + lost  # unknown characters are symbols that no pair has
         ranks = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in normal.values()}, reverse=True))}
-        self.pairs = {}
+        pairs, beside = {}, set()
         for t, m in normal.items():
             for k in range(1, len(t)):
                 a, b = normal.get(t[:k]), normal.get(t[k:])
+                beside.add(normal[t[k - 1]] * n + normal[t[k]])
                 if a is not None and b is not None:
-                    self.pairs[a * n + b] = (ranks[sp.get_score(m)], m)
-        self._table()
+                    pairs[a * n + b] = (ranks[sp.get_score(m)], m)
+        self._table(pairs)
+        self.beside = np.array(sorted(beside) + [2**62], np.int64)
         raw = [b"" if sp.is_control(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else sp.decode([i]).encode() if sp.is_unknown(i) else text[i].replace(MARK, " ").encode() for i in range(n)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_len = np.array([len(r) for r in raw])
@@ -63,10 +70,10 @@ class Pieces:
         self.silent = np.array([sp.is_control(i) for i in range(n)])
         self.spaced = np.array([not special[i] and text[i][0] == MARK for i in range(n)])
 
-    def _table(self):
+    def _table(self, pairs: dict):
         """Open addressing: the pair, its rank and what it merges into."""
-        keys = np.array(list(self.pairs), np.int64)
-        values = np.array(list(self.pairs.values()), np.int64)
+        keys = np.array(list(pairs), np.int64)
+        values = np.array(list(pairs.values()), np.int64)
         self.shift = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.rank, self.into = np.full(size, -1, np.int64), np.full(size, NONE, np.int64), np.zeros(size, np.int64)
@@ -98,94 +105,92 @@ class Pieces:
         rank[gone] = NONE
         return rank, into
 
+    def parts(self, sym, lens):
+        """(lens of the parts of words between which no piece can lie, number of parts of each word)."""
+        ends = np.cumsum(lens) - 1
+        code = sym[:-1] * self.size + sym[1:]
+        cut = np.ones(len(sym), bool)
+        cut[:-1] = self.beside[np.searchsorted(self.beside, code)] != code
+        cut[:-1] |= (sym[:-1] >= self.size) | (sym[1:] >= self.size)
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        upto = np.searchsorted(at, ends, "right")
+        return np.diff(at, prepend=-1), np.diff(upto, prepend=0)
+
     def merged(self, sym, lens):
         """Merge rounds over the words of `lens` symbols in sym -> (symbols, lens) in the same order."""
+        if not len(sym):
+            return sym, lens
+        lens, n_parts = self.parts(sym, lens)
         words = np.arange(len(lens))
         done_w, done_len, done_sym = [], [], []
         starts = np.cumsum(lens) - lens
-        rank = np.full(len(sym), NONE, np.int64)
-        into = np.zeros(len(sym), np.int64)
-        if len(sym) > 1:
-            rank[:-1], into[:-1] = self.lookup(sym[:-1], sym[1:])
+        rank, into = np.full(len(sym), NONE, np.int64), np.zeros(len(sym), np.int64)
+        rank[:-1], into[:-1] = self.lookup(sym[:-1], sym[1:])
         rank[starts + lens - 1] = NONE
         while len(words):
-            at = np.arange(len(sym))
-            best = np.minimum.reduceat(np.where(rank < NONE, (rank << 32) | at, NONE), starts)
-            live = best < NONE
+            low = np.minimum.reduceat(rank, starts)
+            live = low < NONE
             if not live.all():
                 out = np.repeat(~live, lens)
                 done_w.append(words[~live]), done_len.append(lens[~live]), done_sym.append(sym[out])
                 if not live.any():
                     break
-                moved = np.cumsum(out)
                 sym, rank, into = sym[~out], rank[~out], into[~out]
-                words, lens = words[live], lens[live]
-                best = best[live] & 0xFFFFFFFF
-                best -= moved[best]
-            else:
-                best &= 0xFFFFFFFF
-            sym[best] = into[best]
+                words, lens, low = words[live], lens[live], low[live]
+                starts = np.cumsum(lens) - lens
+            of = np.repeat(np.arange(len(lens)), lens)
+            at = np.flatnonzero(rank == low[of])
+            # of pairs that overlap, every other one from the left
+            near = at[1:] == at[:-1] + 1
+            if near.any():
+                k = np.arange(len(at))
+                begin = np.concatenate([[0], np.where(near, 0, k[1:])])
+                at = at[(k - np.maximum.accumulate(begin)) % 2 == 0]
+            word = of[at]
+            if len(at) > len(lens):  # some words have several
+                several = np.flatnonzero(np.bincount(word, minlength=len(lens))[word] > 1)
+                ok = np.ones(len(at), bool)
+                ok[several] = self._first(sym, into, at[several], word[several], starts, lens, low)
+                at, word = at[ok], word[ok]
+            sym[at] = into[at]
             keep = np.ones(len(sym), bool)
-            keep[best + 1] = False
-            last = rank[best + 1]  # stays NONE where the pair ended its word
-            rank[best] = last
+            keep[at + 1] = False
             sym, rank, into = sym[keep], rank[keep], into[keep]
-            lens = lens - 1
+            lens = lens - np.bincount(word, minlength=len(lens))
             starts = np.cumsum(lens) - lens
-            at = best - np.arange(len(best))
-            ends = starts + lens - 1
-            right = at[at < ends]
-            rank[at[at == ends]] = NONE
-            rank[right], into[right] = self.lookup(sym[right], sym[right + 1])
-            left = at[at > starts] - 1
-            rank[left], into[left] = self.lookup(sym[left], sym[left + 1])
+            at -= np.arange(len(at))
+            rank[at] = NONE
+            q = np.concatenate([at[at < (starts + lens - 1)[word]], at[at > starts[word]] - 1])
+            rank[q], into[q] = self.lookup(sym[q], sym[q + 1])
         w, n, s = np.concatenate(done_w), np.concatenate(done_len), np.concatenate(done_sym)
         order = np.argsort(w)
-        return s[flat.ragged((np.cumsum(n) - n)[order], n[order])], n[order]
-
-    def heaped(self, sym):
-        """The same for one long word."""
-        sym, n = sym.tolist(), len(sym)
-        prev, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
+        s, n = s[flat.ragged((np.cumsum(n) - n)[order], n[order])], n[order]
+        return s, np.add.reduceat(n, np.cumsum(n_parts) - n_parts)
 
-        def offer(a):
-            b = after[a] if a >= 0 else n
-            if a >= 0 and b < n and (got := self.pairs.get(sym[a] * self.size + sym[b] if sym[a] < self.size > sym[b] else -1)):
-                heapq.heappush(heap, (got[0], a, sym[a], sym[b], got[1]))
-
-        for a in range(n - 1):
-            offer(a)
-        while heap:
-            _, a, x, y, m = heapq.heappop(heap)
-            b = after[a] if sym[a] == x else n
-            if b >= n or sym[b] != y:
-                continue
-            sym[a], sym[b] = m, -1
-            after[a] = after[b]
-            if after[b] < n:
-                prev[after[b]] = a
-            offer(prev[a])
-            offer(a)
-        return np.array([s for s in sym if s >= 0], np.int64)
+    def _first(self, sym, into, at, word, starts, lens, low):
+        """Which of the merges at `at` the library makes before any pair that they form anew."""
+        left, right = at > starts[word], at + 2 < (starts + lens)[word]
+        # the symbol to the left may be one that the merge before has made
+        before = sym[np.maximum(at - 1, 0)]
+        joined = np.zeros(len(at), bool)
+        joined[1:] = (at[1:] == at[:-1] + 2) & (word[1:] == word[:-1])
+        before[1:] = np.where(joined[1:], into[at[:-1]], before[1:])
+        least = np.full(len(at), NONE)
+        least[left] = self.lookup(before[left], into[at[left]])[0]
+        least[right] = np.minimum(least[right], self.lookup(into[at[right]], sym[at[right] + 2])[0])
+        stop = least <= low[word]
+        seen = np.cumsum(stop) - stop
+        first = np.ones(len(at), bool)
+        first[1:] = word[1:] != word[:-1]
+        return seen == np.maximum.accumulate(np.where(first, seen, 0))
 
     def encode_words(self, words: list[str]):
         """(ids, number of ids of each word)."""
         text = "".join(words).replace(" ", MARK)
         sym = self.chars[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         lens = np.array([len(w) for w in words], np.int64)
-        long = np.flatnonzero(lens > LONG)
-        if not len(long):
-            sym, lens = self.merged(sym, lens)
-        else:
-            starts = np.cumsum(lens) - lens
-            short = np.flatnonzero(lens <= LONG)
-            s, n = self.merged(sym[flat.ragged(starts[short], lens[short])], lens[short]) if len(short) else (sym[:0], lens[:0])
-            parts = [self.heaped(sym[starts[k] : starts[k] + lens[k]]) for k in long]
-            n = np.concatenate([n, [len(p) for p in parts]]).astype(np.int64)
-            order = np.argsort(np.concatenate([short, long]))
-            s = np.concatenate([s, *parts])
-            sym, lens = s[flat.ragged((np.cumsum(n) - n)[order], n[order])], n[order]
+        sym, lens = self.merged(sym, lens)
         odd = np.flatnonzero(sym >= self.size)
         if not len(odd):
             return sym, lens
@@ -269,8 +274,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with `keep`, ids and decoded.
 
     ids: begin id, the pieces of the whole text, end id; a null text counts as empty and has the two ids only. Null ids and
-    repeated rows each get their row; an empty table gives an empty result; other columns are ignored. Every executor must
-    see the file `model`.
+    repeated rows each get their row; an empty table gives an empty result; other columns are ignored. A text of any length is
+    encoded whole, by its distinct words. Every executor must see the file `model`.
     """
 
     @flat.trimmed
