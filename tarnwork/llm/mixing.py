@@ -59,7 +59,8 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2
     sizes: doc_id, source, size, w, as sizes_of() gives them. taken: words that the mix takes, size times copies. Whole
     documents are taken: the one that meets the end of the budget is in if more than half of it fits. Ties of keys are
     in order of id and size; rows equal in all of them are interchangeable. Weights of 0 or less come last. Sources
-    without words have target 0; an empty table gives an empty result. The same rows and seed give the same mix.
+    without words have target 0; an empty table gives an empty result. The same rows and seed give the same mix. Words of whole texts
+    are counted, whatever their length.
     """
     sizes = written(sizes, "mix-sizes")
     per = written(targets(sizes, weights, share, epochs), "mix-targets")
@@ -67,7 +68,8 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: float = 2
     per = per.withColumn("full", full).withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
     per = per.withColumn("buckets", F.ceil(F.col("n") / bucket_rows).cast("long"))
 
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    # 52 bits of an MD5, which other engines can draw, too
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) * F.lit(2.0**-52)
     key = F.when(F.col("w") > 0, -F.ln(u) / F.col("w")).otherwise(F.lit(float("inf")))
     # the table of sources is joined as Spark sees fit: it knows its size, and hot sources are split
     rows = sizes.join(per, sizes["source"].eqNullSafe(per["source"])).select("doc_id", "size", "source_size", "target", "full", "budget", "sid", "mean_weight", "buckets", key.alias("key"))
@@ -87,7 +89,8 @@ def mixed_documents(docs: DataFrame, weight: DataFrame | None = None, id_col: st
     """docs as the mix takes them: a row per copy, none for documents it leaves out; all columns as they came.
 
     weight: id and w, the quality weights, at most one row per id. Rows that repeat an id and its text are one document and get its
-    copies each.
+    copies each. Null, empty and blank texts have no words and are left out; null ids are told apart by their texts; a null source is
+    one of its own, the last; an empty table gives an empty one.
     """
     label, of, copies, copy = (free(docs, c) for c in ("__name", "__of", "__copies", "__copy"))
     name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_of(text_col)), F.xxhash64(text_of(text_col), F.lit(1)))

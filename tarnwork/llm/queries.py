@@ -136,6 +136,20 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes).drop("copies")
 
 
+SQL_OP8 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM labels GROUP BY doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+n AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n),
+t AS (SELECT source, source_size, least(cap, weight * greatest(max(level) OVER (), 0)) AS target FROM o),
+k AS (SELECT d.doc_id, size, d.source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+  -ln((('0x' || substr(md5('0:' || d.doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) * pow(2, -52)) / coalesce(w, 1) AS key FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN q USING (doc_id)),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND upto - size / 2 < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM u
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -162,6 +176,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+SQL_OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+g AS (SELECT shingle, list(doc_id) AS docs FROM s GROUP BY shingle HAVING count(*) > 1),
+c AS (SELECT a.doc_id AS x, b.y, count(*) AS c FROM s a JOIN (SELECT shingle, unnest(docs) AS y FROM g) b USING (shingle) WHERE a.doc_id < b.y GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(node, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(min(root), doc_id), doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = documents.doc_id GROUP BY doc_id, n
+"""
+
+
 def queries() -> dict:
     return {
         "op1_url_rules": op1_url_rules, "op2_exact_dedup": op2_exact_dedup, "op3_token_files": op3_token_files, "op4_piece_round_trip": op4_piece_round_trip,
@@ -171,4 +198,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op5_warc_round_trip": SQL_OP5, "op7_secret_scan": _sql_op7(), "op9_line_dedup": SQL_OP9}
+    return {"op1_url_rules": SQL_OP1, "op2_exact_dedup": SQL_OP2, "op5_warc_round_trip": SQL_OP5, "op7_secret_scan": _sql_op7(), "op8_mix_sources": SQL_OP8, "op9_line_dedup": SQL_OP9, "op10_ngram_jaccard": SQL_OP10}
