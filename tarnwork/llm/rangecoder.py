@@ -1,10 +1,11 @@
 """An adaptive context-mixing range coder for token ids, over many blocks at once.
 
-An id is predicted by order 2 (what last followed the two ids before), by order 1 (the one before), by order 0
-(how often it has occurred in the block, in steps of EPOCH ids) and by a flat distribution over the vocabulary. The weights
-of the four are learned per block, as counts by the confidence of the two contexts and their agreement; an arithmetic
-coder with 64-bit low and range codes the choice and then the id under the chosen prediction. Every block starts
-anew, has its own checksum and can be decoded alone.
+The probability of an id is a mixture: order 2 says the id that last followed the two ids before, order 1 the one that last
+followed the id before, and order 0 gives every id of the vocabulary one share and a number of shares more for each time
+it has occurred in the block. The weights of the three are learned per block, as counts by the confidence of the two contexts and their
+agreement; the shares of an occurrence follow how many ids of late were new. An arithmetic coder with 64-bit low and range
+codes the id once, by its share of the mixture: the ids that the contexts say lie first, then all others in order. Every
+block starts anew, has its own checksum and can be decoded alone.
 
 Blocks are lanes of numpy arrays that step together, one id of every block at a time. The encoder knows all ids, so its
 predictions are computed ahead for whole blocks; only the coder's own state steps.
@@ -19,9 +20,12 @@ import numpy as np
 #: Ids of a block, blocks of a group, ids between two updates of order 0 and of the weights, bits of the context tables.
 BLOCK, LANES, EPOCH, REFRESH, TABLE = 16_384, 512, 2_048, 64, 13
 K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-WEIGHT = 12
+#: Bits of a weight and of the shares of order 0; the mixture's shares add up to a power of two times the latter.
+WEIGHT, SHARES = 10, 20
 LOW32 = np.uint64(0xFFFFFFFF)
 S32 = np.uint64(32)
+#: Confidence in order 2 (8 each), in order 1 (2 each), and whether they say the same: cells of weights.
+CELLS = 32
 
 
 def _hash1(p):
@@ -33,11 +37,45 @@ def _hash2(p, q):
 
 
 def _weights(counts):
-    """Counts [..., 4] -> (starts, widths) that add up to 2**WEIGHT, each width at least 1."""
-    total = counts.sum(-1, keepdims=True)
-    width = 1 + counts * ((1 << WEIGHT) - 4) // total
-    width[..., 2] += (1 << WEIGHT) - width.sum(-1)
-    return np.cumsum(width, -1) - width, width
+    """Counts [..., CELLS, 3] of what would have said the id -> weights that add up to 2**WEIGHT; a context that is new has none."""
+    width = 1 + counts * ((1 << WEIGHT) - 3) // counts.sum(-1, keepdims=True)
+    cell = np.arange(CELLS)
+    width[..., cell < 8, 0] = 0
+    width[..., cell % 8 < 2, 1] = 0
+    width[..., 2] = (1 << WEIGHT) - width[..., 0] - width[..., 1]
+    # contexts that agree are one
+    both = (cell >= 8) & (cell % 8 >= 3) & (cell % 2 == 1)
+    width[..., both, 0] += width[..., both, 1]
+    width[..., both, 1] = 0
+    return width
+
+
+class Order0:
+    """For lanes of ids: `before[lane, x]`, how often ids below x have occurred, `share`, the shares of an occurrence, and `total`."""
+
+    def __init__(self, lanes: int, vocab: int):
+        self.vocab = vocab
+        self.before = np.zeros((lanes, vocab + 1), np.uint16)
+        self.share, self.total = np.zeros(lanes, np.int64), np.full(lanes, vocab, np.int64)
+        self.distinct, self.at = np.zeros(lanes, np.int64), 0
+
+    def learn(self, ids, t: int):
+        """From the first t ids of the lanes."""
+        for lane in range(len(ids)):
+            n = np.bincount(ids[lane, :t], minlength=self.vocab)
+            np.cumsum(n, dtype=np.uint16, out=self.before[lane, 1:])
+            now = int(np.count_nonzero(n))
+            new = (now - self.distinct[lane]) / (t - self.at)
+            self.distinct[lane] = now
+            most = ((1 << SHARES) - self.vocab) // t
+            self.share[lane] = min(most, max(1, round(self.vocab * (1 - new) / (t * max(new, 1 / 64)))))
+        self.total = self.share * t + self.vocab
+        self.at = t
+
+
+def _steps(n: int) -> list[int]:
+    """The positions at which order 0 learns: powers of two from REFRESH up to EPOCH, then multiples of it."""
+    return [t for t in range(REFRESH, n, REFRESH) if t & (t - 1) == 0 and t < EPOCH or t % EPOCH == 0]
 
 
 def _followers(ids, h):
@@ -58,43 +96,20 @@ def _followers(ids, h):
     return out_p, out_c
 
 
-def _planned(ids, vocab: int):
-    """ids [lanes, n] -> per id: context, choice, start and width of the id under the choice."""
+def _predicted(ids):
+    """ids [lanes, n] -> what order 1 and order 2 say (-1 where order 2 says the same or a context is new), the cell of each id."""
     lanes, n = ids.shape
     prev = np.zeros((lanes, n + 2), ids.dtype)
     prev[:, 2:] = ids
     p1, p2 = prev[:, 1:-1], prev[:, :-2]
     c1, k1 = _followers(ids, _hash1(p1))
     c2, k2 = _followers(ids, _hash2(p1, p2))
-    ctx = k2 * 8 + k1 * 2 + (c1 == c2)
-    pick = np.full(ids.shape, 3, np.uint8)
-    start, width = ids.astype(np.uint32), np.ones(ids.shape, np.uint32)
-    for lane in range(lanes):
-        steps = sorted({_known(t) for t in range(REFRESH, n, REFRESH)})
-        for at, end in zip(steps, [*steps[1:], n]):
-            now, past = ids[lane, at:end], np.sort(ids[lane, :at])
-            first = np.searchsorted(past, now, "left")
-            f = np.searchsorted(past, now, "right") - first
-            seen = f > 0
-            pick[lane, at:end][seen] = 2
-            start[lane, at:end][seen] = first[seen]
-            width[lane, at:end][seen] = f[seen]
-    hit1, hit2 = (ids == c1) & (k1 > 0), (ids == c2) & (k2 > 0)
-    pick[hit1] = 1
-    pick[hit2] = 0
-    hit1 |= hit2
-    start[hit1], width[hit1] = 0, 1
-    return ctx, pick, start, width
-
-
-def _known(at: int) -> int:
-    """How many ids order 0 has counted at position `at`: a power of two up to EPOCH, then a multiple of it."""
-    return 0 if at < REFRESH else 1 << (at.bit_length() - 1) if at < EPOCH else at // EPOCH * EPOCH
-
-
-def _totals(at: int, vocab: int):
-    """What the widths under each choice add up to at position `at`."""
-    return np.array([1, 1, max(1, _known(at)), vocab], np.uint64)
+    same = c1 == c2
+    cell = k2 * 8 + k1 * 2 + same
+    c1, c2 = c1.astype(np.int32), c2.astype(np.int32)
+    c1[(k1 == 0) | same & (k2 > 0)] = -1
+    c2[k2 == 0] = -1
+    return c1, c2, cell
 
 
 def _encode_group(blocks, vocab: int) -> list[bytes]:
@@ -104,30 +119,45 @@ def _encode_group(blocks, vocab: int) -> list[bytes]:
     ids = np.zeros((lanes, n), np.uint16)
     for lane, b in enumerate(blocks):
         ids[lane, : len(b)] = b
-    parts = [_planned(ids[k : k + 64], vocab) for k in range(0, lanes, 64)]
-    ctx, pick, start, width = (np.concatenate(x) for x in zip(*parts))
-    cell = (np.arange(lanes)[:, None] * 32 + ctx) * 4 + pick
-    counts = np.ones((lanes, 32, 4), np.int64)
+    parts = [_predicted(ids[k : k + 64]) for k in range(0, lanes, 64)]
+    said1, said2, cells = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order0, rows = Order0(lanes, vocab), np.arange(lanes)[:, None]
+    counts = np.ones((lanes, CELLS, 3), np.int64)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     out, used = np.zeros((lanes, n + 2), np.uint32), np.zeros(lanes, np.int64)
     top, one = np.uint64(1) << S32, np.uint64(1)
+    learns = set(_steps(n))
     for t0 in range(0, n, REFRESH):
         t1 = min(n, t0 + REFRESH)
-        w0, w = (x.reshape(-1).astype(np.uint64) for x in _weights(counts))
-        c = np.ascontiguousarray(cell[:, t0:t1].T)
-        total = _totals(t0, vocab)[np.ascontiguousarray(pick[:, t0:t1].T)]
-        a0, a = w0[c], w[c]
-        b0, b = (np.ascontiguousarray(x[:, t0:t1].T).astype(np.uint64) for x in (start, width))
+        if t0 in learns:
+            order0.learn(ids, t0)
+        x, c1, c2, cell = ids[:, t0:t1].astype(np.int32), said1[:, t0:t1], said2[:, t0:t1], cells[:, t0:t1]
+        share = order0.share[:, None]
+
+        def held(c):
+            """Shares of order 0 that lie before c and those of c itself; none for -1."""
+            a = order0.before[rows, c].astype(np.int64)
+            f = order0.before[rows, c + 1] - a
+            return share * a + c, np.where(c >= 0, share * f + 1, 0)
+
+        w = _weights(counts)[rows, cell]
+        total = order0.total.view(np.uint64)
+        at, own = held(x)
+        (_, b1), (_, b2) = held(c1), held(c2)
+        at = at - np.where(c1 < x, b1, 0) - np.where(c2 < x, b2, 0)
+        wide2, wide1 = order0.total[:, None] * w[..., 0] + w[..., 2] * b2, order0.total[:, None] * w[..., 1] + w[..., 2] * b1
+        hit2, hit1 = x == c2, x == c1
+        start = np.where(hit2, 0, np.where(hit1, wide2, wide2 + wide1 + w[..., 2] * at))
+        width = np.where(hit2, wide2, np.where(hit1, wide1, w[..., 2] * own))
+        start, width = np.ascontiguousarray(start.T).view(np.uint64), np.ascontiguousarray(width.T).view(np.uint64)
         for t in range(t0, t1):
             m = int(np.searchsorted(-lens, -t, "left")) if lens[-1] <= t else lanes
-            k = t - t0
             lo, r = low[:m], rng[:m]
             r >>= np.uint64(WEIGHT)
-            lo += r * a0[k, :m]
-            r *= a[k, :m]
-            r //= total[k, :m]
-            lo += r * b0[k, :m]
-            r *= b[k, :m]
+            r //= total[:m]
+            lo += r * start[t - t0, :m]
+            r *= width[t - t0, :m]
             full = np.flatnonzero(r < top)
             if len(full):
                 l, s = lo[full], r[full]
@@ -137,7 +167,8 @@ def _encode_group(blocks, vocab: int) -> list[bytes]:
                 used[full] += 1
                 lo[full], r[full] = l << S32, s << S32
         m = int((lens > t0).sum())
-        live = cell[:m, t0:t1]
+        pick = (rows * CELLS + cell) * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
+        live = pick[:m]
         if lens[m - 1] < t1:
             live = live[np.arange(t0, t1)[None, :] < lens[:m, None]]
         counts.reshape(-1)[:] += np.bincount(live.ravel(), minlength=counts.size)
@@ -147,6 +178,44 @@ def _encode_group(blocks, vocab: int) -> list[bytes]:
     return [out[k, : used[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
 
 
+#: Shares of order 0 that one entry of the decoder's table stands for.
+STEP = 6
+
+
+class Inverse:
+    """Finds the id that a share of order 0 belongs to: a table of every 2**STEP-th share, then a search between two entries."""
+
+    def __init__(self, order0: Order0):
+        self.of, self.ids = order0, np.arange(order0.vocab, dtype=np.int32)
+
+    def learn(self):
+        lanes = len(self.of.share)
+        self.size = (int(self.of.total.max()) >> STEP) + 2
+        last, ids = np.zeros((lanes, self.size), np.uint16), self.ids.astype(np.uint16)
+        for lane in range(lanes):
+            begin = self.of.before[lane, :-1] * np.int32(self.of.share[lane])
+            begin += self.ids
+            begin >>= STEP
+            begin += 1
+            last[lane, begin] = ids
+        np.maximum.accumulate(last, axis=1, out=last)
+        self.flat, self.before = last.reshape(-1), self.of.before.reshape(-1)
+
+    def __call__(self, lanes, w):
+        """The id of share w of each lane."""
+        j = lanes * self.size + (w >> STEP)
+        lo, hi = self.flat[j].astype(np.int64), self.flat[j + 1].astype(np.int64)
+        far = np.flatnonzero(lo < hi)
+        home, share = lanes * (self.of.vocab + 1), self.of.share[lanes]
+        while len(far):
+            mid = (lo[far] + hi[far] + 1) >> 1
+            ok = share[far] * self.before[home[far] + mid] + mid <= w[far]
+            lo[far] = np.where(ok, mid, lo[far])
+            hi[far] = np.where(ok, hi[far], mid - 1)
+            far = far[lo[far] < hi[far]]
+        return lo
+
+
 def _decode_group(codes, lens, vocab: int):
     """The inverse: list of arrays of ids."""
     lens = np.array(lens)
@@ -161,62 +230,70 @@ def _decode_group(codes, lens, vocab: int):
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     pred1, pred2 = np.zeros(lanes << TABLE, np.uint16), np.zeros(lanes << TABLE, np.uint16)
     conf1, conf2 = np.zeros(lanes << TABLE, np.uint8), np.zeros(lanes << TABLE, np.uint8)
-    home = np.arange(lanes) << TABLE
-    cells = np.arange(lanes) * 32
-    counts = np.ones(lanes * 128, np.int64)
+    home, cells = np.arange(lanes) << TABLE, np.arange(lanes) * CELLS
+    counts = np.ones((lanes, CELLS, 3), np.int64)
+    tally = counts.reshape(-1)
     ids = np.zeros((n, lanes), np.uint16)
     p1, p2 = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+    order0 = Order0(lanes, vocab)
+    inverse = Inverse(order0)
+    inverse.learn()
+    before, row = order0.before.reshape(-1), np.arange(lanes) * (vocab + 1)
     top, one = np.uint64(1) << S32, np.uint64(1)
-    hist = first = often = None
-    m = lanes
+    learns, m = set(_steps(n)), lanes
     for t in range(n):
         if lens[-1] <= t:
             m = int(np.searchsorted(-lens, -t, "left"))
         if t % REFRESH == 0:
-            w0, w = _weights(counts.reshape(-1, 4))
-            limits = np.ascontiguousarray(w0[:, 1:]).astype(np.uint64)
-            w0, w = w0.reshape(-1).astype(np.uint64), w.reshape(-1).astype(np.uint64)
-        if t % REFRESH == 0 and (t == 0 or _known(t) == t):
-            total = _totals(t, vocab)
-            if t:
-                hist = np.sort(ids[:t].T, axis=1)
-                new = np.ones(hist.shape, bool)
-                new[:, 1:] = hist[:, 1:] != hist[:, :-1]
-                spot = np.flatnonzero(new)
-                runs = np.diff(np.append(spot, new.size))
-                first = np.repeat(spot % t, runs).astype(np.uint16)
-                often = np.repeat(runs, runs).astype(np.uint16)
-                hist = hist.reshape(-1)
-                base = np.arange(lanes) * t
-        o, l, r, a, b = off[:m], low[:m], rng[:m], p1[:m], p2[:m]
+            weights = _weights(counts)
+            w2, w1, w0 = (np.ascontiguousarray(weights[..., k]).reshape(-1) for k in range(3))
+            if t in learns:
+                order0.learn(ids[:t].T, t)
+                inverse.learn()
+            total, share = order0.total, order0.share
+        o, l, r, a, b, by = off[:m], low[:m], rng[:m], p1[:m], p2[:m], share[:m]
         i1, i2 = home[:m] + _hash1(a), home[:m] + _hash2(a, b)
         c1, c2, k1, k2 = pred1[i1], pred2[i2], conf1[i1], conf2[i2]
-        cell = cells[:m] + (k2 * 8 + k1 * 2 + (c1 == c2))
+        same = c1 == c2
+        cell = cells[:m] + (k2 * 8 + k1 * 2 + same)
+        has2 = k2 > 0
+        has1 = (k1 > 0) & ~(same & has2)
+        x1, x2 = row[:m] + c1, row[:m] + c2
+        a1, a2 = before[x1], before[x2]
+        b1, b2 = (by * (before[x1 + 1] - a1) + 1) * has1, (by * (before[x2 + 1] - a2) + 1) * has2
+        v0, tot = w0[cell], total[:m]
+        wide2 = tot * w2[cell] + v0 * b2
+        both = wide2 + tot * w1[cell] + v0 * b1
         r >>= np.uint64(WEIGHT)
-        d = o // r
-        pick = (d[:, None] >= limits[cell]).sum(1)
-        cell *= 4
-        cell += pick
-        step = r * w0[cell]
+        r //= tot.view(np.uint64)
+        v = (o // r).view(np.int64)
+        hit2 = v < wide2
+        got = np.where(hit2, c2, c1)
+        start, width = np.where(hit2, 0, wide2), np.where(hit2, wide2, both - wide2)
+        pick = 1 - hit2.view(np.int8)
+        rest = np.flatnonzero(v >= both)
+        if len(rest):
+            pick[rest] = 2
+            f, by, end = v0[rest], by[rest], both[rest]
+            s = (v[rest] - end) // f
+            d1, d2, e1, e2 = c1[rest].astype(np.int64), c2[rest].astype(np.int64), b1[rest], b2[rest]
+            g1, g2 = by * a1[rest] + d1, by * a2[rest] + d2
+            # step over the shares of the two ids that lie elsewhere, the smaller id first
+            swap = d1 > d2
+            s += np.where(s >= np.where(swap, g2, g1), np.where(swap, e2, e1), 0)
+            s += np.where(s >= np.where(swap, g1, g2), np.where(swap, e1, e2), 0)
+            s = np.minimum(s, tot[rest] - 1)
+            x = inverse(rest, s)
+            z = row[rest] + x
+            first = before[z]
+            start[rest] = end + f * (by * first + x - (d1 < x) * e1 - (d2 < x) * e2)
+            width[rest] = f * (by * (before[z + 1] - first) + 1)
+            got[rest] = x
+        start, width = start.view(np.uint64), width.view(np.uint64)
+        step = r * start
         o -= step
         l += step
-        r *= w[cell]
-        r //= total[pick]
-        got = np.where(pick == 0, c2, c1)
-        plain = np.flatnonzero(pick >= 2)
-        if len(plain):
-            d = (o[plain] // r[plain]).astype(np.int64)
-            width = np.ones(len(plain), np.uint64)
-            value, start = d.copy(), d.astype(np.uint64)
-            seen = np.flatnonzero(pick[plain] == 2)
-            if len(seen):
-                j = base[plain[seen]] + d[seen]
-                value[seen], start[seen], width[seen] = hist[j], first[j], often[j]
-            got[plain] = value
-            step = r[plain] * start
-            o[plain] -= step
-            l[plain] += step
-            r[plain] *= width
+        r *= width
         full = np.flatnonzero(r < top)
         if len(full):
             x, s = l[full], r[full]
@@ -226,10 +303,10 @@ def _decode_group(codes, lens, vocab: int):
             o[full] = (o[full] << S32) | words[at[full]]
             at[full] += 1
         conf1[i1] = np.where((c1 == got) & (k1 > 0), np.minimum(k1 + 1, 3), 1)
-        conf2[i2] = np.where((c2 == got) & (k2 > 0), np.minimum(k2 + 1, 3), 1)
+        conf2[i2] = np.where((c2 == got) & has2, np.minimum(k2 + 1, 3), 1)
         pred1[i1] = got
         pred2[i2] = got
-        counts[cell] += 1
+        tally[cell * 3 + pick] += 1
         b[:] = a
         a[:] = got
         ids[t, :m] = got

@@ -8,6 +8,7 @@ one number per file.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -36,6 +37,30 @@ class Numbers(dict):
         return n
 
 
+#: Kinds of normal forms and of cuts over which white space stands fast: no word meets another.
+FORMS, CUTS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "Sequence"}, {"Split", "ByteLevel", "Sequence"}
+
+
+def independent(spec: dict) -> bool:
+    """Whether a tokenizer of this description never joins what ASCII white space parts, whatever the text."""
+    import regex
+
+    def flat_(part, inner):
+        return [] if part is None else [part, *[y for x in part.get(inner, []) for y in flat_(x, inner)]]
+
+    forms, cuts = flat_(spec.get("normalizer"), "normalizers"), flat_(spec.get("pre_tokenizer"), "pretokenizers")
+    if {x["type"] for x in forms} - FORMS or {x["type"] for x in cuts} - CUTS:
+        return False
+    if any(x["type"] == "Replace" and (x["pattern"].get("Regex") != r"\s+" or x["content"] != " ") for x in forms):
+        return False
+    if any(x["type"] == "ByteLevel" and (x["add_prefix_space"] or x["use_regex"]) for x in cuts):
+        return False
+    split = [x for x in cuts if x["type"] == "Split"]
+    # only what the pattern finds is kept, and nothing that it finds holds a blank
+    keeps = [x for x in split if x["behavior"] == "Removed" and x["invert"] and not any(regex.search(x["pattern"]["Regex"], f"{a}{b}{c}").end() > len(a) for a in ("a", "1", ".", "'s", "é") for b in " \t\n\r\x0b\x0c" for c in ("a", "1", ".", "'s", "é"))]
+    return bool(keeps)
+
+
 class WordCache:
     """Ids of texts by a tokenizer that never joins over ASCII white space; every distinct word is encoded once."""
 
@@ -47,7 +72,8 @@ class WordCache:
 
         self.lib = Tokenizer.from_file(tokenizer)
         sample = "Ab 's\tc1\n'\x0b\x0c\rx  ,yz ́e"
-        if self.lib.encode(sample, add_special_tokens=False).ids != [i for w in sample.split() for i in self.lib.encode(w, add_special_tokens=False).ids]:
+        same = self.lib.encode(sample, add_special_tokens=False).ids == [i for w in sample.split() for i in self.lib.encode(w, add_special_tokens=False).ids]
+        if not same or not independent(json.loads(self.lib.to_str())):
             raise ValueError(f"{tokenizer}: words of this tokenizer are not independent")
         self.vocab = self.lib.get_vocab_size()
         self.forget()
