@@ -691,11 +691,6 @@ def near_tags(spark, sf):
     return coverage.near_labels(pool(spark, sf), must_words(spark, sf)).select("need", F.array_join("near", "|").alias("near"))
 
 
-@query()
-def emit_fixes(spark, sf):
-    return coverage.proposals(pool(spark, sf), must_words(spark, sf), 0.8)
-
-
 @query("SELECT count(DISTINCT p_brand) AS n, sha1(string_agg(DISTINCT p_brand, '、' ORDER BY p_brand)) AS sig FROM part")
 def pool_drift_hash(spark, sf):
     return coverage.pool_signature(t(spark, sf, "part").select(F.col("p_brand").alias("label")))
@@ -718,16 +713,6 @@ def json_props_salvage(spark, sf):
     return batch.withColumn("r", r).select("user_id", F.size("r.rows").alias("n_rows"), F.size("r.errors").alias("n_errors"))
 
 
-SEGMENTS = ("学历背景", "工作经历", "核心技能")
-SEGMENT_ROWS = [("学历背景｜本科\n工作经历｜5年\n核心技能｜PLC",), ("学历|本科\n\n核心技能｜CAD\n备注｜可出差",), ("",), (None,), ("自由文本",)]
-
-
-@query()
-def segment_repair(spark, sf):
-    r = norm.segments(F.col("body"), SEGMENTS)
-    return fixture(spark, "body", SEGMENT_ROWS).withColumn("r", r).select("body", "r.text", F.array_join("r.kinds", ",").alias("kinds"))
-
-
 @query("SELECT * FROM (VALUES ('extra', 'c_mktsegment'), ('missing', 'c_phone')) x(kind, name)")
 def schema_drift(spark, sf):
     d = tables.drift(t(spark, sf, "customer"), ["c_name", "c_phone", "c_nationkey", "c_acctbal"], primary="c_custkey")
@@ -747,7 +732,7 @@ def status_report(spark, sf):
 
 @functools.cache
 def queries() -> dict:
-    from . import catalog_parsing  # noqa: F401  it registers queries of its own
+    from . import catalog_parsing, catalog_plans  # noqa: F401  they register queries of their own
 
     return dict(QUERIES)
 

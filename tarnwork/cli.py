@@ -1,4 +1,4 @@
-"""Read a table: python -m tarnwork.cli PATH [--filter column=value ...] [--fields a,b] [--stats]; prints JSON."""
+"""Read a table: python -m tarnwork.cli PATH [--filter column=value ...] [--fields a,b] [--stats] [--limit N]; prints JSON."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from .operators import stats, tables
 from .session import session
 
 
-def run(spark, path: str, filters=(), fields: str = "", show_stats: bool = False) -> dict:
-    """count and records of what is asked for; with show_stats, matches per opening and label."""
+#: Records that are shown unless more are asked for.
+SHOWN = 1000
+
+
+def run(spark, path: str, filters=(), fields: str = "", show_stats: bool = False, limit: int = SHOWN) -> dict:
+    """count of what is asked for and its first records, at most limit; with show_stats, matches per opening and label.
+
+    The records are collected for a reader; a whole table is read with Spark, not through this.
+    """
     if any("=" not in f for f in filters):
         raise ValueError("a filter is column=value")
     df = tables.scan(spark.read.parquet(path), dict(f.split("=", 1) for f in filters))
@@ -21,8 +28,7 @@ def run(spark, path: str, filters=(), fields: str = "", show_stats: bool = False
             raise ValueError("statistics need a table of matches")
         df = stats.label_stats(df, F.monotonically_increasing_id())
     df = tables.scan(df, fields=[f for f in fields.split(",") if f])
-    # what is asked for is shown to a reader
-    return {"count": df.count(), "records": [json.loads(r) for r in df.toJSON().collect()]}
+    return {"count": df.count(), "records": [json.loads(r) for r in df.limit(limit).toJSON().collect()]}
 
 
 def main(argv=None) -> None:
@@ -31,8 +37,9 @@ def main(argv=None) -> None:
     p.add_argument("--filter", action="append", default=[])
     p.add_argument("--fields", default="")
     p.add_argument("--stats", action="store_true")
+    p.add_argument("--limit", type=int, default=SHOWN)
     a = p.parse_args(argv)
-    print(json.dumps(run(session("cli"), a.path, a.filter, a.fields, a.stats), ensure_ascii=False))
+    print(json.dumps(run(session("cli"), a.path, a.filter, a.fields, a.stats, a.limit), ensure_ascii=False))
 
 
 if __name__ == "__main__":

@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import gates
-from .text import join_list, list_tokens, tokens
-from .values import SEGMENT_ABSENT
+from .text import blank_to_null, first_int, join_list, list_tokens, tokens, utrim
+from .values import RESUME_SEGMENTS, SEGMENT_ABSENT
 
 BAR, HALF_BAR = "｜", "|"
 ID = re.compile(r'"(?:id|job_id|rid)"\s*:\s*"([^"]*)"')
@@ -122,6 +122,25 @@ def job_row(hard_gates: Column, must: Column, bonus: Column) -> Column:
     )
 
 
+def resume_row(structured: Column, deep: Column, skills: Column, corrections: dict[str, Column]) -> Column:
+    """A refined résumé row: segments in order, texts trimmed, years as a number, skills as tokens, and the kinds of repair.
+
+    corrections: name -> text; null stays null. years_experience becomes the first whole number of its text.
+    """
+    seg, plain = segments(structured, RESUME_SEGMENTS), F.coalesce(utrim(deep), F.lit(""))
+    words = tokens(skills)
+    new = {k: first_int(c) if k == "years_experience" else blank_to_null(c) for k, c in corrections.items()}
+    # what is said for a cell that was no value before is no repair
+    kinds = [F.when(plain != F.coalesce(deep, F.lit("")), F.lit("coerced_str"))]
+    for k, c in corrections.items():
+        label = "coerced_int" if k == "years_experience" else "coerced_str"
+        kinds.append(F.when(~new[k].cast("string").eqNullSafe(c), F.lit(label)))
+    kinds.append(F.when(F.array_join(words, "、") != F.coalesce(skills, F.lit("")), F.lit("skills_coerced")))
+    return F.struct(
+        seg["text"].alias("ai_extract"), plain.alias("ai_deep"), words.alias("skills"), *[c.alias(k) for k, c in new.items()], F.concat(seg["kinds"], F.array_compact(F.array(*kinds))).alias("kinds")
+    )
+
+
 def has_content(*cells: Column) -> Column:
     """Whether a refined row has anything to write back."""
     out = F.lit(False)
@@ -135,4 +154,4 @@ def unknown_keys(payload: Column, allowed: tuple[str, ...]) -> Column:
     return F.array_sort(F.filter(F.array_except(F.map_keys(payload), F.array(*map(F.lit, allowed))), lambda k: ~k.startswith("_")))
 
 
-__all__ = ["canonical_skills", "has_content", "job_row", "join_list", "list_tokens", "repaired_segments", "salvaged", "salvaged_objects", "segments", "unknown_keys"]
+__all__ = ["canonical_skills", "has_content", "job_row", "join_list", "list_tokens", "repaired_segments", "resume_row", "salvaged", "salvaged_objects", "segments", "unknown_keys"]

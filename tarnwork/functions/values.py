@@ -21,6 +21,20 @@ GATE_SEGMENTS = ("学历", "专业", "经验", "证书", "年龄")
 GATE_ABSENT = "不作硬性要求"
 SEGMENT_ABSENT = "未提及"
 
+# Lines of a refined résumé, cells that a refinement may correct, cells of an opening that it may write, those of
+# them that mark an opening as refined.
+RESUME_SEGMENTS = ("学历背景", "工作经验", "核心技能", "求职意向", "匹配度评估")
+CORRECTIONS = ("name", "major", "school", "certificates", "years_experience", "expected_position")
+JOB_KEYS, JOB_REFINED = ("hard_gates", "must_skills", "bonus_skills", "work_location", "org", "status"), ("hard_gates", "must_skills", "bonus_skills")
+
+# Keys of a report in the order in which they are shown, those that come last, cells of a row in its summary.
+REPORT_HEAD = (
+    "user_line", "next_action", "created", "readback_missing", "table_total", "refine_queued", "cron_job", "created_summary", "total", "parsed", "skipped_dup", "needs_ocr",
+    "backfill_stripped", "failed", "duplicates_removed",
+)
+REPORT_TAIL, SUMMARY_ROWS = ("error", "timing_ms"), 5
+SUMMARY_FIELDS = ("name", "phone", "expected_position", "school", "major", "education", "years_experience", "job_name", "department")
+
 # Cities, departments and their aliases, organisations.
 CITIES = ("北京", "上海", "深圳", "杭州", "成都", "广州", "南京", "武汉", "曲靖", "不限")
 ANYWHERE = "不限"

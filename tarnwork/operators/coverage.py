@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -39,7 +39,10 @@ def near_labels(pool: DataFrame, words: DataFrame) -> DataFrame:
     # an equi-join over characters finds the pairs that share some
     cand = w.select("need", F.explode("w").alias("ch")).join(p.select("label", F.explode("l").alias("ch")), "ch").where("need <> label")
     shared = cand.groupBy("need", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SHARED)
-    best = shared.groupBy("need").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.length("label").alias("len"), "label"))), 1, MOST_NEAR).alias("x"))
+    # a need keeps its best few as they are ranked; its labels are never gathered in one row
+    w = Window.partitionBy("need").orderBy(F.desc("n"), F.length("label"), "label")
+    best = shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MOST_NEAR)
+    best = best.groupBy("need").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("x"))
     return best.select("need", F.transform("x", lambda x: x["label"]).alias("near"))
 
 
@@ -61,7 +64,28 @@ def proposals(pool: DataFrame, needs: DataFrame, least: float) -> DataFrame:
         return F.struct(F.concat(s["out"], F.array(F.when(why == OTHER_WORD, x["best"]).otherwise(x["need"]))).alias("out"), F.concat(s["why"], F.array(why)).alias("why"))
 
     done = per.withColumn("r", F.aggregate("words", start, step))
-    return done.select("job_id", F.array_join("r.out", "、").alias("must_skills"), F.size(F.filter("r.why", lambda w: w == COLLISION)).alias("collisions"), F.array_join("r.why", ",").alias("causes"))
+    # a label of the pool covers itself, so that every replaced word is covered from then on
+    n = F.size(F.filter("r.why", lambda w: w.isin("", OTHER_WORD)))
+    after = n / F.size("words")
+    return done.select(
+        "job_id", F.array_join("r.out", "、").alias("must_skills"), F.size(F.filter("r.why", lambda w: w == COLLISION)).alias("collisions"), F.array_join("r.why", ",").alias("causes"),
+        after.alias("post_ratio"), (after < least).alias("still_low"),
+    )
+
+
+def precheck(payload: DataFrame, jobs: DataFrame, pool: DataFrame, least: float) -> DataFrame:
+    """What is wrong with proposals before they are written: job_id, problem (unknown or low), ratio, missing words.
+
+    payload: job_id, must_skills. A proposal without words changes nothing and is left out.
+    """
+    known = jobs.select("job_id").distinct()
+    unknown = payload.join(known, "job_id", "left_anti").select("job_id", F.lit("unknown").alias("problem"), F.lit(None).cast("double").alias("ratio"), F.lit(None).cast("string").alias("missing"))
+    needs = payload.join(known, "job_id", "left_semi").select("job_id", F.posexplode(tokens(F.col("must_skills"))).alias("pos", "need"))
+    j = needs.join(covered_words(pool, needs), "need")
+    # the words of one proposal
+    missing = F.transform(F.array_sort(F.collect_list(F.when(~F.col("covered"), F.struct("pos", "need")))), lambda x: x["need"])
+    per = j.groupBy("job_id").agg((F.count_if("covered") / F.count(F.lit(1))).alias("ratio"), F.array_join(missing, "、").alias("missing"))
+    return unknown.unionByName(per.where(F.col("ratio") < least).select("job_id", F.lit("low").alias("problem"), "ratio", "missing"))
 
 
 def pool_signature(pool: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_empty
-from ..functions.values import NO_DEPARTMENT, OPEN_STATUS, RECOMMEND, UNJUDGED
+from ..functions.values import NO_DEPARTMENT, OPEN_STATUS, RECOMMEND, REPORT_HEAD, REPORT_TAIL, SUMMARY_FIELDS, SUMMARY_ROWS, UNJUDGED
 
 
 def job_stats(jobs: DataFrame, matches: DataFrame) -> DataFrame:
@@ -56,3 +56,23 @@ def is_open(status: Column) -> Column:
 def outcome(error: Column, n_missing: Column, n_failed: Column, n_ocr: Column) -> Column:
     """The level of a report."""
     return F.when(F.coalesce(error != "", F.lit(False)) | (n_missing > 0), "BAD").when((n_failed > 0) | (n_ocr > 0), "WARN").otherwise("OK")
+
+
+def summary(rows: DataFrame, order: list[Column], fields: tuple[str, ...] = SUMMARY_FIELDS, most: int = SUMMARY_ROWS) -> DataFrame:
+    """The first rows with their filled cells as a map, and, where there are more, a row that says how many."""
+    have = [f for f in fields if f in rows.columns]
+    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("k"), F.col(f).cast("string").alias("v")) for f in have]), lambda p: F.coalesce(p["v"], F.lit("")) != "")
+    first = rows.orderBy(*order).limit(most).select(F.map_from_entries(pairs).alias("cells"), F.lit(None).cast("long").alias("more"))
+    rest = rows.agg((F.count(F.lit(1)) - most).alias("more")).where("more > 0").select(F.lit(None).cast("map<string,string>").alias("cells"), "more")
+    return first.where(F.size("cells") > 0).unionByName(rest)
+
+
+def report_order(names) -> list[str]:
+    """The keys of a report as they are shown: the fixed ones first, then others as they came, errors and times last."""
+    names = list(names)
+    fixed = (*REPORT_HEAD, *REPORT_TAIL)
+    return [n for n in REPORT_HEAD if n in names] + [n for n in names if n not in fixed] + [n for n in REPORT_TAIL if n in names]
+
+
+def ordered(report: DataFrame) -> DataFrame:
+    return report.select(*report_order(report.columns))

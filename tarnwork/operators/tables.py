@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, utrim
 
 
 def scan(df: DataFrame, equal: dict | None = None, fields: list[str] | None = None) -> DataFrame:
@@ -124,5 +124,21 @@ def drop(df: DataFrame, column: str, declared: list[str]) -> DataFrame:
     return df.drop(column)
 
 
+def parse_spec(spec: str) -> tuple[str, str, str | None]:
+    """`table:column` or `table:column=new` as (table, column, new)."""
+    table, colon, column = spec.partition(":")
+    if not colon:
+        raise ValueError(f"{spec} is not table:column[=new]")
+    column, _, new = column.partition("=")
+    return table.strip(), column.strip(), new.strip() or None
+
+
+def specs(c: Column) -> Column:
+    """parse_spec() of a column: struct<table, column, new>, null where there is no colon."""
+    rest = F.regexp_replace(c, "(?s)^[^:]*:", "")
+    new = F.when(F.contains(rest, F.lit("=")), F.nullif(utrim(F.regexp_replace(rest, "(?s)^[^=]*=", "")), F.lit("")))
+    return F.when(F.contains(c, F.lit(":")), F.struct(utrim(F.substring_index(c, ":", 1)).alias("table"), utrim(F.substring_index(rest, "=", 1)).alias("column"), new.alias("new")))
+
+
 def create(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
