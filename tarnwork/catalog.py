@@ -16,6 +16,7 @@ from .functions import normalize as norm
 from .functions import values as V
 from .operators import coverage, matching, refine, stats, tables
 from .plans import chain, parts
+from .plans.shared import written
 from .streaming.drain import recent
 
 LARGE = 40
@@ -119,14 +120,13 @@ def need_tokens(spark, sf) -> DataFrame:
     return each.select("job_id", F.when(must, "must").otherwise("bonus").alias("side"), F.when(must, F.col("k") + 1).otherwise(F.col("k") - 4).cast("long").alias("pos"), F.col("x.word").alias("word"))
 
 
-def matched(spark, sf) -> DataFrame:
-    syn, hyp = matching.dictionary(spark, SYN, HYP)
-    return matching.match(cands(spark, sf), cand_tokens(spark, sf), jobs(spark, sf), need_tokens(spark, sf), syn, hyp)
+def had(spark, sf) -> DataFrame:
+    """rid, need: what candidates have of what openings ask for; written once."""
+    return matching.hits(cand_tokens(spark, sf), jobs(spark, sf), need_tokens(spark, sf), *matching.dictionary(spark, SYN, HYP))
 
 
-def had(spark, sf) -> DataFrame:
-    syn, hyp = matching.dictionary(spark, SYN, HYP)
-    return matching.need_hits(cand_tokens(spark, sf), need_tokens(spark, sf), syn, hyp)
+def matched(spark, sf, have: DataFrame | None = None, lists: bool = False) -> DataFrame:
+    return matching.match(cands(spark, sf), cand_tokens(spark, sf), jobs(spark, sf), need_tokens(spark, sf), *matching.dictionary(spark, SYN, HYP), have=have, lists=lists)
 
 
 QUERIES: dict = {}
@@ -322,10 +322,8 @@ said AS (SELECT scored.*, format('语义匹配：必备{}/{}（{}）；加分{}/
 
 
 def explained(spark, sf) -> DataFrame:
-    # pairs are counted once; their words are looked up from the same table of hits
-    m = matched(spark, sf)
-    lists = matching.hit_lists(m, had(spark, sf), need_tokens(spark, sf))
-    return m.join(lists, ["rid", "job_id"]).withColumn("evidence", matching.evidence(F.col("must_hits"), F.col("n_must_hit"), F.col("n_must"), F.col("n_bonus_hit"), F.col("n_bonus"), F.col("must_miss")))
+    m = matched(spark, sf, lists=True)
+    return m.withColumn("evidence", matching.evidence(F.col("must_hits"), F.col("n_must_hit"), F.col("n_must"), F.col("n_bonus_hit"), F.col("n_bonus"), F.col("must_miss")))
 
 
 @query(views(SQL_LISTS + "\nSELECT rid, job_id, evidence FROM said"))
@@ -356,12 +354,14 @@ SELECT rid, job_id, keep, hm AS n_must_hit, hb AS n_bonus_hit, CASE WHEN keep TH
 
 @query(views(SQL_GRANTS))
 def grants_rescore(spark, sf):
-    need, j = need_tokens(spark, sf), jobs(spark, sf)
-    v = matched(spark, sf).select("rid", "job_id").join(j.select("job_id", "s_suppkey"), "job_id").select("rid", "job_id", ((F.col("rid") * 7 + F.col("s_suppkey")) % 3 != 0).alias("keep"))
+    need, j, have = need_tokens(spark, sf), jobs(spark, sf), had(spark, sf)
+    # the pairs and their live counts are read three times
+    live = written(matched(spark, sf, have).select("rid", "job_id", "n_must", "n_bonus", "n_must_hit", "n_bonus_hit"), "live")
+    v = live.select("rid", "job_id").join(j.select("job_id", "s_suppkey"), "job_id").select("rid", "job_id", ((F.col("rid") * 7 + F.col("s_suppkey")) % 3 != 0).alias("keep"))
     g = v.where("rid % 2 = 0").join(need.where("pos <= 2"), "job_id")
     k = F.col("rid") + F.col("pos")
     g = g.select("rid", "job_id", F.col("pos").alias("ord"), "side", F.when(k % 11 == 0, "unknown").otherwise(F.col("word")).alias("item"), F.when(k % 7 == 0, " ").otherwise("basis").alias("basis"))
-    return matching.rescored(v, j, need, had(spark, sf), g).select("rid", "job_id", "keep", "n_must_hit", "n_bonus_hit", "total_score", "recommend")
+    return matching.rescored(v, j, need, have, g, live).select("rid", "job_id", "keep", "n_must_hit", "n_bonus_hit", "total_score", "recommend")
 
 
 @query(views("""
@@ -369,7 +369,7 @@ def grants_rescore(spark, sf):
 k AS (SELECT job_id, block, row_number() OVER (ORDER BY job_id, block) - 1 AS o FROM (SELECT DISTINCT job_id, block FROM b)), n AS (SELECT ceil(count(*) / 20.0)::INT AS size FROM k)
 SELECT (o // size + 1)::INT AS part, count(*) AS n_pairs, count(DISTINCT job_id || ':' || block) AS n_blocks, sum(total_score)::BIGINT AS points FROM b JOIN k USING (job_id, block), n GROUP BY 1"""))
 def match_prepare_parts(spark, sf):
-    p = chain.prepared(matched(spark, sf), had(spark, sf), need_tokens(spark, sf))
+    p = chain.prepared(matched(spark, sf, lists=True))
     return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("job_id", "block").alias("n_blocks"), F.sum("total_score").alias("points"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from .matching import contained
 
-LEAST_SHARED, MOST_NEAR = 2, 5
+LEAST_SHARED, MOST_NEAR, SEPARATOR = 2, 5, "、"
 NO_SUCH, OTHER_WORD, COLLISION = "②", "①", "①撞车"
 
 
@@ -33,12 +33,17 @@ def letters(c: Column) -> Column:
 
 
 def near_labels(pool: DataFrame, words: DataFrame) -> DataFrame:
-    """need, near: up to five labels that share two or more characters; most shared first, then the shortest, then by text."""
+    """need, near: up to five labels that share two or more characters; most shared first, then the shortest, then by text.
+
+    Two words that share two characters share one that is not the most common of either: pairs come from the others only.
+    """
     p = pool.select("label").distinct().withColumn("l", letters(F.col("label")))
     w = words.select("need").distinct().withColumn("w", letters(F.col("need")))
-    # an equi-join over characters finds the pairs that share some
-    cand = w.select("need", F.explode("w").alias("ch")).join(p.select("label", F.explode("l").alias("ch")), "ch").where("need <> label")
-    shared = cand.groupBy("need", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SHARED)
+    n = p.select(F.explode("l").alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    # in one order for both, the most common last and left out; a character that no label has joins nothing
+    rarer = lambda df, key, c: df.select(key, F.explode(c).alias("ch")).join(n, "ch").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "ch"))).where("k > 1").select(key, "ch")
+    pairs = rarer(w, "need", "w").join(rarer(p, "label", "l"), "ch").where("need <> label").select("need", "label").distinct()
+    shared = pairs.join(w, "need").join(p, "label").select("need", "label", F.size(F.array_intersect("w", "l")).alias("n")).where(F.col("n") >= LEAST_SHARED)
     # a need keeps its best few as they are ranked; its labels are never gathered in one row
     w = Window.partitionBy("need").orderBy(F.desc("n"), F.length("label"), "label")
     best = shared.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MOST_NEAR)
@@ -89,6 +94,23 @@ def precheck(payload: DataFrame, jobs: DataFrame, pool: DataFrame, least: float)
 
 
 def pool_signature(pool: DataFrame) -> DataFrame:
-    """n, sig: the pool's size and the SHA-1 of its sorted labels; a pool is a vocabulary and fits one value."""
-    s = pool.select("label").distinct().agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list("label")), "、")).alias("sig"))
-    return s
+    """n, sig: the pool's size and the SHA-1 of its sorted labels.
+
+    A digest of one text is taken in one task; the labels run through it in order, a batch at a time, so that no row holds the pool.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        n, sha = 0, hashlib.sha1()
+        for b in batches:
+            for label in b.column(0).to_pylist():
+                sha.update((SEPARATOR + label if n else label).encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n], "sig": [sha.hexdigest()]})
+
+    out = pool.select("label").where("label is not null").distinct().repartition(1).sortWithinPartitions("label").mapInArrow(run, "n long, sig string")
+    none = F.sha1(F.lit("").cast("binary"))
+    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sig"), none).alias("sig"))

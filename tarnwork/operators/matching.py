@@ -7,7 +7,7 @@ candidate would score 0, which no positive least total lets through; the cross p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates
@@ -25,16 +25,29 @@ def dictionary(spark, synonyms=SYNONYMS, hypernyms=HYPERNYMS) -> tuple[DataFrame
     return spark.createDataFrame(syn, "word string, grp int"), spark.createDataFrame(hyp, "need string, word string")
 
 
+#: Characters of the parts by which words within words are found.
+PART = 3
+
+
 def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     """Distinct pairs (short, long) of words where the first lies within the second, by equi-joins only.
 
-    A long word is cut into its substrings of those lengths that short words have. Empty words pair with nothing.
+    Long words are indexed by their parts of up to PART characters, so that the index grows as their length; a short word is looked up
+    by the rarest of its own parts only, then compared. Empty words pair with nothing.
     """
     s, lo = short.toDF("short").where("short <> ''").distinct(), long.toDF("long").where("long <> ''").distinct()
-    lengths = s.select(F.length("short").alias("n")).distinct()
-    cut = lo.select("long", F.explode(F.sequence(F.lit(1), F.length("long"))).alias("n")).join(lengths, "n")
-    part = F.expr("transform(sequence(1, length(long) - n + 1), p -> substring(long, p, n))")
-    return cut.select("long", F.explode(F.array_distinct(part)).alias("short")).join(s, "short").select("short", "long").distinct()
+    parts = lambda c, n: F.array_distinct(F.expr(f"transform(sequence(1, length({c}) - {n} + 1), p -> substring({c}, p, {n}))"))
+    size = f"least(length(short), {PART})"
+    own = s.select("short", F.explode(parts("short", size)).alias("part"))
+    every = [lo.where(F.length("long") >= n).select("long", F.explode(parts("long", n)).alias("part")) for n in range(1, PART + 1)]
+    index = every[0]
+    for more in every[1:]:
+        index = index.unionByName(more)
+    index = index.join(own.select("part").distinct(), "part")
+    n = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # a part that no long word has says that there is none
+    rarest = own.join(n, "part", "left").groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("x")).where("x.n > 0")
+    return rarest.select("short", F.col("x.part").alias("part")).join(index, "part").where(F.contains("long", F.col("short"))).select("short", "long").distinct()
 
 
 def token_hits(words: DataFrame, needs: DataFrame, synonyms: DataFrame, hypernyms: DataFrame) -> DataFrame:
@@ -60,6 +73,18 @@ def need_hits(cand_tokens: DataFrame, need_tokens: DataFrame, synonyms: DataFram
     return cand_tokens.join(hits, "word").select("rid", "need").distinct()
 
 
+def asked_words(jobs: DataFrame, need_tokens: DataFrame) -> DataFrame:
+    """job_id, side, pos, word: the words of both sides, and as a third side those of the major that a gate asks for."""
+    majors = jobs.select("job_id", F.lit("major").alias("side"), F.posexplode(gates.needed_majors(F.col("hard_gates"))).alias("pos", "word"))
+    own = need_tokens.where(F.col("side").isin("must", "bonus"))
+    return own.select("job_id", "side", F.col("pos").cast("long").alias("pos"), "word").unionByName(majors.withColumn("pos", F.col("pos").cast("long")))
+
+
+def hits(cand_tokens: DataFrame, jobs: DataFrame, need_tokens: DataFrame, synonyms: DataFrame, hypernyms: DataFrame) -> DataFrame:
+    """rid, need: need_hits() for all words that openings ask for, computed once and kept for what follows."""
+    return written(need_hits(cand_tokens, asked_words(jobs, need_tokens), synonyms, hypernyms), "hits")
+
+
 def weight(c: Column, default: float) -> Column:
     """A missing weight has its default; 0 is a weight."""
     return F.coalesce(c.try_cast("double"), F.lit(default))
@@ -134,25 +159,26 @@ def with_held(cands: DataFrame, cand_tokens: DataFrame, asked: DataFrame) -> Dat
     return cands.join(held, "rid", "left").withColumn("held", F.coalesce("held", none))
 
 
-def match(cands: DataFrame, cand_tokens: DataFrame, jobs: DataFrame, need_tokens: DataFrame, synonyms: DataFrame, hypernyms: DataFrame, least: int = LEAST_TOTAL) -> DataFrame:
+def match(cands: DataFrame, cand_tokens: DataFrame, jobs: DataFrame, need_tokens: DataFrame, synonyms: DataFrame, hypernyms: DataFrame, least: int = LEAST_TOTAL, have: DataFrame | None = None, lists: bool = False) -> DataFrame:
     """All pairs that pass the gates and reach the least total.
 
     cands: rid, org, education, years, and certificates and major where known. cand_tokens: rid, word. jobs: job_id, org,
     hard_gates, must_weight, bonus_weight. need_tokens: job_id, side (must or bonus), pos, word; a word given twice counts
-    twice. Returns rid, job_id, the counts, scores, label, and major_review: a person must judge whether the major fits.
-    `least` must be positive: pairs without any hit are never formed.
+    twice. have: hits() of these tables, if they are there. Returns rid, job_id, the counts, scores, label, and major_review: a
+    person must judge whether the major fits; with lists also what hit_lists() says, from the same pass.
+    `least` must be positive: pairs without any hit are never formed. Words that more than COMMON of the candidates have are no reason
+    to form a pair, as long as those of an opening could not reach the least total by themselves: pairs come from the other
+    words, and the common ones are counted for pairs that are there.
     """
     if least <= 0:
         raise ValueError("a least total of 0 asks for every pair; this operator forms only pairs with a hit")
+    have = hits(cand_tokens, jobs, need_tokens, synonyms, hypernyms) if have is None else have
     size = need_tokens.groupBy("job_id").agg(F.count_if(F.col("side") == "must").alias("n_must"), F.count_if(F.col("side") == "bonus").alias("n_bonus"))
     asked = ["job_id", "job_org", "need_level", "need_years", "need_certificates"]
     read = gated(jobs).withColumn("job_org", F.col("org"))
     side = read.join(size, "job_id").select(*asked, "hard_gates", "must_weight", "bonus_weight", "n_must", "n_bonus")
-    # the words of a major are met in the same join as those of the two sides, but score nothing
-    majors = read.select("job_id", F.lit("major").alias("side"), F.explode(gates.needed_majors(F.col("hard_gates"))).alias("word"))
-    words = need_tokens.where(F.col("side").isin("must", "bonus")).select("job_id", "side", "word").unionByName(majors)
+    words = _with_reason(asked_words(jobs, need_tokens), side, have, least)
     needs = words.withColumnRenamed("word", "need").join(side.select(*asked), "job_id")
-    have = need_hits(cand_tokens, words, synonyms, hypernyms)
     who = with_held(cands, cand_tokens, read.select(F.explode("need_certificates").alias("certificate")).distinct())
     major = F.col("major") if "major" in cands.columns else F.lit(None).cast("string")
     who = who.select("rid", none_if_empty(F.col("org")).alias("cand_org"), gates.level(F.col("education")).alias("have_level"), F.coalesce("years", F.lit(0)).alias("years"), major.alias("major"), "held")
@@ -161,17 +187,49 @@ def match(cands: DataFrame, cand_tokens: DataFrame, jobs: DataFrame, need_tokens
     named = lambda c: F.concat(F.lit("="), c)
     org = none_if_empty(F.col("job_org"))
     needs = needs.withColumn("key", F.explode(F.array(F.coalesce(named(org), F.lit("none")), F.lit("any"))))
-    needs = written(needs.select("job_id", "side", "need", "key", "need_level", "need_years", "need_certificates"), "needs-by-org")
+    needs = written(needs.select("job_id", "side", "pos", "need", "key", "need_level", "need_years", "need_certificates", "forms"), "needs-by-org")
     keys = F.when(F.col("cand_org").isNull(), F.array(F.lit("any"))).otherwise(F.array(named(F.col("cand_org")), F.lit("none")))
     # dealt by candidate, so that its pairs are counted where they arise
-    have = have.join(who, "rid").withColumn("key", F.explode(keys)).repartition("rid")
-    both = have.join(needs, ["need", "key"])
+    known = have.join(who, "rid").withColumn("key", F.explode(keys)).repartition("rid")
+    both = known.join(needs.where("forms"), ["need", "key"])
     both = both.where((F.col("have_level") >= F.col("need_level")) & (F.col("years") >= F.col("need_years")) & (F.size(F.array_except("need_certificates", "held")) == 0))
+    both = both.select("rid", "job_id", "side", "pos", "major")
+    more = words.where("not forms").select("job_id", "side", "pos", F.col("word").alias("need"))
+    if not more.isEmpty():  # words that form no pair are counted for the pairs that are there
+        both = written(both, "met")
+        met = both.select("rid", "job_id").distinct().join(more, "job_id").join(have.select("rid", "need"), ["rid", "need"])
+        both = both.unionByName(met.select("rid", "job_id", "side", "pos", F.lit(None).cast("string").alias("major"))).repartition("rid")
     n = [F.count_if(F.col("side") == kind).alias(f"n_{kind}_hit") for kind in ("must", "bonus", "major")]
+    if lists:  # a pair's hits are words of one opening
+        n.append(F.collect_list(F.when(F.col("side") != "major", F.struct("side", "pos"))).alias("met"))
     pairs = both.groupBy("rid", "job_id").agg(*n, F.max("major").alias("major"))
     out = scored(pairs.join(side.select("job_id", "hard_gates", "must_weight", "bonus_weight", "n_must", "n_bonus"), "job_id"))
     out = out.withColumn("major_review", major_needs_review(F.col("hard_gates"), F.col("major"), F.col("n_major_hit") > 0))
-    return out.where(F.col("total_score") >= least).drop("hard_gates", "major", "n_major_hit")
+    out = out.where(F.col("total_score") >= least).drop("hard_gates", "major", "n_major_hit")
+    if not lists:
+        return out
+    texts = need_tokens.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("side", F.col("pos").cast("long").alias("pos"), "word"))).alias("all"))
+    pick = lambda kind, hit: F.transform(F.filter("all", lambda x: (x["side"] == kind) & (F.array_contains("met", F.struct(x["side"].alias("side"), x["pos"].alias("pos"))) == hit)), lambda x: x["word"])
+    return out.join(texts, "job_id").withColumns({f"{kind}_{name}": pick(kind, hit) for kind in ("must", "bonus") for name, hit in (("hits", True), ("miss", False))}).drop("met", "all")
+
+
+#: Share of the candidates with any hit from which a word is common.
+COMMON = 0.25
+
+
+def _with_reason(words: DataFrame, side: DataFrame, have: DataFrame, least: int) -> DataFrame:
+    """words with forms: whether a hit of the word is a reason to form a pair.
+
+    An opening's common words are put in order, the most common first; as long as all of them together stay below the least
+    total (roundings up included), none of them is a reason. Words of majors score nothing and are none either.
+    """
+    bar = COMMON * have.agg(F.count_distinct("rid")).first()[0]
+    n = have.groupBy("need").agg(F.count(F.lit(1)).alias("n"))
+    w = words.join(n, F.col("word") == F.col("need"), "left").join(side.select("job_id", "must_weight", "bonus_weight", "n_must", "n_bonus"), "job_id")
+    worth = F.when(F.col("side") == "must", 100.0 * weight(F.col("must_weight"), MUST_WEIGHT) / F.col("n_must")).when(F.col("side") == "bonus", 100.0 * weight(F.col("bonus_weight"), BONUS_WEIGHT) / F.col("n_bonus")).otherwise(0.0)
+    upto = F.sum(worth).over(Window.partitionBy("job_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), "side", "pos", "word"))
+    forms = (F.col("side") != "major") & ((upto + 1 >= least) | (F.coalesce("n", F.lit(0)) <= bar))
+    return written(w.withColumn("forms", forms).select(*words.columns, "forms"), "asked")
 
 
 def hit_lists(pairs: DataFrame, have: DataFrame, need_tokens: DataFrame) -> DataFrame:
@@ -216,14 +274,19 @@ def valid_grants(grants: DataFrame, need_tokens: DataFrame, have: DataFrame) ->
     return first, g.where("reason is not null").select("job_id", "rid", "ord", "side", "item", "reason")
 
 
-def rescored(verdicts: DataFrame, jobs: DataFrame, need_tokens: DataFrame, have: DataFrame, grants: DataFrame) -> DataFrame:
-    """verdicts: job_id, rid, keep -> the rows with scores counted anew from live words and valid grants; null where not kept."""
+def rescored(verdicts: DataFrame, jobs: DataFrame, need_tokens: DataFrame, have: DataFrame, grants: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """verdicts: job_id, rid, keep -> the rows with scores counted anew from live words and valid grants; null where not kept.
+
+    live: job_id, rid, n_must, n_bonus, n_must_hit, n_bonus_hit, if they have been counted from the same words already.
+    """
     valid, _ = valid_grants(grants, need_tokens, have)
-    words = need_tokens.join(verdicts.select("job_id", "rid"), "job_id").join(have.select("rid", F.col("need").alias("word"), F.lit(1).alias("hit")), ["rid", "word"], "left")
-    n = words.groupBy("job_id", "rid").agg(*[F.count_if(c).alias(name) for c, name in (
-        (F.col("side") == "must", "n_must"), (F.col("side") == "bonus", "n_bonus"),
-        ((F.col("side") == "must") & F.col("hit").isNotNull(), "h_must"), ((F.col("side") == "bonus") & F.col("hit").isNotNull(), "h_bonus"),
-    )])
+    if live is None:
+        words = need_tokens.join(verdicts.select("job_id", "rid"), "job_id").join(have.select("rid", F.col("need").alias("word"), F.lit(1).alias("hit")), ["rid", "word"], "left")
+        live = words.groupBy("job_id", "rid").agg(*[F.count_if(c).alias(name) for c, name in (
+            (F.col("side") == "must", "n_must"), (F.col("side") == "bonus", "n_bonus"),
+            ((F.col("side") == "must") & F.col("hit").isNotNull(), "n_must_hit"), ((F.col("side") == "bonus") & F.col("hit").isNotNull(), "n_bonus_hit"),
+        )])
+    n = live.select("job_id", "rid", "n_must", "n_bonus", F.col("n_must_hit").alias("h_must"), F.col("n_bonus_hit").alias("h_bonus"))
     more = valid.groupBy("job_id", "rid").agg(F.count_if(F.col("side") == "must").alias("g_must"), F.count_if(F.col("side") == "bonus").alias("g_bonus"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = verdicts.join(n, ["job_id", "rid"], "left").join(more, ["job_id", "rid"], "left").join(jobs.select("job_id", "must_weight", "bonus_weight"), "job_id")

@@ -147,3 +147,35 @@ def test_tokens(spark):
     assert [r[0] for r in df.select(text.tokens(F.col("s"))).collect()] == [list("甲乙丙丁戊己庚"), [], []]
     lists = spark.createDataFrame([(["a", None, " "],)], "s array<string>")
     assert lists.select(text.list_tokens(F.col("s"))).first()[0] == ["a", "None"]
+
+
+def test_words_within_words_equal_the_loop(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("ab电工c ") for _ in range(rnd.randint(0, 7))) for _ in range(120)] + ["x" * 3000 + "abc"]
+    s, lo = words[:60] + ["abc", "zz"], words[40:]
+    got = sorted(map(tuple, matching.contained(spark.createDataFrame([(w,) for w in s], "w string"), spark.createDataFrame([(w,) for w in lo], "w string")).collect()))
+    assert got == sorted({(a, b) for a in s for b in lo if a and b and a in b})
+
+
+@pytest.mark.parametrize("common", [0.0, 0.25, 2.0])
+def test_common_words_form_no_pair_but_count(spark, monkeypatch, common):
+    monkeypatch.setattr(matching, "COMMON", common)
+    rnd = random.Random(7)
+    vocab = [f"w{k}q" for k in range(12)]
+    have = {k: {w for n, w in enumerate(vocab) if rnd.random() < (0.8 if n < 4 else 0.15)} for k in range(60)}
+    jobs = [(f"j{k}", "", rnd.choice([None, 1.0, 0.4]), rnd.choice([None, 0.0])) for k in range(15)]
+    need = [(j, side, p, w) for j, *_ in jobs for side, n in (("must", rnd.randint(1, 6)), ("bonus", rnd.randint(0, 4))) for p, w in enumerate(rnd.choices(vocab, k=n), 1)]
+    c = spark.createDataFrame([(k, None, None, 0) for k in have], "rid int, org string, education string, years int")
+    ct = spark.createDataFrame([(k, w) for k, ws in have.items() for w in ws], "rid int, word string")
+    j = spark.createDataFrame([(i, None, g, m, b) for i, g, m, b in jobs], "job_id string, org string, hard_gates string, must_weight double, bonus_weight double")
+    nt = spark.createDataFrame(need, "job_id string, side string, pos int, word string")
+    got = {(r.rid, r.job_id): r for r in matching.match(c, ct, j, nt, *matching.dictionary(spark), lists=True).collect()}
+    want = {}
+    for i, _, m, b in jobs:
+        words = {side: [w for x, s, _, w in need if x == i and s == side] for side in ("must", "bonus")}
+        for k, ws in have.items():
+            hit = {side: [w for w in words[side] if w in ws] for side in words}
+            s, t = (round(100 * w * (len(hit[x]) / len(words[x]))) if words[x] else 0 for x, w in (("must", 0.7 if m is None else m), ("bonus", 0.3 if b is None else b)))
+            if s + t >= 20:
+                want[k, i] = (len(hit["must"]), len(hit["bonus"]), s + t, hit["must"], [w for w in words["must"] if w not in ws], hit["bonus"])
+    assert {p: (r.n_must_hit, r.n_bonus_hit, r.total_score, r.must_hits, r.must_miss, r.bonus_hits) for p, r in got.items()} == want
