@@ -1,6 +1,8 @@
 """A corpus pipeline: documents in, token ids of a clean, deduplicated, mixed corpus out.
 
-Each stage takes what its predecessor kept, and all but the last return the columns of documents.
+Each stage takes what its predecessor kept, and all but the last return the columns of documents. Null texts count as empty, null ids
+and repeated rows are rows like others, columns beyond those of documents pass through under whatever names, and an empty
+table gives an empty one; texts of any length are read whole. What a stage does with each case is in its docstring.
 """
 
 from __future__ import annotations
@@ -21,29 +23,36 @@ GOOD, POOR = 2.0, 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts have too few words and go; each row is judged by itself."""
     return clean_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with the same text."""
+    """One document of each group with the same text: the smallest id, a null id last; of rows equal in id and text one."""
     return kept_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.75 or more of five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.75 or more of five-word shingles.
+
+    The smallest id stays. Texts without words are linked with nothing and stay, as rows with a null id do.
+    """
     return representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix of sources takes of a document."""
+    """A row per copy that the mix of sources takes of a document.
+
+    A null source is one of its own. Texts without words are left out. Rows equal in id and text are one document and get its copies
+    each; ties of keys are settled by id. Without a label a document weighs 1.
+    """
     w = F.max(F.when(F.col("quality") == 1, GOOD).otherwise(POOR))
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(w.alias("w"))
     return mixed_documents(docs, labels)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each row; an empty text has the begin and end ids only."""
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
 
 
