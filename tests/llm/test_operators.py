@@ -149,6 +149,17 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
 
+def test_pieces_of_long_words_equal_the_library():
+    rnd = random.Random(11)
+    p = pieces.Pieces(PIECES)
+    texts = ["ab" * 7000, "a" * 50_000, base64.b64encode(rnd.randbytes(30_000)).decode(), "abcabcab" * 2000, "x" * 100_001, "日本" * 5000, "ababc" * 3, *("".join(rnd.choice(a) for _ in range(rnd.randint(1, n))) for a in ("ab", "aeinrst", "etaoinshrdlu ") for n in (12, 300, 5000) for _ in range(60))]
+    ids, n = pieces.Encoder(p).encode(texts)
+    at = 0
+    for t, k in zip(texts, n.tolist()):
+        assert ids[at : at + k].tolist() == [1, *p.lib.encode(t), 2]
+        at += k
+
+
 def test_decoding_of_any_ids_equals_the_library():
     p = pieces.Pieces(PIECES)
     rnd, encoder = random.Random(6), pieces.Encoder(p)
@@ -185,6 +196,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(empty).count() == 0
 
 
+def test_archives_hold_valid_records(spark):
+    rows = [(k, f"http://h/{k}", f"<html>{k % 7}</html>") for k in range(60)] + [(100, None, None)]
+    write = lambda: warc.write_warc(frame(spark, rows, "page_id long, url string, html string", 3), warc.archive_folder(spark))
+    seen = []
+    for _ in range(2):
+        ids, refers, kinds = {}, [], Counter()
+        for r in write().collect():
+            with common.open_at(r.path, "rb") as f:
+                raw = list(warc.read_records(f))
+            assert len(raw) == r.records
+            for k, x in enumerate(raw):
+                head, block = warc.parsed(x)
+                kinds[head["WARC-Type"]] += 1
+                assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(head) and x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n")
+                assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"]) and (k == 0) == (head["WARC-Type"] == "warcinfo")
+                if k:
+                    status, _, rest = block.partition(b"\r\n")
+                    assert head["Content-Type"] == "application/http; msgtype=response" and status == b"HTTP/1.1 200 OK"
+                    n, body = warc.body_of(block)
+                    assert head["WARC-Record-ID"] not in ids
+                    ids[head["WARC-Record-ID"]] = head["WARC-Type"]
+                    if head["WARC-Type"] == "response":
+                        assert n == len(body) and warc.digest(body) == head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    else:
+                        assert head["WARC-Profile"] == warc.PROFILE and body == b""
+                        refers.append(head["WARC-Refers-To"])
+        assert len(refers) == 53 and all(ids[x] == "response" for x in refers)
+        assert kinds["response"] == 8 and kinds["revisit"] == 53
+        seen.append(sorted(ids))
+    assert seen[0] == seen[1]  # ids do not depend on the attempt
+
+
 def test_archives_begin_with_their_dictionary(tmp_path):
     at = str(tmp_path / "x.warc.zst")
     out = warc.Writer(warc.open_at(at, "wb"))
@@ -340,6 +383,17 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r["path"]: [s.kind for s in r.found] for r in found.collect()} == {3: ["assign"], 2: [], 4: ["access"]}
 
 
+def test_ledger_in_the_shared_folder(spark):
+    at = secrets.open_ledger(spark)
+    first = frame(spark, [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, None)])
+    want = {1: ["assign"], 2: ["assign"], 3: []}
+    assert {r["path"]: [s.kind for s in r.found] for r in secrets.scan_into(first, at).collect()} == want
+    assert secrets.read_ledger(spark, at).count() == 2
+    later = frame(spark, [(1, "token=abcdefgh"), (4, "AKIAABCDEFGH1234"), (5, "")])
+    assert {r["path"]: [s.kind for s in r.found] for r in secrets.scan_into(later, at).collect()} == {1: ["assign"], 4: ["access"], 5: []}
+    assert secrets.read_ledger(spark, at).count() == 3
+
+
 # --- 8 ---
 
 

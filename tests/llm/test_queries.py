@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tarnwork.llm import queries
+from tarnwork.llm import quality, queries
 from tarnwork.llm.common import written
 from tests.llm import test_operators as brute
 
@@ -70,6 +70,36 @@ def test_op6(spark, sf, docs):
     assert {tuple(r)[:-1] for r in got} == {(i, *brute.brute_quality(t)) for i, t in docs}
 
 
+def plain_verdict(raw: bytes) -> bool:
+    """The compression bands in a plain loop."""
+    import zstandard
+
+    size = lambda x: len(zstandard.compress(x, quality.LEVEL))
+    low, high = [(a, b) for n, a, b in quality.BANDS if n <= len(raw)][-1]
+    if not low <= len(raw) / size(raw) <= high:
+        return False
+    odd, full = [], 0
+    for at in range(0, len(raw), quality.CHUNK):
+        chunk = raw[at : at + quality.CHUNK]
+        if len(chunk) == quality.CHUNK:
+            full += 1
+        elif full:
+            chunk = raw[-quality.CHUNK :]
+        else:
+            break
+        odd.append(not quality.CHUNK_BAND[0] <= quality.CHUNK / size(chunk) <= quality.CHUNK_BAND[1])
+    if len(raw) <= quality.CHUNK:
+        return True
+    return sum(odd) <= quality.CHUNK_SHARE * len(odd) and (full < 2 or sum(odd[:full]) <= quality.CHUNK_SHARE * full)
+
+
+def test_op6_verdicts(spark, sf, docs):
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op6_quality_rules(spark, sf).collect()}
+    for i, t in docs:
+        failed, kept = got[i]
+        assert kept == (not failed and plain_verdict((t or "").encode()))
+
+
 def test_op8(spark, sf, duck):
     rows = duck.execute("SELECT doc_id, text, source FROM documents").fetchall()
     per = defaultdict(int)
