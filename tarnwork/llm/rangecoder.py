@@ -55,7 +55,7 @@ class Order0:
 
     def __init__(self, lanes: int, vocab: int):
         self.vocab = vocab
-        self.before = np.zeros((lanes, vocab + 1), np.uint16)
+        self.before = np.zeros((lanes, vocab + 1), np.int16)
         self.share, self.total = np.zeros(lanes, np.int64), np.full(lanes, vocab, np.int64)
         self.distinct, self.at = np.zeros(lanes, np.int64), 0
 
@@ -63,7 +63,7 @@ class Order0:
         """From the first t ids of the lanes."""
         for lane in range(len(ids)):
             n = np.bincount(ids[lane, :t], minlength=self.vocab)
-            np.cumsum(n, dtype=np.uint16, out=self.before[lane, 1:])
+            np.cumsum(n, dtype=np.int16, out=self.before[lane, 1:])
             now = int(np.count_nonzero(n))
             new = (now - self.distinct[lane]) / (t - self.at)
             self.distinct[lane] = now
@@ -179,7 +179,7 @@ def _encode_group(blocks, vocab: int) -> list[bytes]:
 
 
 #: Shares of order 0 that one entry of the decoder's table stands for.
-STEP = 6
+STEP = 5
 
 
 class Inverse:
@@ -201,18 +201,20 @@ class Inverse:
         np.maximum.accumulate(last, axis=1, out=last)
         self.flat, self.before = last.reshape(-1), self.of.before.reshape(-1)
 
-    def __call__(self, lanes, w):
-        """The id of share w of each lane."""
+    def __call__(self, lanes, home, share, w):
+        """The id of share w of each lane; home: where the lane's counts begin, share: the shares of an occurrence."""
         j = lanes * self.size + (w >> STEP)
-        lo, hi = self.flat[j].astype(np.int64), self.flat[j + 1].astype(np.int64)
-        far = np.flatnonzero(lo < hi)
-        home, share = lanes * (self.of.vocab + 1), self.of.share[lanes]
+        lo = self.flat.take(j).astype(np.int64)
+        j += 1
+        hi = self.flat.take(j).astype(np.int64)
+        far = (lo < hi).nonzero()[0]
         while len(far):
-            mid = (lo[far] + hi[far] + 1) >> 1
-            ok = share[far] * self.before[home[far] + mid] + mid <= w[far]
-            lo[far] = np.where(ok, mid, lo[far])
-            hi[far] = np.where(ok, hi[far], mid - 1)
-            far = far[lo[far] < hi[far]]
+            a, b = lo.take(far), hi.take(far)
+            mid = (a + b + 1) >> 1
+            ok = share.take(far) * self.before.take(home.take(far) + mid) + mid <= w.take(far)
+            a, b = np.where(ok, mid, a), np.where(ok, b, mid - 1)
+            lo[far], hi[far] = a, b
+            far = far.compress(a < b)
         return lo
 
 
@@ -228,8 +230,9 @@ def _decode_group(codes, lens, vocab: int):
     at = np.arange(lanes) * size + 2
     off = (words[at - 2] << S32) | words[at - 1]  # the code less `low`
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    pred1, pred2 = np.zeros(lanes << TABLE, np.uint16), np.zeros(lanes << TABLE, np.uint16)
-    conf1, conf2 = np.zeros(lanes << TABLE, np.uint8), np.zeros(lanes << TABLE, np.uint8)
+    # what followed a context, and 2**16 times how often in a row, up to 3
+    told1, told2 = np.zeros(lanes << TABLE, np.int32), np.zeros(lanes << TABLE, np.int32)
+    after = np.array([1, 1, 1, 1, 1, 2, 3, 3], np.int32) << 16
     home, cells = np.arange(lanes) << TABLE, np.arange(lanes) * CELLS
     counts = np.ones((lanes, CELLS, 3), np.int64)
     tally = counts.reshape(-1)
@@ -253,48 +256,56 @@ def _decode_group(codes, lens, vocab: int):
             total, share = order0.total, order0.share
         o, l, r, a, b, by = off[:m], low[:m], rng[:m], p1[:m], p2[:m], share[:m]
         i1, i2 = home[:m] + _hash1(a), home[:m] + _hash2(a, b)
-        c1, c2, k1, k2 = pred1[i1], pred2[i2], conf1[i1], conf2[i2]
+        k1, k2 = told1.take(i1), told2.take(i2)
+        c1, c2 = k1 & 0xFFFF, k2 & 0xFFFF
+        k1 >>= 16
+        k2 >>= 16
         same = c1 == c2
         cell = cells[:m] + (k2 * 8 + k1 * 2 + same)
         has2 = k2 > 0
         has1 = (k1 > 0) & ~(same & has2)
         x1, x2 = row[:m] + c1, row[:m] + c2
-        a1, a2 = before[x1], before[x2]
-        b1, b2 = (by * (before[x1 + 1] - a1) + 1) * has1, (by * (before[x2 + 1] - a2) + 1) * has2
-        v0, tot = w0[cell], total[:m]
-        wide2 = tot * w2[cell] + v0 * b2
-        both = wide2 + tot * w1[cell] + v0 * b1
+        a1, a2 = before.take(x1), before.take(x2)
+        b1, b2 = before.take(x1 + 1) - a1, before.take(x2 + 1) - a2
+        b1, b2 = (by * b1 + 1) * has1, (by * b2 + 1) * has2
+        v0, tot = w0.take(cell), total[:m]
+        wide2 = tot * w2.take(cell) + v0 * b2
+        wide1 = tot * w1.take(cell) + v0 * b1
+        both = wide2 + wide1
         r >>= np.uint64(WEIGHT)
         r //= tot.view(np.uint64)
         v = (o // r).view(np.int64)
         hit2 = v < wide2
+        miss2 = ~hit2
         got = np.where(hit2, c2, c1)
-        start, width = np.where(hit2, 0, wide2), np.where(hit2, wide2, both - wide2)
-        pick = 1 - hit2.view(np.int8)
-        rest = np.flatnonzero(v >= both)
+        start, width = wide2 * miss2, np.where(hit2, wide2, wide1)
+        pick = miss2.view(np.int8)
+        rest = (v >= both).nonzero()[0]
         if len(rest):
             pick[rest] = 2
-            f, by, end = v0[rest], by[rest], both[rest]
-            s = (v[rest] - end) // f
-            d1, d2, e1, e2 = c1[rest].astype(np.int64), c2[rest].astype(np.int64), b1[rest], b2[rest]
-            g1, g2 = by * a1[rest] + d1, by * a2[rest] + d2
+            f, by, end = v0.take(rest), by.take(rest), both.take(rest)
+            s = (v.take(rest) - end) // f
+            d1, d2, e1, e2 = c1.take(rest), c2.take(rest), b1.take(rest), b2.take(rest)
+            g1, g2 = by * a1.take(rest) + d1, by * a2.take(rest) + d2
             # step over the shares of the two ids that lie elsewhere, the smaller id first
             swap = d1 > d2
             s += np.where(s >= np.where(swap, g2, g1), np.where(swap, e2, e1), 0)
             s += np.where(s >= np.where(swap, g1, g2), np.where(swap, e1, e2), 0)
-            s = np.minimum(s, tot[rest] - 1)
-            x = inverse(rest, s)
-            z = row[rest] + x
-            first = before[z]
+            s = np.minimum(s, tot.take(rest) - 1)
+            z = row.take(rest)
+            x = inverse(rest, z, by, s)
+            z += x
+            first = before.take(z)
+            z += 1
             start[rest] = end + f * (by * first + x - (d1 < x) * e1 - (d2 < x) * e2)
-            width[rest] = f * (by * (before[z + 1] - first) + 1)
+            width[rest] = f * (by * (before.take(z) - first) + 1)
             got[rest] = x
         start, width = start.view(np.uint64), width.view(np.uint64)
         step = r * start
         o -= step
         l += step
         r *= width
-        full = np.flatnonzero(r < top)
+        full = (r < top).nonzero()[0]
         if len(full):
             x, s = l[full], r[full]
             over = (x ^ (x + s - one)) >> S32 != 0
@@ -302,10 +313,8 @@ def _decode_group(codes, lens, vocab: int):
             l[full], r[full] = x << S32, s << S32
             o[full] = (o[full] << S32) | words[at[full]]
             at[full] += 1
-        conf1[i1] = np.where((c1 == got) & (k1 > 0), np.minimum(k1 + 1, 3), 1)
-        conf2[i2] = np.where((c2 == got) & has2, np.minimum(k2 + 1, 3), 1)
-        pred1[i1] = got
-        pred2[i2] = got
+        told1[i1] = after.take((c1 == got) * 4 + k1) | got
+        told2[i2] = after.take((c2 == got) * 4 + k2) | got
         tally[cell * 3 + pick] += 1
         b[:] = a
         a[:] = got
