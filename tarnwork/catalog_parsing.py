@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ def re2(pattern: str, *instead: tuple[str, str]) -> str:
         if old not in pattern:
             raise ValueError(f"{old} is not in {pattern}")
         pattern = pattern.replace(old, new)
+    pattern = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
     wide = "(?U)" in pattern
     out, k, within = [], 0, False
     pattern = pattern.replace("(?U)", "")

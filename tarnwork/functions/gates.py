@@ -60,7 +60,7 @@ def needed_majors(gates: Column) -> Column:
     """Words of the major segment: its tokens of two or more characters and its runs of two to six Han characters."""
     s = segment(gates, "专业")
     parts = F.filter(F.transform(F.split(s, r"[、,，；;（）()]|(?U:\s){2,}"), utrim), lambda x: F.length(x) >= 2)
-    return F.array_distinct(F.concat(parts, F.regexp_extract_all(s, F.lit(r"([\x{4e00}-\x{9fff}]{2,6})"), F.lit(1))))
+    return F.array_distinct(F.concat(parts, F.regexp_extract_all(s, F.lit(r"([\u4e00-\u9fff]{2,6})"), F.lit(1))))
 
 
 def parsed(gates: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .text import any_in, blank_to_null, none_if_empty, utrim, words_in
 from .values import ANYWHERE, CATEGORIES, CITIES, DEGREE_ALIASES, OTHER_CATEGORY, SCHOOLS_211, SCHOOLS_985, SKILLS
 
-# Patterns of the fields; \s and \d of any script, [一-鿿] is Han.
+# Patterns of the fields; \s and \d of any script, [\u4e00-\u9fff] is Han.
 PHONE = r"(?<!\d)(1[3-9]\d{9})(?!\d)"
 PHONE_PARTS = r"(?U)(?<!\d)(1[3-9]\d)[\s\-](\d{4})[\s\-](\d{4})(?!\d)"
 EMAIL = r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})"
-NAME = r"(?U)(?:姓\s*名|Name)\s*[:：]\s*([一-鿿]{2,4}|[A-Za-z一-鿿·]{2,20})"
+NAME = r"(?U)(?:姓\s*名|Name)\s*[:：]\s*([\u4e00-\u9fff]{2,4}|[A-Za-z\u4e00-\u9fff·]{2,20})"
 YEARS = (
     r"(?U)(?<!\d)(\d{1,2})\s*年(?:以上)?[^\n。，,；;]{0,12}?经[历验]|工作\s*(\d{1,2})\s*年(?![份级])|(?<!\d)(\d{1,2})\s*年\s*(?:以上|\+|工作)|经[历验]\s*[:：]?\s*(\d{1,2})\s*年(?!\s*(?:毕|届))",
     r"(?U)工作年限\s*[:：]?\s*(\d{1,2})\s*年|(\d{1,2})\s*年\s*\+",
@@ -22,20 +22,20 @@ SALARY = r"(?U)(?:期望薪[资酬]|薪[资酬]|月薪|待遇)\s*[:：]?\s*(\d+(
 CITY = r"(?:期望|意向|工作|现居|居住|所在地|城市|地点)[^\n]{0,12}?(" + "|".join(sorted(CITIES, key=len, reverse=True)) + ")"
 DEGREE = r"(?U)(?:学\s*历|学位|文化程度)\s*[:：|]?\s*(?:是|为)?\s*(博士|硕士研究生|硕士|研究生|大学本科|统招本科|全日制本科|本科|学士|大专|大学专科|专科|高职)"
 ANY_DEGREE = r"(博士|硕士|研究生|本科|学士|大专|专科|高职|中专)"
-SCHOOL = r"([一-鿿]{2,14}(?:职业技术学院|高等专科学校|技师学院|大学|学院))"
+SCHOOL = r"([\u4e00-\u9fff]{2,14}(?:职业技术学院|高等专科学校|技师学院|大学|学院))"
 SCHOOL_LABEL = r"(?U)(?:毕业院校|毕业学校|学校名称|就读学校|院校)\s*[:：|]?\s*([^\n；;，,。|：:]{2,30})"
 SCHOOL_NOISE = r"毕业于|就读于|毕业自|结业于|就读|入读|考取|参加|升学|本科|大专|硕士|博士|研究生|中专|高职|全日制|统招|成人"
 SCHOOL_ENDS = ("大学", "学院", "学校")
 NO_SCHOOL = ("主要参加学院", "主要学院", "宁夏", "学院", "大学", "学校")
-MAJOR = r"(?U)(?:专\s*业(?:名称)?|所学专业|主修专业|主修)(?:\s*[:：|/｜]\s*|\s*\n\s*|\s+)([一-鿿A-Za-z]{2,20})"
-MAJOR_ROW = r"(?U)(?:大学|学院|学校)\s*[|｜/]\s*([一-鿿A-Za-z（）()]{2,20})\s*[|｜/]\s*(?:本科|大专|硕士|博士|研究生|专科)"
+MAJOR = r"(?U)(?:专\s*业(?:名称)?|所学专业|主修专业|主修)(?:\s*[:：|/｜]\s*|\s*\n\s*|\s+)([\u4e00-\u9fffA-Za-z]{2,20})"
+MAJOR_ROW = r"(?U)(?:大学|学院|学校)\s*[|｜/]\s*([\u4e00-\u9fffA-Za-z（）()]{2,20})\s*[|｜/]\s*(?:本科|大专|硕士|博士|研究生|专科)"
 NO_MAJOR = ("课程", "基础扎实", "培训", "大专", "本科", "知识", "技能", "技术", "能力", "方向", "相关", "学习", "理论")
 NO_NAME = (
     "自我评价 专业技能 技能证书 核心优势 优势亮点 姓名 名字 本科 大专 硕士 博士 研究生 专科 中专 学历 教育背景 工作经历 工作经验 项目经历 项目经验 求职意向 "
     "期望岗位 基本信息 个人信息 联系方式 荣誉证书 获奖情况 培训经历 证书 简介 云南 四川 贵州 广西 湖南 湖北 河南 河北 山东 山西 陕西 甘肃 宁夏 青海 新疆 西藏 "
     "内蒙 辽宁 吉林 广东 江苏 浙江 安徽 福建 江西 海南 北京 上海 天津 重庆 暖通 电工 焊工 会计 出纳 司机 普工 工程师"
 ).split()
-POSITION = r"(?U)(?:期望|意向|应聘|求职|目标)\s*(?:岗位|职位|职务|意向)?\s*[:：]\s*([一-鿿A-Za-z/、（）() ]{2,25})"
+POSITION = r"(?U)(?:期望|意向|应聘|求职|目标)\s*(?:岗位|职位|职务|意向)?\s*[:：]\s*([\u4e00-\u9fffA-Za-z/、（）() ]{2,25})"
 POSITION_END = r"(?U)\s+|(?=应聘|期望薪|期望工资|求职类型)"
 CERTIFICATE = (
     r"(注册安全工程师|注册电气工程师|注册消防工程师|建造师|高压电工证|低压电工证|电工证|焊工证|特种作业操作证|特种作业证|特种作业|注册会计师|中级会计师|初级会计(?:职称|资格)?|会计从业|教师资格证|"
@@ -76,7 +76,7 @@ def email(text: Column) -> Column:
 
 
 def _is_name(c: Column) -> Column:
-    return c.rlike(r"^[一-鿿]{2,4}$") & ~c.isin(*NO_NAME)
+    return c.rlike(r"^[\u4e00-\u9fff]{2,4}$") & ~c.isin(*NO_NAME)
 
 
 def name_in_file(filename: Column) -> Column:

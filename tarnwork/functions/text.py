@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what separates tokens of a list in a text cell.
 SEPARATOR = r"[、,，;；/](?U:\s)*"
-HAN = r"[\x{4e00}-\x{9fff}]"
+HAN = r"[\u4e00-\u9fff]"
 
 
 def utrim(c: Column) -> Column:
