@@ -19,12 +19,12 @@ def utrim(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(utrim(c), F.lit(""))
+    return none_if_empty(utrim(c))
 
 
 def none_if_empty(c: Column) -> Column:
-    """regexp_extract says '' for no match; the rules want null."""
-    return F.nullif(c, F.lit(""))
+    """regexp_extract says '' for no match; the rules want null. A comparison would compute c twice; as an element it is computed once."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
