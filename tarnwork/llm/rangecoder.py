@@ -19,6 +19,8 @@ import numpy as np
 
 #: Ids of a block, blocks of a group, ids between two updates of order 0 and of the weights, bits of the context tables.
 BLOCK, LANES, EPOCH, REFRESH, TABLE = 16_384, 512, 2_048, 64, 13
+#: Ids of a block at least, where a group has too few for so many full ones: many short lanes step faster than a few long ones.
+SHORT, LEAST_LANES = 2_048, 128
 K1, K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: Bits of a weight and of the shares of order 0; the mixture's shares add up to a power of two times the latter.
 WEIGHT, SHARES = 10, 20
@@ -327,7 +329,8 @@ def encode(ids, vocab: int) -> list[tuple[int, int, bytes]]:
     if vocab > 1 << 16 or (len(ids) and int(ids.max()) >= vocab):
         raise ValueError("ids must be below the vocabulary's size, and that at most 65536")
     out = []
-    blocks = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
+    size = min(BLOCK, max(SHORT, -(-len(ids) // (LEAST_LANES * REFRESH)) * REFRESH))
+    blocks = [ids[k : k + size] for k in range(0, len(ids), size)]
     for k in range(0, len(blocks), LANES):
         group = blocks[k : k + LANES]
         for b, code in zip(group, _encode_group(group, vocab)):

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -155,6 +156,10 @@ def test_pipeline_stages_against_brute_force(spark, sf):
 
 def test_documents_of_odd_kinds_pass_the_stages(spark, sf):
     rows = [(*r, None, "s", None) for r in brute.TEXTS] + [(500 + k, " ".join(f"w{k}x{j}" for j in range(60)), "en", None, 1) for k in range(4)]
+    # and some that are like prose, which the compression bands keep
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("aeioulnrstdm") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    rows += [(600 + k, " ".join(rnd.choice(vocab) for _ in range(60)), "en", None, 1) for k in range(4)]
     docs = brute.clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf), "odd")
