@@ -43,10 +43,11 @@ def report(intake: DataFrame) -> DataFrame:
     return r.withColumn("level", outcome(F.lit(None).cast("string"), F.lit(0), F.col("failed"), F.col("needs_ocr")))
 
 
-def backfill(records: DataFrame, known: DataFrame | None) -> DataFrame:
+def backfill(records: DataFrame, known: DataFrame | None, within: bool = True) -> DataFrame:
     """records: file and cells, a map of texts -> cells that may be written, derived ones filled, what was stripped, reason.
 
-    Columns that refinement produces are stripped; keys that are no columns are told. Known phones are skipped.
+    Columns that refinement produces are stripped; keys that are no columns are told. Known phones are skipped, and
+    those of earlier records, unless within is off: then each record is held against the table only.
     """
     own = [c for c in RESUME.names if c not in PRODUCED]
     df = records.withColumns({"unknown": unknown_keys(F.col("cells"), tuple(RESUME.names)), "stripped": F.array_intersect(F.map_keys("cells"), F.array(*map(F.lit, PRODUCED)))})
@@ -55,7 +56,7 @@ def backfill(records: DataFrame, known: DataFrame | None) -> DataFrame:
     cell = resume.derived(cell | {"skills": words})
     cell.pop("skills")
     df = df.withColumns(cell).withColumns({"md5": F.md5(F.to_json("cells")), "has_contact": blank_to_null(F.col("phone")).isNotNull() | blank_to_null(F.col("email")).isNotNull()})
-    return tables.greedy_dedupe(df, known).drop("cells", "has_contact", "md5")
+    return tables.greedy_dedupe(df, known, within=within).drop("cells", "has_contact", "md5")
 
 
 def jobs(texts: DataFrame, known_ids: DataFrame | None = None) -> DataFrame:
