@@ -51,7 +51,7 @@ def integrity(pending: DataFrame, done: DataFrame, part: str = "part", key: str
 
 
 def merged(done: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(first row of each key, the others), in the order of parts and positions."""
+    """(first row of each key, the others), in the order of parts and positions; what order leaves open is left open here."""
     w = Window.partitionBy(*by).orderBy(*order)
     n = done.withColumn("__n", F.row_number().over(w))
     return n.where("__n = 1").drop("__n"), n.where("__n > 1").drop("__n")

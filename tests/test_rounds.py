@@ -36,3 +36,15 @@ def test_backfill_holds_records_against_known_phones_only(equal):
     rows = equal("resume_backfill", customer=f"SELECT * REPLACE (c_custkey * 3000 + 1 AS c_custkey) FROM '{SF}/customer.parquet'")
     phones = [r[2] for r in rows if r[2] != "None"]
     assert len(phones) > len(set(phones))
+
+
+def test_first_of_equal_line_numbers_is_that_of_the_file(spark, tmp_path):
+    at, line = tmp_path / "lineitem.parquet", f"SELECT * REPLACE (l_orderkey % 50 AS l_orderkey, l_linenumber % 2 AS l_linenumber) FROM '{SF}/lineitem.parquet'"
+    at.mkdir()
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"COPY ({line} LIMIT 500) TO '{at}/0.parquet' (FORMAT parquet)")  # Spark reads the larger file first
+    con.execute(f"COPY ({line}, range(20) OFFSET 500) TO '{at}/1.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["merge_first_wins"]).fetchall())
+    assert sorted(map(tuple, catalog.queries()["merge_first_wins"](spark, str(tmp_path)).collect())) == want
