@@ -10,19 +10,29 @@ from ..functions.values import NO_DEPARTMENT, OPEN_STATUS, RECOMMEND, REPORT_HEA
 
 
 def job_stats(jobs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per opening: matches in all and by label; an unknown label counts as the last; openings without a match have zeros."""
-    label = F.col("recommend")
-    known = [F.count_if(label == r).alias(n) for r, n in zip(RECOMMEND[:-1], ("stat_recommend", "stat_pending"))]
-    rest = F.count_if(label.isNull() | ~label.isin(*RECOMMEND[:-1])).alias("stat_reject")
-    s = matches.groupBy("job_id").agg(F.count(F.lit(1)).alias("stat_total"), *known, rest)
+    """Per opening: matches in all and by label; an unknown label counts as the last; openings without a match have zeros.
+
+    matches: a row per match, or, with a column n, a row for n of them.
+    """
+    label, n = F.col("recommend"), _each(matches)
+    known = [F.sum(F.when(label == r, n).otherwise(0)).alias(name) for r, name in zip(RECOMMEND[:-1], ("stat_recommend", "stat_pending"))]
+    rest = F.sum(F.when(label.isNull() | ~label.isin(*RECOMMEND[:-1]), n).otherwise(0)).alias("stat_reject")
+    s = matches.groupBy("job_id").agg(F.sum(n).alias("stat_total"), *known, rest)
     names = ("stat_total", "stat_recommend", "stat_pending", "stat_reject")
     return jobs.select("job_id").join(s, "job_id", "left").na.fill(0, list(names))
 
 
+def _each(matches: DataFrame) -> Column:
+    return F.col("n").cast("long") if "n" in matches.columns else F.lit(1).cast("long")
+
+
 def label_stats(matches: DataFrame, order: Column) -> DataFrame:
-    """Per job_id ('?' if unknown): the first job_name, the number of matches, and how many per label, in one text."""
-    m = matches.select(F.coalesce(none_if_empty(F.col("job_id")), F.lit("?")).alias("job_id"), "job_name", F.coalesce(none_if_empty(F.col("recommend")), F.lit(UNJUDGED)).alias("label"), order.alias("o"))
-    per = m.groupBy("job_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "job_name")).alias("first"))
+    """Per job_id ('?' if unknown): the first job_name, the number of matches, and how many per label, in one text.
+
+    matches: a row per match, or, with a column n, a row for n of them.
+    """
+    m = matches.select(F.coalesce(none_if_empty(F.col("job_id")), F.lit("?")).alias("job_id"), "job_name", F.coalesce(none_if_empty(F.col("recommend")), F.lit(UNJUDGED)).alias("label"), order.alias("o"), _each(matches).alias("each"))
+    per = m.groupBy("job_id", "label").agg(F.sum("each").alias("n"), F.min(F.struct("o", "job_name")).alias("first"))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "n"))), lambda x: F.concat_ws("=", x["label"], x["n"])), ";")
     return per.groupBy("job_id").agg(F.min("first")["job_name"].alias("job_name"), F.sum("n").alias("total"), said.alias("by_label"))
 

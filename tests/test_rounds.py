@@ -1,9 +1,14 @@
 """Queries against their SQL on small tables with what the fixed ones lack: repeated cells, ties, few or many rows."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork import catalog
+from tarnwork.operators import matching, stats
 
 from .test_catalog import norm
 
@@ -48,3 +53,66 @@ def test_first_of_equal_line_numbers_is_that_of_the_file(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/*.parquet'")
     want = sorted(con.execute(catalog.oracle_sql()["merge_first_wins"]).fetchall())
     assert sorted(map(tuple, catalog.queries()["merge_first_wins"](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rnd = random.Random(11)
+    vocab = [f"w{k}q" for k in range(14)]
+    cands = [(k, rnd.choice(["x", "y", None]), rnd.choice(["本科", "大专", None]), rnd.randint(0, 6)) for k in range(150)]
+    have = [(k, w) for k, *_ in cands for w in rnd.sample(vocab, rnd.randint(0, 8))]
+    jobs = [(f"j{k}", rnd.choice(["x", "y", None]), rnd.choice(["", "学历：本科及以上", "经验：3年以上"]), rnd.choice([None, 1.0, 0.5]), rnd.choice([None, 0.0])) for k in range(70)]
+    need = [(j[0], s, p + 1, rnd.choice(vocab)) for j in jobs for s, n in (("must", rnd.randint(1, 70 if j[0] == "j0" else 5)), ("bonus", rnd.randint(0, 4))) for p in range(n)]
+    f = spark.createDataFrame
+    return (
+        f(cands, "rid int, org string, education string, years int"), f(have, "rid int, word string"), f(jobs, "job_id string, org string, hard_gates string, must_weight double, bonus_weight double"),
+        f(need, "job_id string, side string, pos int, word string"), *matching.dictionary(spark),
+    )
+
+
+@pytest.fixture(scope="module")
+def pairs(small):
+    """rid, job_id, total_score, recommend and the words hit, by loops over rows."""
+    cands, have, jobs, need = ([tuple(r) for r in d.collect()] for d in small[:4])
+    level, out = {"本科": 2, "大专": 1}, []
+    own = {}
+    for rid, w in have:
+        own.setdefault(rid, set()).add(w)
+    words = {(j, s): [w for i, t, _, w in need if (i, t) == (j, s)] for j, *_ in jobs for s in ("must", "bonus")}
+    for rid, org, edu, years in cands:
+        for j, jorg, g, mw, bw in jobs:
+            if org and jorg and org != jorg or "本科" in g and level.get(edu, 0) < 2 or "3年" in g and years < 3:
+                continue
+            hit = {s: [w for w in words[j, s] if w in own.get(rid, ())] for s in ("must", "bonus")}
+            total = sum(round(100 * w * (len(hit[s]) / len(words[j, s]))) for s, w in (("must", 0.7 if mw is None else mw), ("bonus", 0.3 if bw is None else bw)) if words[j, s])
+            if total >= 20:
+                out.append((rid, j, total, "推荐" if total >= 80 else "待定" if total >= 60 else "不推荐", hit["must"], hit["bonus"]))
+    return out
+
+
+@pytest.fixture
+def blocked(small, monkeypatch):
+    monkeypatch.setattr(matching.blocks, "BLOCK", 40)
+    monkeypatch.setattr(matching.blocks, "CHUNK", 9)
+    return small
+
+
+def test_counts_of_pairs_equal_the_pairs(blocked, pairs):
+    got = matching.matched_counts(matching.items(*blocked, tag=F.col("rid") % 3)).collect()
+    assert {(r.job_id, r.total_score, r.recommend, r.tag): r.n for r in got} == Counter((j, t, s, rid % 3) for rid, j, t, s, *_ in pairs)
+
+
+def test_candidates_in_any_pair(blocked, pairs):
+    assert sorted(r.rid for r in matching.matched_cands(matching.items(*blocked), "rid int").collect()) == sorted({p[0] for p in pairs})
+
+
+@pytest.mark.parametrize("n", [1, 7, 5000])
+def test_best_pairs_stand_first(blocked, pairs, n):
+    got = stats.top(matching.match(*blocked, best=n), n, [F.col("rid"), F.col("job_id")]).collect()
+    want = sorted((-t, rid, j) for rid, j, t, s, *_ in pairs if s == "推荐")[:n]
+    assert [(-r.total_score, r.rid, r.job_id) for r in got] == want
+
+
+def test_pairs_with_their_words_over_many_blocks(blocked, pairs):
+    got = matching.match(*blocked, lists=True).collect()
+    assert sorted((r.rid, r.job_id, r.total_score, r.recommend, r.must_hits, r.bonus_hits) for r in got) == sorted(pairs)
