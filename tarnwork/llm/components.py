@@ -1,10 +1,12 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by alternating large-star and small-star steps, and of at most FEW edges in one step.
 
-No step gathers a component in one place: the edges of a node with many are dealt over tasks by salts.
+No step gathers more than FEW edges in one place: the edges of a node with many are dealt over tasks by salts. A round of steps
+takes some 15 stages however few the edges are, so few edges go to one task, which holds them in numpy arrays (4 MB).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,37 @@ def _small_star(e: DataFrame, total: int) -> DataFrame:
     return met.where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
 
 
+#: Edges that one task takes at once; with more, star steps deal them over all tasks.
+FEW = 1 << 18
+
+
+def _roots(u, v):
+    """Ends of edges -> (nodes in order, the smallest node of the component of each)."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        # each root that meets a smaller one goes under the smallest; then every node is tied to its root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
+def _at_once(batches):
+    """All edges of a task -> node, root."""
+    import pyarrow as pa
+
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, roots = _roots(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges u, v (long) -> node, root: every node that has an edge, with the smallest node of its component."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -36,6 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
+        if now[0] <= FEW:
+            out = written(e.coalesce(1).mapInArrow(_at_once, "node long, root long"), "star")
+            drop_written(e)
+            return out
         before = now
         old, e = e, written(_small_star(_large_star(e, now[0]), now[0]).distinct(), "star")
         drop_written(old)

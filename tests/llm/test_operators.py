@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.llm import common, exact_dedup, jaccard, line_dedup, mixing, pieces, quality, rangecoder, secrets, token_files, url_rules, warc
+from tarnwork.llm import common, components, exact_dedup, jaccard, line_dedup, mixing, pieces, quality, rangecoder, secrets, token_files, url_rules, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORDS = P.path("word_bpe_49k.json")
@@ -558,3 +558,28 @@ def test_ngram_jaccard_empty_and_representatives(spark):
     rows = [(k, " ".join(f"a{j}" for j in range(40)) + f" z{k}") for k in range(50)] + [(99, "other words of a text that stands alone here"), (100, None)]
     left = jaccard.representatives(clashing(frame(spark, rows)))
     assert sorted(r.doc_id for r in left.collect()) == [0, 99, 100] and "blob" in left.columns
+
+
+def test_few_edges_take_one_step_and_many_the_stars(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(k, k + 1) for k in range(0, 300)] + [(rnd.randint(1000, 3000), rnd.randint(1000, 3000)) for _ in range(900)] + [(7000, -k) for k in range(1, 200)] + [(9000, 9000), (5, 5), (-4, 7000)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    table = frame(spark, edges, "u long, v long", 40)
+    spark.sparkContext.setJobGroup("few", "few edges")
+    try:
+        got = components.components(table)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert Counter(map(tuple, got.collect())) == Counter((x, top(x)) for x in root)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 6
+    assert components.components(table.where("u = v")).count() == 0
+    monkeypatch.setattr(components, "FEW", 0)
+    assert Counter(map(tuple, components.components(table).collect())) == Counter((x, top(x)) for x in root)
