@@ -210,6 +210,14 @@ class Inverse:
         j += 1
         hi = self.flat.take(j).astype(np.int64)
         far = (lo < hi).nonzero()[0]
+        if len(far):
+            # counts lie between those at the ends, which bounds the id; without an id that has occurred in between, to itself
+            a, b, at, by, most = lo.take(far), hi.take(far), home.take(far), share.take(far), w.take(far)
+            lo[far] = np.maximum(a, np.minimum(b, most - by * self.before.take(at + b)))
+            at += a
+            at += 1
+            hi[far] = np.maximum(a, np.minimum(b, most - by * self.before.take(at)))
+            far = far.compress(lo.take(far) < hi.take(far))
         while len(far):
             a, b = lo.take(far), hi.take(far)
             mid = (a + b + 1) >> 1

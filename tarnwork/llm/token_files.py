@@ -23,6 +23,8 @@ from .common import open_at, partitions, scratch, text_of, written
 MAGIC = b"TOKIDS1\n"
 #: Words that a task remembers; they are cut at white space, over which neither merges nor normal forms reach.
 REMEMBERED = 400_000
+#: New words that the library gets as one text, and the word put behind those that are not of letters only.
+TOGETHER, MARK = 200, "\x01"
 
 
 class Numbers(dict):
@@ -76,11 +78,46 @@ class WordCache:
         if not same or not independent(json.loads(self.lib.to_str())):
             raise ValueError(f"{tokenizer}: words of this tokenizer are not independent")
         self.vocab = self.lib.get_vocab_size()
+        mark = self.lib.encode(MARK, add_special_tokens=False).ids
+        self.mark, self.last = np.zeros(self.vocab, bool), np.zeros(self.vocab, bool)
+        self.mark[mark] = len(mark) == 1
+        suffix, known = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix"), self.lib.get_vocab()
+        if suffix and sum(len(w) == len(suffix) + 1 and w.endswith(suffix) for w in known) >= 256:  # any last byte of a part has its id
+            self.last[[i for w, i in known.items() if w.endswith(suffix)]] = True
         self.forget()
 
     def forget(self):
         self.known, self.ids, self.start, self.count = Numbers(), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _of_words(self, words: list):
+        """(ids, number of ids of each word). Words cost the library less as one text than one by one.
+
+        Where a word ends there: letters only are one part of a text at least, so that as many ids that end a part as words are one for
+        each; behind other words stands the mark. Where the numbers differ, each word is encoded by itself.
+        """
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        at, ids, lens = [], [], []
+        for mine, between, ends in ((np.flatnonzero(plain), " ", self.last), (np.flatnonzero(~plain), f" {MARK} ", self.mark)):
+            parts = [mine[k : k + TOGETHER] for k in range(0, len(mine), TOGETHER)]
+            texts = [between.join([*(words[i] for i in part.tolist()), ""]) for part in parts]
+            for part, x in zip(parts, self.lib.encode_batch_fast(texts, add_special_tokens=False) if ends.any() else [None] * len(parts)):
+                every = np.array(x.ids if x else [], np.uint16)
+                cut = np.flatnonzero(ends[every])
+                if len(cut) != len(part):
+                    got = [y.ids for y in self.lib.encode_batch_fast([words[i] for i in part.tolist()], add_special_tokens=False)]
+                    lens.append(np.array([len(y) for y in got], np.int64))
+                    every = np.array([i for y in got for i in y], np.uint16)
+                elif ends is self.mark:
+                    lens.append(np.diff(cut, prepend=-1) - 1)
+                    every = every[~ends[every]]
+                else:
+                    lens.append(np.diff(cut, prepend=-1))
+                at.append(part), ids.append(every)
+        at, ids, lens = (np.concatenate(x) for x in (at, ids, lens))
+        back = np.argsort(at)
+        start = np.cumsum(lens) - lens
+        return ids[flat.ragged(start[back], lens[back])], lens[back]
+
     def encode(self, data, offs, end_id: int):
         """(ids, number of ids of each text), each text with the end id."""
         if len(self.known) > REMEMBERED:
@@ -93,11 +130,10 @@ class WordCache:
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.known.fresh:
             fresh, self.known.fresh = self.known.fresh, []
-            got = [x.ids for x in self.lib.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            lens = np.array([len(x) for x in got], np.int64)
+            ids, lens = self._of_words([w.decode() for w in fresh])
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lens) - lens])
             self.count = np.concatenate([self.count, lens])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint16)])
+            self.ids = np.concatenate([self.ids, ids])
         sizes = np.array(sizes, np.int64)
         lens = self.count[index]
         body = self.ids[flat.ragged(self.start[index], lens)]

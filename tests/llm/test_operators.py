@@ -583,3 +583,62 @@ def test_few_edges_take_one_step_and_many_the_stars(spark, monkeypatch):
     assert components.components(table.where("u = v")).count() == 0
     monkeypatch.setattr(components, "FEW", 0)
     assert Counter(map(tuple, components.components(table).collect())) == Counter((x, top(x)) for x in root)
+
+
+def test_new_words_go_to_the_library_together():
+    class Spy:
+        def __init__(self, lib):
+            self.lib, self.texts = lib, []
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            self.texts += texts
+            return self.lib.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    rnd = random.Random(8)
+    cache = token_files.WordCache(WORDS)
+    lib, cache.lib = cache.lib, Spy(cache.lib)
+    plain = ["".join(rnd.choice("abcAB19.,'é日ﬁ\u0301\u0307İ") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    plain += ["<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "\u0301", "\x02", "\x00", "\xa0", "\u2028", "\x85a", "\ufeff", "\x1c", "\u0958", "\ufb1d", "\u0344", "ªº", "ⅷ", "ʼn", "漢字"]
+    marked = ["\x01", "a\x01b", "\x01\x01", "\x01c"]
+    for words in (plain, marked + plain[:40], [w + "2" for w in plain[:900]] + marked):
+        texts = [" ".join(words[k : k + 7]) for k in range(0, len(words), 7)]
+        raw = [t.encode() for t in texts]
+        cache.forget()
+        cache.lib.texts.clear()
+        ids, n = cache.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 2)
+        want = [lib.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+        if words is plain:
+            assert len(cache.lib.texts) < len(set(words)) / 3
+
+
+def test_decoder_finds_ids_of_shares_with_few_steps():
+    rng = np.random.default_rng(3)
+    lanes, vocab, t = 6, 5000, 2048
+    order0 = rangecoder.Order0(lanes, vocab)
+    ids = (rng.integers(0, vocab, (lanes, t)) * rng.integers(0, 2, (lanes, t)) // 7 * 7).astype(np.uint16)
+    order0.learn(ids, t)
+    order0.share[:3] = (1, 2, 40)
+    order0.total = order0.share * t + vocab
+    inverse = rangecoder.Inverse(order0)
+    inverse.learn()
+    for lane in range(lanes):
+        at = order0.share[lane] * order0.before[lane, :-1].astype(np.int64) + np.arange(vocab)
+        w = np.arange(int(order0.total[lane]))
+        of = np.full(len(w), lane)
+        got = inverse(of, of * (vocab + 1), np.full(len(w), order0.share[lane]), w)
+        assert (got == np.searchsorted(at, w, "right") - 1).all()
+
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, *a, **b):
+            Counted.taken += 1
+            return np.asarray(self).take(*a, **b)
+
+    fresh = rangecoder.Order0(1, vocab)  # nothing has occurred: no id needs bisection
+    inverse = rangecoder.Inverse(fresh)
+    inverse.learn()
+    inverse.before = inverse.before.view(Counted)
+    none = np.zeros(vocab, np.int64)
+    assert (inverse(none, none, none, np.arange(vocab)) == np.arange(vocab)).all() and Counted.taken <= 2
